@@ -138,11 +138,10 @@ def majority_tree(df: DataFrame, words: str, n: int, base: int, out: str = "w")
 
 
 def _tree(words: Column, n: int, base: int) -> Column:
-    while n > 1:
-        sizes = tree_level(n, base)
-        words = bind(words, lambda prev, sizes=sizes: _reduce_level(prev, sizes, base))
-        n = len(sizes)
-    return words
+    if n <= 1:
+        return words
+    sizes = tree_level(n, base)
+    return _tree(bind(words, lambda prev: _reduce_level(prev, sizes, base)), len(sizes), base)
 
 
 def _reduce_level(prev: Column, sizes: list[int], base: int) -> Column:

@@ -107,18 +107,9 @@ def grid_sql(xform: str, src: str = "c_px", w: int = W) -> str:
         return f"""SELECT s.sample_id, o.pos, s.v FROM {src} s JOIN (
  SELECT p, row_number() OVER (ORDER BY w, p) - 1 AS pos FROM ({order})) o ON o.p = s.pos"""
     if xform == "spiral":
-        f = "CAST({} AS FLOAT)".format
-        mid, reach = f(w / 2 - 0.5), f"({f(w / 2)} * {f(0.7)})"
         return f"""SELECT a.sample_id, g.pos, CASE WHEN g.inside THEN CAST(floor(
   a.v * (1 - fx) * (1 - fy) + b.v * (fx * (1 - fy)) + c.v * ((1 - fx) * fy) + d.v * (fx * fy) + 0.5e0) AS INTEGER) ELSE 128 END AS v
-FROM (SELECT *, CASE WHEN inside THEN iy * {w} + ix ELSE 0 END AS i, CAST(sx - ix::FLOAT AS DOUBLE) AS fx, CAST(sy - iy::FLOAT AS DOUBLE) AS fy FROM (
- SELECT *, ix BETWEEN 0 AND {w - 2} AND iy BETWEEN 0 AND {w - 2} AS inside FROM (
-  SELECT *, CAST(trunc(sx) AS INTEGER) AS ix, CAST(trunc(sy) AS INTEGER) AS iy FROM (
-   SELECT pos, {mid} + r * CAST(cos(t::DOUBLE) AS FLOAT) AS sx, {mid} + r * CAST(sin(t::DOUBLE) AS FLOAT) AS sy FROM (
-    SELECT pos, r, CAST(atan2(dy::DOUBLE, dx::DOUBLE) AS FLOAT) + {f(8)} * CAST(exp((-r / {reach})::DOUBLE) AS FLOAT) AS t FROM (
-     SELECT *, CAST(sqrt((dx * dx + dy * dy)::DOUBLE) AS FLOAT) AS r FROM (
-      SELECT pos, x::FLOAT - {mid} AS dx, y::FLOAT - {mid} AS dy FROM c_cells))))))) g
-JOIN {src} a ON a.pos = g.i JOIN {src} b ON b.sample_id = a.sample_id AND b.pos = g.i + 1
+FROM c_spiral g JOIN {src} a ON a.pos = g.i JOIN {src} b ON b.sample_id = a.sample_id AND b.pos = g.i + 1
 JOIN {src} c ON c.sample_id = a.sample_id AND c.pos = g.i + {w} JOIN {src} d ON d.sample_id = a.sample_id AND d.pos = g.i + {w + 1}"""
     return f"""SELECT k.sample_id, g.pos, coalesce(s.v, 0) AS v
 FROM (SELECT DISTINCT sample_id FROM {src}) k CROSS JOIN (SELECT pos, {source_of(xform, w)} AS src FROM c_cells) g
@@ -220,6 +211,15 @@ cte("c_px", """SELECT vec_id AS sample_id, i - 1 AS pos,
  CAST(least(greatest(floor((CAST(embedding[i] AS DOUBLE) - (-0.6e0)) / 1.2e0 * 255), 0), 255) AS INTEGER) AS v
 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""")
 cte("c_cells", f"SELECT CAST(p AS INTEGER) AS pos, CAST(p // {W} AS INTEGER) AS y, CAST(p % {W} AS INTEGER) AS x FROM (SELECT unnest(range({W * W})) AS p)")
+_f = "CAST({} AS FLOAT)".format
+_mid, _reach = _f(W / 2 - 0.5), f"({_f(W / 2)} * {_f(0.7)})"
+cte("c_spiral", f"""SELECT *, CASE WHEN inside THEN iy * {W} + ix ELSE 0 END AS i, CAST(sx - ix::FLOAT AS DOUBLE) AS fx, CAST(sy - iy::FLOAT AS DOUBLE) AS fy FROM (
+ SELECT *, ix BETWEEN 0 AND {W - 2} AND iy BETWEEN 0 AND {W - 2} AS inside FROM (
+  SELECT *, CAST(trunc(sx) AS INTEGER) AS ix, CAST(trunc(sy) AS INTEGER) AS iy FROM (
+   SELECT pos, {_mid} + r * CAST(cos(t::DOUBLE) AS FLOAT) AS sx, {_mid} + r * CAST(sin(t::DOUBLE) AS FLOAT) AS sy FROM (
+    SELECT pos, r, CAST(atan2(dy::DOUBLE, dx::DOUBLE) AS FLOAT) + {_f(8)} * CAST(exp((-r / {_reach})::DOUBLE) AS FLOAT) AS t FROM (
+     SELECT *, CAST(sqrt((dx * dx + dy * dy)::DOUBLE) AS FLOAT) AS r FROM (
+      SELECT pos, x::FLOAT - {_mid} AS dx, y::FLOAT - {_mid} AS dy FROM c_cells))))))""")
 cte("c_classes", "SELECT CAST(unnest(range(10)) AS INTEGER) AS class_id")
 cte("c_rgb", """SELECT a.sample_id, a.pos, a.v AS r, b.v AS g, c.v AS b FROM c_px a
 JOIN c_px b ON b.sample_id = a.sample_id AND b.pos = a.pos + 16 JOIN c_px c ON c.sample_id = a.sample_id AND c.pos = a.pos + 32
