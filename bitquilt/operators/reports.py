@@ -27,11 +27,10 @@ def accuracy_curve(scores: DataFrame, order: list[str]) -> DataFrame:
     """
     sums = running_sums(scores, order, True)
     cols = [F.col(c) for c in class_columns(prefix="c")]
-    flagged = sums.select("member_id", *order, "label", best_class(cols).alias("pred"))
-    # one row per member is left: its place in the order follows from the small table
-    per_member = flagged.groupBy("member_id", *order).agg(
+    keys = list(dict.fromkeys(["member_id", *order]))
+    flagged = sums.select(*keys, "label", best_class(cols).alias("pred"))
+    return flagged.groupBy(*keys).agg(
         F.sum(hit_flag(F.col("pred"), F.col("label"))).cast("bigint").alias("correct"), F.count("*").alias("total"))
-    return per_member
 
 
 def with_curve_steps(per_member: DataFrame, order: list[str]) -> DataFrame:
@@ -154,9 +153,9 @@ def prototype_flips(old: DataFrame, new: DataFrame) -> DataFrame:
 def set_table(scores: DataFrame, order: list[str], target: list[int]) -> DataFrame:
     """Cumulative target accuracy, accuracy and errors in addition order."""
     sums = running_sums(scores, order, True)
-    flagged = sums.select("member_id", *order, "label", best_class([F.col(c) for c in class_columns(prefix="c")]).alias("pred"))
-    full = accuracy(flagged, ["member_id", *order])
-    aimed = accuracy(flagged, ["member_id", *order], target).select(
+    flagged = sums.select("member_id", "label", best_class([F.col(c) for c in class_columns(prefix="c")]).alias("pred"))
+    full = accuracy(flagged, ["member_id"])
+    aimed = accuracy(flagged, ["member_id"], target).select(
         "member_id", F.col("correct").alias("target_correct"), F.col("acc").alias("target_acc"))
     return full.join(aimed, "member_id")
 

@@ -107,10 +107,8 @@ def grid_sql(xform: str, src: str = "c_px", w: int = W) -> str:
         return f"""SELECT s.sample_id, o.pos, s.v FROM {src} s JOIN (
  SELECT p, row_number() OVER (ORDER BY w, p) - 1 AS pos FROM ({order})) o ON o.p = s.pos"""
     if xform == "spiral":
-        return f"""SELECT a.sample_id, g.pos, CASE WHEN g.inside THEN CAST(floor(
-  a.v * (1 - fx) * (1 - fy) + b.v * (fx * (1 - fy)) + c.v * ((1 - fx) * fy) + d.v * (fx * fy) + 0.5e0) AS INTEGER) ELSE 128 END AS v
-FROM c_spiral g JOIN {src} a ON a.pos = g.i JOIN {src} b ON b.sample_id = a.sample_id AND b.pos = g.i + 1
-JOIN {src} c ON c.sample_id = a.sample_id AND c.pos = g.i + {w} JOIN {src} d ON d.sample_id = a.sample_id AND d.pos = g.i + {w + 1}"""
+        return f"""SELECT sample_id, pos, CASE WHEN bool_and(inside) THEN CAST(floor(sum(v * wt) + 0.5e0) AS INTEGER) ELSE 128 END AS v
+FROM (SELECT s.sample_id, t.pos, t.inside, s.v, t.wt FROM c_spiral_taps t JOIN {src} s ON s.pos = t.src) GROUP BY sample_id, pos"""
     return f"""SELECT k.sample_id, g.pos, coalesce(s.v, 0) AS v
 FROM (SELECT DISTINCT sample_id FROM {src}) k CROSS JOIN (SELECT pos, {source_of(xform, w)} AS src FROM c_cells) g
 LEFT JOIN {src} s ON s.sample_id = k.sample_id AND s.pos = g.src"""
@@ -220,6 +218,9 @@ cte("c_spiral", f"""SELECT *, CASE WHEN inside THEN iy * {W} + ix ELSE 0 END AS
     SELECT pos, r, CAST(atan2(dy::DOUBLE, dx::DOUBLE) AS FLOAT) + {_f(8)} * CAST(exp((-r / {_reach})::DOUBLE) AS FLOAT) AS t FROM (
      SELECT *, CAST(sqrt((dx * dx + dy * dy)::DOUBLE) AS FLOAT) AS r FROM (
       SELECT pos, x::FLOAT - {_mid} AS dx, y::FLOAT - {_mid} AS dy FROM c_cells))))))""")
+cte("c_spiral_taps", " UNION ALL ".join(
+    f"SELECT pos, inside, i + {step} AS src, {wt} AS wt FROM c_spiral" for step, wt in
+    [(0, "(1 - fx) * (1 - fy)"), (1, "fx * (1 - fy)"), (W, "(1 - fx) * fy"), (W + 1, "fx * fy")]))
 cte("c_classes", "SELECT CAST(unnest(range(10)) AS INTEGER) AS class_id")
 cte("c_rgb", """SELECT a.sample_id, a.pos, a.v AS r, b.v AS g, c.v AS b FROM c_px a
 JOIN c_px b ON b.sample_id = a.sample_id AND b.pos = a.pos + 16 JOIN c_px c ON c.sample_id = a.sample_id AND c.pos = a.pos + 32

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import const_array
@@ -99,30 +101,26 @@ def read_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{path}/{t}") for t in ("members", "weights", "offsets")}
 
 
+def _fnv1a(text: pd.Series) -> pd.Series:
+    raw = [t.encode() for t in text]
+    lengths = np.array([len(r) for r in raw], dtype=np.int64)
+    block = np.zeros((len(raw), int(lengths.max(initial=0))), dtype=np.uint64)
+    for i, r in enumerate(raw):
+        block[i, : len(r)] = np.frombuffer(r, dtype=np.uint8)
+    # offset basis and prime of FNV-1a (fixed values)
+    state = np.full(len(raw), 0xCBF29CE484222325, dtype=np.uint64)
+    for j in range(block.shape[1]):
+        state = np.where(j < lengths, (state ^ block[:, j]) * np.uint64(0x100000001B3), state)
+    return pd.Series(state.view(np.int64))
+
+
 def fnv_ids(names: DataFrame, column: str = "name") -> DataFrame:
     """64-bit FNV-1a id of a name; a name that collides gets a suffix and a new id.
 
     The hash wraps at 64 bits, which BIGINT arithmetic refuses, so it runs in
     Arrow batches over the bytes of all names of a batch at once.
     """
-    import numpy as np
-    import pandas as pd
-
-    @F.pandas_udf("bigint")
-    def fnv(text: pd.Series) -> pd.Series:
-        raw = [t.encode() for t in text]
-        lengths = np.array([len(r) for r in raw], dtype=np.int64)
-        block = np.zeros((len(raw), int(lengths.max(initial=0))), dtype=np.uint64)
-        for i, r in enumerate(raw):
-            block[i, : len(r)] = np.frombuffer(r, dtype=np.uint8)
-        # offset basis and prime of FNV-1a (fixed values)
-        state = np.full(len(raw), 0xCBF29CE484222325, dtype=np.uint64)
-        for j in range(block.shape[1]):
-            state = np.where(j < lengths, (state ^ block[:, j]) * np.uint64(0x100000001B3), state)
-        return pd.Series(state.view(np.int64))
-
-    from pyspark.sql import Window
-
+    fnv = F.pandas_udf(_fnv1a, "bigint")
     first = names.select(column).distinct().withColumn("_id", fnv(F.col(column)))
     same = Window.partitionBy("_id").orderBy(column)  # a 64-bit id: groups of one, rarely two
     numbered = first.withColumn("_n", F.row_number().over(same))

@@ -96,3 +96,12 @@ def read_fixed_records(spark: SparkSession, path: str, value_bytes: int, split:
                                 "px": list(flat[:, 1:].astype(np.int32))})
 
     return raw.mapInPandas(decode, "split STRING, label INT, px ARRAY<INT>")
+
+
+def write_fixed_records(samples: DataFrame, path: str) -> None:
+    """Label byte, value bytes and one closing line-feed byte per sample."""
+    def byte(c: Column) -> Column:
+        return F.lpad(F.hex(c), 2, "0")
+
+    text = F.concat(byte(F.col("label")), F.concat_ws("", F.transform("px", byte)))
+    samples.select(F.unhex(text).cast("string").alias("value")).write.text(path)
