@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import const_array
 from ..functions.words import explode_bits, explode_words, with_random_word
 from ..names import ODDS_SCALE
+from ..session import cut
 
 CLASSES = list(range(10))
 MODES = ("count", "random", "inverse", "uniform", "prior", "laplace", "dampen")
@@ -92,7 +93,11 @@ def class_offset(target: DataFrame) -> DataFrame:
 
 
 def fit(features: DataFrame, mode: str = "count", n_bits: int = 32, classes: list[int] = CLASSES) -> tuple[DataFrame, DataFrame]:
-    """Weights (member_id, class_id, h, v, w) and offsets (member_id, class_id, off)."""
+    """Weights (member_id, class_id, h, v, w) and offsets (member_id, class_id, off).
+
+    The counts are model-sized and written once, so the training bits are
+    passed over a single time for both results.
+    """
     train = features.where("split = 'train'")
-    target = initial_target(hit_counts(train, n_bits, classes), class_counts(train, classes), mode)
+    target = cut(initial_target(hit_counts(train, n_bits, classes), class_counts(train, classes), mode), "target")
     return log_odds(target, mode == "inverse"), class_offset(target)

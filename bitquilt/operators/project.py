@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import bind, const_array
 from ..functions.words import explode_words, split_groups, with_random_word, xnor
-from ..session import broadcast_if
+from ..session import join_side
 from .majority import majority_exact
 
 
@@ -45,8 +45,8 @@ def match_words(words: DataFrame, w0: DataFrame, n_cells: int) -> DataFrame:
     `w0` has `n_cells` rows and is broadcast only while that number fits the
     session's threshold.
     """
-    right = broadcast_if(w0.withColumnRenamed("w", "_w0"), n_cells)
-    return words.join(right, ["member_id", "c"]).withColumn("w", xnor(F.col("w"), F.col("_w0"))).drop("_w0")
+    joined = join_side(words, w0.withColumnRenamed("w", "_w0"), ["member_id", "c"], n_cells)
+    return joined.withColumn("w", xnor(F.col("w"), F.col("_w0"))).drop("_w0")
 
 
 def _placed_words(features: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def project_inline(features: DataFrame, h: int, nc: int, seed: Column, half: int
 def match_arrays(features: DataFrame, w0: DataFrame, n_cells: int) -> DataFrame:
     """Matches of one hidden unit as an ordered array, for position-dependent trees."""
     rows = gather_words(w0.select("member_id", F.col("h").alias("u"), F.col("c").alias("h"), "w"), ["member_id", "u"], "_row")
-    joined = features.join(broadcast_if(rows, n_cells, 16), "member_id")
+    joined = join_side(features, rows, ["member_id"], n_cells, 16)
     match = F.zip_with("words", "_row", xnor)
     return joined.select("member_id", "sample_id", F.col("u").alias("h"), match.alias("match"))
 
@@ -93,14 +93,14 @@ def group_bits(words: Column, group: int) -> Column:
     return F.transform(words, lambda w: split_groups(w, group))
 
 
-def leaky_features(samples: DataFrame, members: DataFrame, h: int, n_in: int, seed: Column, x: str = "x", slope: float = 0.05) -> DataFrame:
+def leaky_features(samples: DataFrame, members: DataFrame, n_members: int, h: int, n_in: int, seed: Column, x: str = "x", slope: float = 0.05) -> DataFrame:
     """leaky(x . W0) with W0 uniform in +/- 1/sqrt(n); `samples` is (member_id, sample_id, x)."""
     cells = random_matrix(members, h, n_in, seed)
     bound = 1.0 / (n_in ** 0.5)
     weights = cells.select("member_id", "h", "c", ((F.col("w") / float(1 << 32) * 2.0 - 1.0) * bound).alias("_g"))
     values = samples.select("member_id", "sample_id", x).repartition("sample_id")
     values = values.select("member_id", "sample_id", F.posexplode(x).alias("c", "_x"))
-    joined = values.join(broadcast_if(weights, h * n_in), ["member_id", "c"])
+    joined = join_side(values, weights, ["member_id", "c"], n_members * h * n_in)
     z = joined.groupBy("member_id", "sample_id", "h").agg(F.sum(F.col("_x") * F.col("_g")).alias("z"))
     return z.withColumn("z", F.when(F.col("z") < 0, F.col("z") * slope).otherwise(F.col("z")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.words import explode_words, popcount_similarity
+from ..session import join_side
 from .learn import CLASSES, bits
 from .rank import global_rank
 from .score import (
@@ -139,7 +140,9 @@ def prototype_scores(features: DataFrame, protos: DataFrame, classes: list[int]
     p = wide(protos, ["member_id", "h"], "w", "p", classes)
     rows = explode_words(features.select("member_id", "sample_id", "split", "label", "words"))
     sims = [F.sum(popcount_similarity(F.col("w"), F.coalesce(F.col(f"p{k}"), F.lit(0).cast("bigint"))).cast("bigint")).alias(f"s{k}") for k in classes]
-    return rows.join(p, ["member_id", "h"], "left").groupBy("member_id", "sample_id", "split", "label").agg(*sims)
+    p_rows = protos.count() // len(classes)
+    joined = join_side(rows, p, ["member_id", "h"], p_rows, 8 * (len(classes) + 3), "left")
+    return joined.groupBy("member_id", "sample_id", "split", "label").agg(*sims)
 
 
 def prototype_flips(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import const_array
+from ..functions.words import explode_bits, explode_words
 from ..names import VOTE_SCALE
-from .learn import CLASSES, bits
+from ..session import join_side
+from .learn import CLASSES
 
 
 def class_columns(classes: list[int] = CLASSES, prefix: str = "s") -> list[str]:
@@ -40,21 +42,21 @@ def long(rows: DataFrame, keys: list[str], value: str = "score", prefix: str = "
 def score_wide(features: DataFrame, weights: DataFrame, offsets: DataFrame, classes: list[int] = CLASSES) -> DataFrame:
     """Offset plus the weights of the set bits.
 
-    A set bit meets its K weights as one wide row; sums are combined per
-    sample before any exchange. Samples without a set bit keep the offset.
-    The weight side is left to the optimiser: small models are broadcast from
-    their run-time size, large ones are joined by shuffle on (member, h, v).
+    The offset is the weight of one more bit that every sample has, so samples
+    without a set bit keep it and one join and one aggregation do the rest. A
+    bit meets its K weights as one wide row; sums are combined per sample
+    before the exchange. The model is broadcast if its counted rows fit.
     """
     names = class_columns(classes)
-    w = wide(weights, ["member_id", "h", "v"], "w", "s", classes)
-    hit = bits(features.select("member_id", "sample_id", "words")).join(w, ["member_id", "h", "v"])
-    sums = hit.groupBy("member_id", "sample_id").agg(*[F.sum(n).alias(n) for n in names])
-    base = features.drop("words").join(wide(offsets, ["member_id"], "off", "o", classes), "member_id")
-    rest = [c for c in features.columns if c not in ("member_id", "sample_id", "words")]
-    return base.join(sums, ["member_id", "sample_id"], "left").select(
-        "member_id", "sample_id", *rest,
-        *[(F.coalesce(F.col(f"s{k}"), F.lit(0)) + F.col(f"o{k}")).cast("bigint").alias(f"s{k}") for k in classes],
-    )
+    always = offsets.select("member_id", "class_id", F.lit(-1).alias("h"), F.lit(0).alias("v"), F.col("off").alias("w"))
+    model = wide(weights.unionByName(always), ["member_id", "h", "v"], "w", "s", classes)
+    with_one = features.withColumn("words", F.concat(F.array(F.lit(1).cast("bigint")), "words"))
+    rows = explode_bits(explode_words(with_one).withColumn("h", F.col("h") - 1))
+    # a member has one offset row for at least one word of bits
+    model_rows = weights.count() // len(classes) * 2
+    hit = join_side(rows, model, ["member_id", "h", "v"], model_rows, 8 * (len(classes) + 4))
+    keys = [c for c in features.columns if c != "words"]
+    return hit.groupBy(*keys).agg(*[F.sum(n).cast("bigint").alias(n) for n in names])
 
 
 def score_samples(features: DataFrame, weights: DataFrame, offsets: DataFrame, classes: list[int] = CLASSES) -> DataFrame:

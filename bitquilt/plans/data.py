@@ -9,6 +9,7 @@ from ..functions.constants import const_array
 from ..operators.grid import Shape
 from ..operators.learn import fit
 from ..operators.score import score_wide
+from ..session import cut
 from ..sources.vectors import samples_from_vectors
 from .features import Member, build_features
 
@@ -52,7 +53,7 @@ def corpus_members(spark: SparkSession) -> DataFrame:
 
 def corpus_scores(spark: SparkSession, sf_dir: str, split: str | None = "eval") -> DataFrame:
     """Scores of the corpus members, learned by counting on the training rows."""
-    f = features(spark, sf_dir, CORPUS)
+    f = cut(features(spark, sf_dir, CORPUS), "features")
     weights, offsets = fit(f)
     wanted = f if split is None else f.where(F.col("split") == split)
     scored = score_wide(wanted, weights, offsets)
@@ -100,3 +101,8 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = F.concat_ws(":", "xform", "channel", F.concat("encoding", F.col("width").cast("string")))
     wrong = F.concat_ws(":", "xform", F.lit("mnist"), F.concat("encoding", F.col("width").cast("string")))
     return rows.withColumns({"spec": spec, "file_spec": F.when(F.col("n_members") == 3, wrong).otherwise(spec)})
+
+
+def stored_features(spark: SparkSession, sf_dir: str, members: list[Member] = PLAIN) -> DataFrame:
+    """Features written once: learning and scoring pass over them several times."""
+    return cut(features(spark, sf_dir, members), "features")

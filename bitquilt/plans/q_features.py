@@ -392,7 +392,7 @@ def readout_inputs(spark, d):
     x = data.samples(spark, d).select(
         F.lit(0).cast("bigint").alias("member_id"), "sample_id", F.transform("px", lambda v: v / 255.0 * 2.0 - 1.0).alias("x"))
     members = spark.range(1).withColumnRenamed("id", "member_id")
-    return pj.leaky_features(x, members, H, 64, F.lit(SEED).cast("bigint"))
+    return pj.leaky_features(x, members, 1, H, 64, F.lit(SEED).cast("bigint"))
 
 
 @query("float_pack", "SELECT sample_id, CAST(pos // 4 AS INTEGER) AS pos, round(sum(v) / 4e0 / 127.5e0 - 1e0, 9) AS x FROM c_px GROUP BY ALL")

@@ -8,7 +8,7 @@ from ..operators import learn as ln
 from ..operators import reports as rp
 from ..operators import score as sc
 from ..operators import train as tr
-from ..session import new_table_path
+from ..session import cut, new_table_path
 from ..sources import corpus as cp
 from . import data
 from .q_features import readout_inputs
@@ -19,7 +19,7 @@ CLS = range(10)
 
 
 def _train(spark, d):
-    return data.features(spark, d, data.TRIO).where("split = 'train'")
+    return data.stored_features(spark, d, data.TRIO).where("split = 'train'")
 
 
 @query("class_counts", "SELECT member_id, class_id, n_k FROM c_trio_nk")
@@ -71,7 +71,7 @@ def _(spark, d):
 
 
 def _scored(spark, d, members=data.TRIO):
-    f = data.features(spark, d, members)
+    f = data.stored_features(spark, d, members)
     return sc.score_wide(f, *ln.fit(f))
 
 
@@ -175,14 +175,14 @@ def _(spark, d):
 @query("prototype_score", """SELECT x.member_id, x.sample_id, k.class_id, CAST(sum(32 - bit_count(xor(x.w, coalesce(p.w, 0)))) AS BIGINT) AS score
 FROM c_trio_words x CROSS JOIN c_classes k LEFT JOIN c_proto50 p ON p.member_id = x.member_id AND p.h = x.h AND p.class_id = k.class_id GROUP BY ALL""")
 def _(spark, d):
-    f = data.features(spark, d, data.TRIO)
+    f = data.stored_features(spark, d, data.TRIO)
     return sc.long(rp.prototype_scores(f, rp.prototypes(f, 50)), ["member_id", "sample_id"])
 
 
 @query("prototype_flips", """SELECT a.member_id, CAST(sum(bit_count(xor(a.w, b.w))) AS BIGINT) AS flips FROM c_proto50 a
 JOIN c_proto30 b ON b.member_id = a.member_id AND b.class_id = a.class_id AND b.h = a.h GROUP BY ALL""")
 def _(spark, d):
-    f = data.features(spark, d, data.TRIO)
+    f = data.stored_features(spark, d, data.TRIO)
     return rp.prototype_flips(rp.prototypes(f, 50), rp.prototypes(f, 30))
 
 
@@ -212,25 +212,25 @@ ON d.member_id = w.member_id AND d.class_id = w.class_id AND d.h = w.h AND d.v =
 
 @query("correct_pass", _pass_sql(f"SELECT *, CASE WHEN gap < 131072 THEN greatest(1, ({STEP} * gap) >> 17) ELSE {STEP} END AS step FROM ({_errors}) WHERE gap > 0"))
 def _(spark, d):
-    f = data.features(spark, d, data.TRIO)
+    f = data.stored_features(spark, d, data.TRIO)
     return tr.correct_pass(f.where("split = 'train'"), *ln.fit(f), STEP)
 
 
 @query("correct_pass_nogap", _pass_sql(f"SELECT *, {STEP} AS step FROM ({_errors})"))
 def _(spark, d):
-    f = data.features(spark, d, data.TRIO)
+    f = data.stored_features(spark, d, data.TRIO)
     return tr.correct_pass(f.where("split = 'train'"), *ln.fit(f), STEP, use_gap=False)
 
 
 @query("train_correct")
 def _(spark, d):
-    f = data.features(spark, d, data.PLAIN)
+    f = data.stored_features(spark, d, data.PLAIN)
     return tr.history_table(tr.train_correct(f, 3, STEP, warmup=1, gap_k=1.0), f)
 
 
 @query("train_rollback")
 def _(spark, d):
-    f = data.features(spark, d, data.PLAIN)
+    f = data.stored_features(spark, d, data.PLAIN)
     return tr.history_table(tr.train_correct(f, 3, 4 * STEP, rollback=True), f)
 
 
@@ -247,7 +247,7 @@ def _(spark, d):
             for i, r in enumerate(resume_sweep(planned, done).orderBy("spec").collect())]
     paths = []
     for batch in batches(todo):
-        f = build_features(data.samples(spark, d), batch, data.SHAPE)
+        f = cut(build_features(data.samples(spark, d), batch, data.SHAPE), "features")
         result = tr.train_correct(f, 1, STEP)
         paths.append(new_table_path(spark, "sweep"))
         cp.write_scores(sc.score_wide(f, result.weights, result.offsets), paths[-1])
@@ -293,7 +293,7 @@ def _(spark, d):
     from ..operators import project as pj
     from ..operators.majority import threshold
 
-    f = data.features(spark, d, data.TRIO)
+    f = data.stored_features(spark, d, data.TRIO)
     seed, _first = pj.member_seeds(42, "incr", 1, 0)
     w0 = pj.random_matrix(spark.range(3).withColumnRenamed("id", "member_id"), 32, 16, seed)
     hidden = pj.gather_words(pj.project(f, w0, 3 * 32 * 16, threshold(16)), ["member_id", "sample_id"])

@@ -59,11 +59,17 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(str(value).rstrip("bB") or 0)
 
 
-def broadcast_if(df: DataFrame, rows: int, row_bytes: int = 32) -> DataFrame:
-    """Broadcast only when a known row bound fits the session's threshold.
+def fits_broadcast(spark: SparkSession, rows: int, row_bytes: int) -> bool:
+    return rows * row_bytes <= max(broadcast_limit(spark), 0)
 
-    Beyond it the hint is left out and Spark joins by shuffle.
+
+def join_side(rows: DataFrame, side: DataFrame, keys: list[str], side_rows: int, row_bytes: int = 32, how: str = "inner") -> DataFrame:
+    """Join exploded rows with a table of known row count.
+
+    The table is broadcast while it fits the session's threshold, else both
+    sides are joined by sort and merge. The choice is made here because size
+    estimates do not see how far rows were exploded and would send the wrong
+    side around.
     """
-    if rows * row_bytes <= max(broadcast_limit(df.sparkSession), 0):
-        return F.broadcast(df)
-    return df
+    fits = fits_broadcast(rows.sparkSession, side_rows, row_bytes)
+    return rows.join(side.hint("broadcast" if fits else "merge"), keys, how)
