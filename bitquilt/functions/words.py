@@ -54,7 +54,7 @@ def split_groups(word: Column, group: int) -> Column:
 def explode_words(df: DataFrame, words: str = "words") -> DataFrame:
     """One row per word: `h` is its position, `w` its value."""
     rest = [c for c in df.columns if c != words]
-    return df.select(*rest, F.posexplode(words).alias("h", "w"))
+    return df.select(*rest, F.posexplode_outer(words).alias("h", "w"))
 
 
 def explode_bits(df: DataFrame, word: str = "w") -> DataFrame:

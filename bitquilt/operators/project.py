@@ -99,7 +99,7 @@ def leaky_features(samples: DataFrame, members: DataFrame, n_members: int, h: in
     bound = 1.0 / (n_in ** 0.5)
     weights = cells.select("member_id", "h", "c", ((F.col("w") / float(1 << 32) * 2.0 - 1.0) * bound).alias("_g"))
     values = samples.select("member_id", "sample_id", x).repartition("sample_id")
-    values = values.select("member_id", "sample_id", F.posexplode(x).alias("c", "_x"))
+    values = values.select("member_id", "sample_id", F.posexplode_outer(x).alias("c", "_x"))
     joined = join_side(values, weights, ["member_id", "c"], n_members * h * n_in)
     z = joined.groupBy("member_id", "sample_id", "h").agg(F.sum(F.col("_x") * F.col("_g")).alias("z"))
     return z.withColumn("z", F.when(F.col("z") < 0, F.col("z") * slope).otherwise(F.col("z")))

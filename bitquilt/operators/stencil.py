@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.colors import channel_array
 from ..functions.constants import bind, const_array
+from ..names import GRAY_CHANNELS
 from .grid import Shape
 
 AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1)]
@@ -117,34 +118,38 @@ def local_range(px: Column, s: Shape) -> Column:
     return F.transform(_centres(s, 1), value)
 
 
-def with_binary_channel(df: DataFrame, px: str, out: str, key: str = "sample_id") -> DataFrame:
-    """Two-level threshold per sample from its histogram.
+def two_level(px: Column, s: Shape) -> Column:
+    """0 or 255 per cell, split at the threshold with the largest between-class variance.
 
-    The threshold maximises the between-class variance, first maximum wins.
-    Rows are placed by sample once; histogram, running sums and the arg-max all
-    use that placement, and a sample contributes at most 256 histogram rows.
+    One pass over the sorted values of the sample carries the count, the sum
+    and the best threshold so far (first maximum, 128 if there is none).
     """
-    placed = df.repartition(key)
-    hist = placed.select(key, F.explode(px).alias("v")).groupBy(key, "v").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(key)
-    sums = hist.select(
-        key, "v",
-        F.sum("n").over(upto).alias("wb"), F.sum(F.col("v") * F.col("n")).over(upto).alias("sb"),
-        F.sum("n").over(whole).alias("wt"), F.sum(F.col("v") * F.col("n")).over(whole).alias("st"),
-    ).where("wt > wb")
-    low, high = F.col("sb") / F.col("wb"), (F.col("st") - F.col("sb")) / (F.col("wt") - F.col("wb"))
-    spread = F.col("wb").cast("double") * (F.col("wt") - F.col("wb")) * (low - high) * (low - high)
-    best = (
-        sums.select(key, "v", spread.alias("spread")).where("spread > 0")
-        .groupBy(key).agg(F.max_by("v", F.struct("spread", -F.col("v"))).alias("_t"))
-    )
-    joined = placed.join(best, key, "left").withColumn("_t", F.coalesce("_t", F.lit(128)))
-    two_level = F.expr(f"transform({px}, v -> IF(v > _t, 255, 0))")
-    return joined.withColumn(out, two_level).select(*df.columns, *([] if out in df.columns else [out]))
+    n = s.size
+
+    def scan(ordered: Column, total: Column) -> Column:
+        entries = F.transform(ordered, lambda v, i: F.struct(v.alias("v"), F.get(ordered, i + 1).alias("next")))
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("s"), F.lit(0.0).alias("best"), F.lit(128).alias("t"))
+
+        def step(acc: Column, e: Column) -> Column:
+            count, below = acc["n"] + 1, acc["s"] + e["v"]
+            rest = F.greatest(F.lit(n) - count, F.lit(1))
+            gap = below / count - (total - below) / rest
+            spread = count.cast("double") * rest * gap * gap
+            better = (e["next"] != e["v"]) & (spread > acc["best"])
+            return F.struct(count.alias("n"), below.alias("s"), F.when(better, spread).otherwise(acc["best"]).alias("best"),
+                            F.when(better, e["v"]).otherwise(acc["t"]).alias("t"))
+
+        return F.aggregate(entries, start, step, lambda acc: acc["t"])
+
+    def with_total(ordered: Column) -> Column:
+        return bind(F.aggregate(ordered, F.lit(0), lambda a, v: a + v), lambda total: scan(ordered, total))
+
+    limit = bind(F.array_sort(px), with_total)
+    return bind(limit, lambda t: F.transform(px, lambda v: F.when(v > t, F.lit(255)).otherwise(F.lit(0))))
 
 
 STENCILS = {
+    "bin": two_level,
     "edge": lambda px, s: sobel(px, s, 6.0),
     "C": lambda px, s: sobel(px, s, 4.0),
     "lbp": local_binary_pattern,
@@ -165,13 +170,8 @@ def with_channel(df: DataFrame, channel: str, s: Shape, px: str = "px", out: str
     source = F.col(px)
     if s.planes == 3:
         source = channel_array(STENCIL_SOURCE.get(channel, channel), source, s.size)
-    elif channel not in ("mnist", "edge", "bin", "lbp", "dog", "var", "dir", "range"):
+    elif channel not in GRAY_CHANNELS:
         raise ValueError(f"channel {channel!r} needs three planes")
-    staged = df.withColumn("_src", source)
-    if channel == "bin":
-        staged = with_binary_channel(staged, "_src", out)
-    elif base in STENCILS:
-        staged = staged.withColumn(out, bind(F.col("_src"), lambda p: STENCILS[base](p, s)))
-    else:
-        staged = staged.withColumn(out, F.col("_src"))
-    return staged.drop("_src")
+    if base in STENCILS:
+        source = bind(source, lambda p: STENCILS[base](p, s))
+    return df.withColumn(out, source)

@@ -122,7 +122,7 @@ def _(spark, d):
 FROM c_plain_words a JOIN c_plain_words b ON b.sample_id = a.sample_id AND b.h = 15 - a.h""")
 def _(spark, d):
     f = data.features(spark, d)
-    pairs = f.select("sample_id", F.posexplode(F.arrays_zip(F.col("words").alias("a"), F.reverse("words").alias("b"))).alias("h", "_p"))
+    pairs = f.select("sample_id", F.posexplode_outer(F.arrays_zip(F.col("words").alias("a"), F.reverse("words").alias("b"))).alias("h", "_p"))
     a, b = F.col("_p.a"), F.col("_p.b")
     return pairs.select("sample_id", "h", xnor(a, b).alias("xnor_w"), a.bitwiseXOR(b).alias("xor_w"))
 
@@ -131,7 +131,7 @@ def _(spark, d):
 FROM c_plain_words a JOIN c_plain_words b ON b.sample_id = a.sample_id AND b.h = 15 - a.h""")
 def _(spark, d):
     f = data.features(spark, d)
-    pairs = f.select("sample_id", F.posexplode(F.arrays_zip(F.col("words").alias("a"), F.reverse("words").alias("b"))).alias("h", "_p"))
+    pairs = f.select("sample_id", F.posexplode_outer(F.arrays_zip(F.col("words").alias("a"), F.reverse("words").alias("b"))).alias("h", "_p"))
     a, b = F.col("_p.a"), F.col("_p.b")
     return pairs.select("sample_id", "h", F.bit_count(a).cast("int").alias("ones"), popcount_similarity(a, b).cast("int").alias("sim"))
 
@@ -398,7 +398,7 @@ def readout_inputs(spark, d):
 @query("float_pack", "SELECT sample_id, CAST(pos // 4 AS INTEGER) AS pos, round(sum(v) / 4e0 / 127.5e0 - 1e0, 9) AS x FROM c_px GROUP BY ALL")
 def _(spark, d):
     s = data.samples(spark, d)
-    packed = s.select("sample_id", F.posexplode(pj.float_pack(F.col("px"), 64)).alias("pos", "x"))
+    packed = s.select("sample_id", F.posexplode_outer(pj.float_pack(F.col("px"), 64)).alias("pos", "x"))
     return packed.withColumn("x", F.round("x", 9))
 
 
@@ -409,7 +409,7 @@ def _grid_query(xform: str) -> None:
     @query(f"grid_{xform.replace('-', '_')}", f"SELECT sample_id, CAST(pos AS INTEGER) AS pos, CAST(v AS INTEGER) AS v FROM ({grid_sql(xform)})")
     def _(spark, d):
         s = data.samples(spark, d)
-        return s.select("sample_id", F.posexplode(apply_xform(F.col("px"), xform, data.SHAPE)).alias("pos", "v"))
+        return s.select("sample_id", F.posexplode_outer(apply_xform(F.col("px"), xform, data.SHAPE)).alias("pos", "v"))
 
 
 for _name in XFORMS:
@@ -428,14 +428,14 @@ def _chain() -> str:
 @query("grid_chain", f"SELECT sample_id, CAST(pos AS INTEGER) AS pos, v FROM {_chain()}")
 def _(spark, d):
     s = data.samples(spark, d)
-    return s.select("sample_id", F.posexplode(apply_xform(F.col("px"), CHAIN, data.SHAPE)).alias("pos", "v"))
+    return s.select("sample_id", F.posexplode_outer(apply_xform(F.col("px"), CHAIN, data.SHAPE)).alias("pos", "v"))
 
 
 @query("grid_planes", """SELECT k.sample_id, CAST(p.p * 16 + d.d AS INTEGER) AS pos, x.v FROM c_samples k, (SELECT unnest(range(3)) AS p) p, (SELECT unnest(range(16)) AS d) d
 JOIN c_px x ON x.pos = p.p * 16 + (d.d // 4) * 4 + 3 - d.d % 4 WHERE x.sample_id = k.sample_id""")
 def _(spark, d):
     s = data.rgb_samples(spark, d)
-    return s.select("sample_id", F.posexplode(apply_xform(F.col("px"), "hflip", data.RGB_SHAPE)).alias("pos", "v"))
+    return s.select("sample_id", F.posexplode_outer(apply_xform(F.col("px"), "hflip", data.RGB_SHAPE)).alias("pos", "v"))
 
 
 # --- channels -----------------------------------------------------------------------
@@ -462,7 +462,7 @@ def _rgb_cells(spark, d):
     s = data.rgb_samples(spark, d)
     at = [F.slice("px", 1 + 16 * p, 16) for p in range(3)]
     zipped = F.arrays_zip(at[0].alias("r"), at[1].alias("g"), at[2].alias("b"))
-    return s.select("sample_id", F.posexplode(zipped).alias("pos", "_c")).select("sample_id", "pos", "_c.r", "_c.g", "_c.b")
+    return s.select("sample_id", F.posexplode_outer(zipped).alias("pos", "_c")).select("sample_id", "pos", "_c.r", "_c.g", "_c.b")
 
 
 @query("color_hue")
@@ -474,7 +474,7 @@ def _stencil_query(kind: str) -> None:
     @query(f"stencil_{kind}", stencil_sql(kind))
     def _(spark, d):
         s = with_channel(data.samples(spark, d), kind, data.SHAPE)
-        return s.select("sample_id", F.posexplode("px").alias("pos", "v"))
+        return s.select("sample_id", F.posexplode_outer("px").alias("pos", "v"))
 
 
 for _name in ("edge", "bin", "lbp", "dog", "var", "dir", "range"):
@@ -487,7 +487,7 @@ def _rgb_stencil_query(name: str, kind: str, source: str) -> None:
     @query(f"stencil_{name.replace('-', '_')}", stencil_sql(kind, src, 4))
     def _(spark, d):
         s = with_channel(data.rgb_samples(spark, d), "C" if name == "contrast" else name, data.RGB_SHAPE)
-        return s.select("sample_id", F.posexplode("px").alias("pos", "v"))
+        return s.select("sample_id", F.posexplode_outer("px").alias("pos", "v"))
 
 
 for _name, _kind, _source in [("contrast", "C", "AL"), ("lbp-rg", "lbp", "RG"), ("lbp-rb", "lbp", "RB"), ("lbp-gb", "lbp", "GB")]:

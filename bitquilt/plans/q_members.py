@@ -397,6 +397,14 @@ def _(spark, d):
     return sc.long(cp.scan_scores(spark, path, wanted), ["member_id", "sample_id"])
 
 
+@query("scan_scores_bucketed", "SELECT member_id, sample_id, class_id, score FROM c_fact WHERE member_id IN (SELECT member_id FROM c_members WHERE contains(spec, 'edge'))")
+def _(spark, d):
+    path = new_table_path(spark, "scores")
+    cp.write_scores(data.corpus_scores(spark, d), path, buckets=8)
+    wanted = data.corpus_members(spark).where(mb.label_match(["edge"]))
+    return sc.long(cp.scan_scores(spark, path, wanted, buckets=8), ["member_id", "sample_id"])
+
+
 @query("sink_sample_index")
 def _(spark, d):
     path = new_table_path(spark, "index")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.constants import const_array
 from ..operators.reports import pairs
+from ..session import fits_broadcast
 
 
-def write_scores(scores: DataFrame, path: str, buckets: int | None = None) -> None:
+def write_scores(scores: DataFrame, path: str, buckets: int | None = None, files: int = 4) -> None:
     """One directory per member, or per member bucket for tens of thousands of members.
 
     Rows are placed by the directory key and a slice of the samples before
@@ -20,14 +22,30 @@ def write_scores(scores: DataFrame, path: str, buckets: int | None = None) -> No
     key = "member_id"
     if buckets:
         key = "member_bucket"
-        scores = scores.withColumn(key, F.pmod(F.xxhash64("member_id"), F.lit(buckets)).cast("int"))
-    slices = F.pmod(F.xxhash64("sample_id"), F.lit(4))
+        scores = scores.withColumn(key, _bucket(buckets))
+    slices = F.pmod(F.xxhash64("sample_id"), F.lit(files))
     scores.repartition(F.col(key), slices).write.mode("overwrite").partitionBy(key).parquet(path)
 
 
-def scan_scores(spark: SparkSession, path: str, members: DataFrame) -> DataFrame:
-    """Scores of the given members only: the partition column prunes the directories."""
-    return spark.read.parquet(path).join(members.select("member_id"), "member_id", "left_semi")
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("member_id"), F.lit(buckets)).cast("int")
+
+
+def scan_scores(spark: SparkSession, path: str, members: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Scores of the given members only.
+
+    The member list is broadcast while it fits, and its keys then prune the
+    directories before any of their files is opened.
+    """
+    key = "member_bucket" if buckets else "member_id"
+    schema = spark.read.parquet(path).schema
+    typed = T.StructType([T.StructField(f.name, T.LongType()) if f.name == "member_id" else f for f in schema])
+    wanted = members.select("member_id").distinct()
+    if buckets:
+        wanted = wanted.withColumn(key, _bucket(buckets))
+    fits = fits_broadcast(spark, members.count(), 16)
+    keys = ["member_id"] if key == "member_id" else [key, "member_id"]
+    return spark.read.schema(typed).parquet(path).join(wanted.hint("broadcast") if fits else wanted, keys, "left_semi")
 
 
 def write_sample_index(scores: DataFrame, members: DataFrame, path: str) -> None:

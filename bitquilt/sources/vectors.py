@@ -28,9 +28,13 @@ def samples_from_vectors(table: DataFrame, key: str = "vec_id", vector: str = "e
 
 
 def pixels(samples: DataFrame, width: int) -> DataFrame:
-    """Long form: one row per cell."""
+    """Long form: one row per cell.
+
+    A grid is never empty; the outer form spares the emptiness test that would
+    evaluate the array expression a second time.
+    """
     rest = [c for c in samples.columns if c != "px"]
-    long = samples.select(*rest, F.posexplode("px").alias("pos", "v"))
+    long = samples.select(*rest, F.posexplode_outer("px").alias("pos", "v"))
     return long.withColumns({"y": F.floor(F.col("pos") / width).cast("int"), "x": F.col("pos") % width})
 
 
