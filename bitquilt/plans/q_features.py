@@ -57,7 +57,7 @@ def _(spark, d):
     return sv.sample_limit(data.samples(spark, d).select("sample_id", "split", "label"), 100)
 
 
-@query("sample_shuffle")
+@query("sample_shuffle", "SELECT sample_id, split, label FROM c_samples")
 def _(spark, d):
     return sv.sample_shuffle(data.samples(spark, d).select("sample_id", "split", "label"), 42)
 
@@ -465,7 +465,7 @@ def _rgb_cells(spark, d):
     return s.select("sample_id", F.posexplode_outer(zipped).alias("pos", "_c")).select("sample_id", "pos", "_c.r", "_c.g", "_c.b")
 
 
-@query("color_hue")
+@query("color_hue", "SELECT sample_id, CAST(pos AS INTEGER) AS pos, CAST(least(255, greatest(0, trunc((atan2(CAST(g - b AS DOUBLE), CAST(2 * r - g - b AS DOUBLE)) / (2e0 * pi()) + 0.5e0) * 255e0))) AS INTEGER) AS v FROM c_rgb")
 def _(spark, d):
     return _rgb_cells(spark, d).select("sample_id", "pos", hue(F.col("r"), F.col("g"), F.col("b")).alias("v"))
 

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import learn as ln
+from ..operators import project as pj
 from ..operators import reports as rp
 from ..operators import score as sc
 from ..operators import train as tr
+from ..operators.majority import threshold
+from ..operators.members import plan_sweep, resume_sweep
 from ..session import cut, new_table_path
 from ..sources import corpus as cp
 from . import data
-from .q_features import readout_inputs
+from .features import Member, batches, build_features
+from .q_features import H, N_CELLS, NC, SEED, readout_inputs
 from .registry import cte, query
-from .sql import draws
+from .sql import draws, register_learning
 
 CLS = range(10)
 
@@ -186,12 +190,25 @@ def _(spark, d):
     return rp.prototype_flips(rp.prototypes(f, 50), rp.prototypes(f, 30))
 
 
-@query("train_prototypes")
+_proto_cte("c_proto40", 40)
+
+
+def _proto_eval(percent: int) -> str:
+    return f"""SELECT {percent} AS percent, count(*) FILTER (pred = label) AS ok FROM (
+SELECT member_id, sample_id, label, arg_max(class_id, score * 16 - class_id) AS pred FROM (
+SELECT x.member_id, x.sample_id, x.label, k.class_id, sum(32 - bit_count(xor(x.w, coalesce(p.w, 0)))) AS score
+FROM c_trio_words x CROSS JOIN c_classes k LEFT JOIN c_proto{percent} p ON p.member_id = x.member_id AND p.h = x.h AND p.class_id = k.class_id
+WHERE x.split = 'eval' GROUP BY ALL) GROUP BY member_id, sample_id, label)"""
+
+
+@query("train_prototypes", " UNION ALL ".join(f"SELECT member_id, class_id, h, w FROM c_proto{p} WHERE (SELECT percent FROM c_proto_best) = {p}" for p in (50, 40, 30)))
 def _(spark, d):
-    protos, _history = tr.train_prototypes(data.features(spark, d, data.TRIO), 3)
+    protos, _history = tr.train_prototypes(data.stored_features(spark, d, data.TRIO), 3)
     return protos
 
 
+cte("c_proto_best", "SELECT percent FROM (" + " UNION ALL ".join(_proto_eval(p) for p in (50, 40, 30)) + ") ORDER BY ok DESC, percent DESC LIMIT 1")
+
 # --- correction ---------------------------------------------------------------------
 
 STEP = 16384
@@ -237,9 +254,6 @@ def _(spark, d):
 @query("sweep_train")
 def _(spark, d):
     """Plan a sweep, skip what exists, train the rest and write its scores."""
-    from ..operators.members import plan_sweep, resume_sweep
-    from .features import Member, batches, build_features
-
     planned = plan_sweep(spark, ["id", "rot90"], ["mnist"], ["lin", "exp"], [8])
     done = planned.where("spec = 'id:mnist:lin8'")
     # catalogue-sized: one row per planned member
@@ -287,18 +301,21 @@ def _(spark, d):
 # --- projected and grouped features, end to end -------------------------------------------
 
 
-@query("infer_projected")
+_pairs = " + ".join(f"CASE WHEN ((w >> {2 * k}) & 3) = 3 THEN {1 << k} ELSE 0 END" for k in range(16))
+register_learning("proj", f"""SELECT x.member_id, x.sample_id, s.split, s.label, x.h, CAST({_pairs} AS BIGINT) AS w
+FROM c_hidden x JOIN c_samples s USING (sample_id)""", 16)
+
+
+@query("infer_projected", """SELECT member_id, split, CAST(count(*) FILTER (pred = label) AS BIGINT) AS correct,
+CAST(count(*) FILTER (pred <> label) AS BIGINT) AS errors, count(*) FILTER (pred = label) * 100e0 / count(*) AS acc FROM c_proj_pred GROUP BY ALL""")
 def _(spark, d):
     """Projection, majority, split groups of 2, counting, scoring."""
-    from ..operators import project as pj
-    from ..operators.majority import threshold
-
     f = data.stored_features(spark, d, data.TRIO)
-    seed, _first = pj.member_seeds(42, "incr", 1, 0)
-    w0 = pj.random_matrix(spark.range(3).withColumnRenamed("id", "member_id"), 32, 16, seed)
-    hidden = pj.gather_words(pj.project(f, w0, 3 * 32 * 16, threshold(16)), ["member_id", "sample_id"])
+    seed, _first = pj.member_seeds(SEED, "incr", 1, 0)
+    w0 = pj.random_matrix(spark.range(len(data.TRIO)).withColumnRenamed("id", "member_id"), H, NC, seed)
+    hidden = pj.gather_words(pj.project(f, w0, N_CELLS, threshold(NC)), ["member_id", "sample_id"])
     grouped = hidden.withColumn("words", pj.group_bits(F.col("words"), 2))
-    g = f.drop("words").join(grouped, ["member_id", "sample_id"])
+    g = cut(f.drop("words").join(grouped, ["member_id", "sample_id"]), "features")
     return sc.accuracy(sc.predictions(sc.score_wide(g, *ln.fit(g, n_bits=16))), ["member_id", "split"])
 
 

@@ -151,7 +151,13 @@ def _(spark, d):
     return mb.dedup_members(both.select("member_id", "seed", "spec", "corpus"), ["seed", "spec"], ["corpus", "member_id"])
 
 
-@query("member_ids")
+cte("c_fnv", """WITH RECURSIVE f(name, i, h) AS (
+SELECT source_file, 0, 14695981039346656037::UBIGINT FROM c_arch UNION ALL
+SELECT name, i + 1, CAST((xor(h, CAST(ascii(substr(name, i + 1, 1)) AS UBIGINT))::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)
+FROM f WHERE i < len(name)) SELECT name, h FROM f WHERE i = len(name)""")
+
+
+@query("member_ids", """SELECT name, CAST(CASE WHEN h >= 9223372036854775808::UBIGINT THEN CAST(h AS HUGEINT) - 18446744073709551616::HUGEINT ELSE CAST(h AS HUGEINT) END AS BIGINT) AS member_id FROM c_fnv""")
 def _(spark, d):
     return cp.fnv_ids(_arch(spark, d).select(F.col("source_file").alias("name")))
 
@@ -363,7 +369,7 @@ def _(spark, d):
     return cp.member_set_out(chosen, cp.corpus_config(_arch(spark, d)), sc.accuracy(sc.predictions(sums), []), [1, 3])
 
 
-@query("sink_member_list")
+@query("sink_member_list", "SELECT spec FROM c_arch WHERE eval > 90")
 def _(spark, d):
     path = new_table_path(spark, "list")
     cp.write_member_list(_arch(spark, d).where("eval > 90"), path, ["Optimal subset: XF:CHAN:ENC", "META: H=196  EP=10"])
@@ -373,7 +379,7 @@ def _(spark, d):
 # --- sources and sinks of the score tables -----------------------------------------------------------
 
 
-@query("src_fixed_records")
+@query("src_fixed_records", "SELECT 'train' AS split, s.label, array_to_string(list(p.v ORDER BY p.pos), ',') AS px FROM c_samples s JOIN c_px p USING (sample_id) GROUP BY s.sample_id, s.label")
 def _(spark, d):
     """Samples written as records of a label byte, 64 values and an end byte, then read back."""
     path = new_table_path(spark, "records")
@@ -382,7 +388,7 @@ def _(spark, d):
     return back.select("split", "label", F.array_join(F.slice("px", 1, 64), ",").alias("px"))
 
 
-@query("sink_scores")
+@query("sink_scores", "SELECT member_id, sample_id, class_id, score FROM c_fact")
 def _(spark, d):
     path = new_table_path(spark, "scores")
     cp.write_scores(data.corpus_scores(spark, d), path)
@@ -405,7 +411,7 @@ def _(spark, d):
     return sc.long(cp.scan_scores(spark, path, wanted, buckets=8), ["member_id", "sample_id"])
 
 
-@query("sink_sample_index")
+@query("sink_sample_index", "SELECT member_id, CAST(sample_id AS INTEGER) AS sample_id, pred, margin FROM c_pred")
 def _(spark, d):
     path = new_table_path(spark, "index")
     cp.write_sample_index(data.corpus_scores(spark, d), data.corpus_members(spark), path)
