@@ -12,6 +12,7 @@ from ..names import (
     CHANNEL_ALIASES, CHANNELS, DATASET_ENCODING_ALIASES, ENCODING_ALIASES, ENCODING_SYNONYMS, ENCODINGS,
     GRAY_CHANNELS, NAMED_FILTERS, XFORM_ALIASES, XFORMS,
 )
+from ..session import cut, join_side
 from .rank import global_rank
 
 
@@ -188,22 +189,29 @@ def expand_tokens(df: DataFrame, column: str, aliases: DataFrame, passes: int =
     return df
 
 
-def expand_chains(df: DataFrame, column: str, aliases: DataFrame, key: str) -> DataFrame:
-    """Alias expansion of `a@b@c` chains: every combination of the sides' expansions."""
-    whole = expand_tokens(df.select(key, column), column, aliases)
-    whole = whole.select(key, "ord", F.col(column).alias("_whole"), F.split(column, "@").alias("_sides"))
-    sides = whole.select(key, "ord", "_whole", F.posexplode("_sides").alias("side", "_token"))
-    grown = expand_tokens(sides.withColumnRenamed("ord", "outer_ord"), "_token", aliases)
-    lists = grown.groupBy(key, "outer_ord", "_whole", "side").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "_token"))).alias("_l"))
-    per_chain = lists.groupBy(key, "outer_ord", "_whole").agg(
+def expand_chains(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
+    """Alias expansion of `a@b@c` chains: every combination of the sides' expansions.
+
+    The expansion depends on the text alone, so each distinct text is expanded
+    once and the result joined back; the list of texts is broadcast if it fits.
+    """
+    texts = df.select(F.col(column).alias("_text"), F.col(column).alias("_token")).distinct()
+    whole = expand_tokens(texts, "_token", aliases).select("_text", "ord", F.split("_token", "@").alias("_sides"))
+    sides = whole.select("_text", F.col("ord").alias("_chain"), F.posexplode("_sides").alias("side", "_token"))
+    grown = expand_tokens(sides, "_token", aliases)
+    lists = grown.groupBy("_text", "_chain", "side").agg(F.array_sort(F.collect_list(F.struct("ord", "_token"))).alias("_l"))
+    per_chain = lists.groupBy("_text", "_chain").agg(
         F.array_sort(F.collect_list(F.struct("side", F.col("_l._token").alias("names")))).alias("_s"))
     chains = F.aggregate(
         F.col("_s.names"), F.array(F.lit("")),
         lambda acc, names: F.flatten(F.transform(acc, lambda a: F.transform(
             names, lambda n: F.when(a == "", n).otherwise(F.concat(a, F.lit("@"), n))))),
     )
-    return per_chain.select(key, F.explode(chains).alias(column))
+    expanded = per_chain.groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("_chain", chains.alias("names")))).alias("_e"))
+    expanded = cut(expanded.select(F.col("_text").alias(column), F.flatten(F.col("_e.names")).alias("_names")), "aliases")
+    joined = join_side(df, expanded, [column], expanded.count(), 8192)
+    rest = [c for c in df.columns if c != column]
+    return joined.select(*rest, F.explode("_names").alias(column))
 
 
 def member_expand(df: DataFrame, xforms: list[str]) -> DataFrame:

@@ -54,15 +54,18 @@ class Goal:
 
 
 class Pool:
-    """Persisted scores of the candidates, placed by sample for every level."""
+    """Scores of the candidates, placed by sample and kept for every level.
 
-    def __init__(self, scores: DataFrame, goal: Goal = Goal(), classes: list[int] = CLASSES):
+    `keep=False` leaves the scores where they are, for a single level.
+    """
+
+    def __init__(self, scores: DataFrame, goal: Goal = Goal(), classes: list[int] = CLASSES, keep: bool = True):
         self.classes, self.goal = classes, goal
         self.columns = class_columns(classes)
         kept = scores.select("member_id", "sample_id", "label", *self.columns)
         if goal.target and not goal.binary:
             kept = kept.where(F.col("label").isin(list(goal.target)))
-        self.scores = kept.repartition("sample_id").persist()
+        self.scores = kept.repartition("sample_id").persist() if keep else kept
         self.total = self.scores.select("sample_id", "label").distinct().agg(F.sum(goal.counted())).first()[0] or 0
         # catalogue-sized: one row per member
         self.ids = sorted(r[0] for r in self.scores.select("member_id").distinct().collect())

@@ -12,11 +12,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.constants import const_array
 from ..names import ODDS_BITS, ODDS_SCALE
 from ..session import cut
 from .learn import CLASSES, bits, fit
 from .reports import prototype_flips, prototype_scores, prototypes
-from .score import accuracy, class_columns, predictions, score_wide
+from .score import class_columns, predictions, score_wide
 
 
 @dataclass
@@ -79,17 +80,16 @@ def step_at(epoch: int, epochs: int, first: int, warmup: int = 0, lr_min: float
     return max(step, 2)
 
 
-def error_rates(features: DataFrame, weights: DataFrame, offsets: DataFrame) -> DataFrame:
-    """(member_id, split, errors, n): one scoring job for both splits."""
-    scored = predictions(score_wide(features, weights, offsets))
-    return scored.groupBy("member_id", "split").agg(
+def error_rates(scored: DataFrame) -> DataFrame:
+    """(member_id, split, errors, n) of a score table."""
+    return predictions(scored).groupBy("member_id", "split").agg(
         F.count_if(F.col("pred") != F.col("label")).alias("errors"), F.count("*").alias("n"))
 
 
-def _rates(features: DataFrame, weights: DataFrame, offsets: DataFrame) -> dict[int, dict[str, tuple[int, int]]]:
+def _rates(scored: DataFrame) -> dict[int, dict[str, tuple[int, int]]]:
     # one row per member and split: catalogue-sized
     out: dict[int, dict[str, tuple[int, int]]] = {}
-    for r in error_rates(features, weights, offsets).collect():
+    for r in error_rates(scored).collect():
         out.setdefault(r["member_id"], {})[r["split"]] = (r["errors"], r["n"])
     return out
 
@@ -104,6 +104,11 @@ def _per_member(values: dict[int, int]) -> Column:
     return F.create_map(*pairs)[F.col("member_id")]
 
 
+def _mixed(members: list[int], of_these: DataFrame, of_others: DataFrame, name: str) -> DataFrame:
+    chosen = F.col("member_id").isin(members)
+    return cut(of_these.where(chosen).unionByName(of_others.where(~chosen)), name)
+
+
 def train_correct(
     features: DataFrame, epochs: int, first_step: int = ODDS_SCALE // 8, *, warmup: int = 0, lr_min: float = 0.0,
     gap_k: float = 0.0, use_gap: bool = True, rollback: bool = False, mode: str = "count",
@@ -112,44 +117,50 @@ def train_correct(
 
     With rollback a member whose training errors rise goes back to its best
     weights and retries with two thirds of its step, at most five times.
+
+    The features are placed by (member, sample) once for all epochs, so neither
+    scoring nor correcting moves them again; an epoch scores them once, and
+    that score table gives both its error rates and the next corrections.
     """
-    weights, offsets = fit(features, mode)
-    weights, offsets = cut(weights, "weights"), cut(offsets, "offsets")
-    train = features.where("split = 'train'")
-    rates = _rates(features, weights, offsets)
-    firsts = {m: first_step for m in rates}
-    tries = {m: 0 for m in rates}
-    epoch = {m: 0 for m in rates}
-    best = {m: r["train"][0] for m, r in rates.items()}
-    best_weights = weights
-    history = []
-    while any(e < epochs for e in epoch.values()):
-        active = [m for m, e in epoch.items() if e < epochs]
-        steps = {m: step_at(epoch[m], epochs, firsts[m], warmup, lr_min, gap_k, _gap(rates[m])) for m in active}
-        live = train.where(F.col("member_id").isin(active))
-        weights = cut(correct_pass(live, weights, offsets, _per_member(steps), use_gap), "weights")
-        rates = _rates(features, weights, offsets)
-        failed, improved = [], []
-        for m in active:
-            errors = rates[m]["train"][0]
-            epoch[m] += 1
-            if rollback and errors > best[m] and tries[m] < 5:
-                tries[m] += 1
-                firsts[m] = max(int(firsts[m] * 2 / 3 + 0.5), 2)
-                epoch[m] -= 1
-                failed.append(m)
-            elif errors < best[m]:
-                best[m] = errors
-                improved.append(m)
-            history.append({"member_id": m, "epoch": epoch[m], "step": steps[m], "train_errors": errors,
-                            "eval_errors": rates[m].get("eval", (0, 0))[0], "rolled_back": m in failed})
-        if failed:
-            back = F.col("member_id").isin(failed)
-            weights = cut(best_weights.where(back).unionByName(weights.where(~back)), "weights")
-        if improved and rollback:
-            better = F.col("member_id").isin(improved)
-            best_weights = cut(weights.where(better).unionByName(best_weights.where(~better)), "weights")
-    return TrainResult(weights, offsets, history)
+    placed = features.repartition("member_id", "sample_id").persist()
+    try:
+        weights, offsets = fit(placed, mode)
+        weights, offsets = cut(weights, "weights"), cut(offsets, "offsets")
+        scored = cut(score_wide(placed, weights, offsets), "scored")
+        rates = _rates(scored)
+        firsts, tries, epoch = dict.fromkeys(rates, first_step), dict.fromkeys(rates, 0), dict.fromkeys(rates, 0)
+        best = {m: r["train"][0] for m, r in rates.items()}
+        best_state = (weights, scored)
+        history = []
+        while active := [m for m, e in epoch.items() if e < epochs]:
+            steps = {m: step_at(epoch[m], epochs, firsts[m], warmup, lr_min, gap_k, _gap(rates[m])) for m in active}
+            live = scored.where((F.col("split") == "train") & F.col("member_id").isin(active))
+            deltas = corrections(pass_errors(live, _per_member(steps), use_gap), placed)
+            weights = cut(apply_corrections(weights, deltas), "weights")
+            scored = cut(score_wide(placed, weights, offsets), "scored")
+            rates = _rates(scored)
+            failed, improved = [], []
+            for m in active:
+                errors = rates[m]["train"][0]
+                epoch[m] += 1
+                if rollback and errors > best[m] and tries[m] < 5:
+                    tries[m] += 1
+                    firsts[m] = max(int(firsts[m] * 2 / 3 + 0.5), 2)
+                    epoch[m] -= 1
+                    failed.append(m)
+                elif errors < best[m]:
+                    best[m] = errors
+                    improved.append(m)
+                history.append({"member_id": m, "epoch": epoch[m], "step": steps[m], "train_errors": errors,
+                                "eval_errors": rates[m].get("eval", (0, 0))[0], "rolled_back": m in failed})
+            if rollback and improved:
+                best_state = (_mixed(improved, weights, best_state[0], "weights"), _mixed(improved, scored, best_state[1], "scored"))
+            if failed:
+                weights = _mixed(failed, best_state[0], weights, "weights")
+                scored = _mixed(failed, best_state[1], scored, "scored")
+        return TrainResult(weights, offsets, history)
+    finally:
+        placed.unpersist()
 
 
 def history_table(result: TrainResult, like: DataFrame) -> DataFrame:
@@ -198,8 +209,6 @@ def train_readout(features: DataFrame, n_features: int, classes: list[int] = CLA
 
 def readout_scores(features: DataFrame, model: dict[int, list[float]]) -> DataFrame:
     """Class outputs of a read-out, wide by class."""
-    from ..functions.constants import const_array
-
     def dot(coef: list[float]) -> Column:
         weights = const_array(coef[1:])
         products = F.zip_with("z", weights, lambda a, b: a * b)
@@ -207,7 +216,3 @@ def readout_scores(features: DataFrame, model: dict[int, list[float]]) -> DataFr
 
     rest = [c for c in features.columns if c != "z"]
     return features.select(*rest, *[dot(c).alias(f"s{k}") for k, c in model.items()])
-
-
-def member_accuracy(features: DataFrame, weights: DataFrame, offsets: DataFrame) -> DataFrame:
-    return accuracy(predictions(score_wide(features, weights, offsets)), ["member_id"])

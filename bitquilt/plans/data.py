@@ -9,7 +9,7 @@ from ..functions.constants import const_array
 from ..operators.grid import Shape
 from ..operators.learn import fit
 from ..operators.score import score_wide
-from ..session import cut
+from ..session import cut, spread
 from ..sources.vectors import samples_from_vectors
 from .features import Member, build_features
 
@@ -36,13 +36,18 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples_from_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def spread_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples, over all cores even if the table is one small file."""
+    return samples_from_vectors(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")))
+
+
 def rgb_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 48 values of a vector as three 4x4 planes."""
     return samples(spark, sf_dir).withColumn("px", F.slice("px", 1, 48))
 
 
 def features(spark: SparkSession, sf_dir: str, members: list[Member] = PLAIN) -> DataFrame:
-    return build_features(samples(spark, sf_dir), members, SHAPE)
+    return build_features(spread_samples(spark, sf_dir), members, SHAPE)
 
 
 def corpus_members(spark: SparkSession) -> DataFrame:

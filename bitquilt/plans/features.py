@@ -48,9 +48,7 @@ def build_features(samples: DataFrame, members: Sequence[Member], shape: Shape)
     xforms = _numbered([m.xform for m in members])
     channels = _numbered([(m.xform, m.channel) for m in members])
     codes = _numbered([(m.xform, m.channel, m.encoding, m.width) for m in members])
-    # one placement of the compact rows; every later step of a sample stays in its partition
-    df = samples.repartition("sample_id")
-    df = df.withColumns({f"_x{i}": apply_xform(F.col("px"), x, shape) for x, i in xforms.items()})
+    df = samples.withColumns({f"_x{i}": apply_xform(F.col("px"), x, shape) for x, i in xforms.items()})
     for (x, channel), i in channels.items():
         df = with_channel(df, channel, shape, f"_x{xforms[x]}", f"_c{i}")
     # one plane is left after the channel

@@ -221,8 +221,8 @@ SELECT b.slot, f.member_id, f.sample_id, f.label, f.class_id, b.base + f.score A
 ON b.sample_id = f.sample_id AND b.class_id = f.class_id WHERE {outside}) GROUP BY slot, member_id, sample_id, label) GROUP BY slot, member_id"""
 
 
-def _pool(spark, d, goal: se.Goal = se.Goal()):
-    return se.Pool(cut(_fact(spark, d), "scores"), goal)
+def _pool(spark, d, goal: se.Goal = se.Goal(), keep: bool = False):
+    return se.Pool(cut(_fact(spark, d), "scores"), goal, keep=keep)
 
 
 @query("greedy_step", _level_sql("(SELECT 0 AS slot, sample_id, class_id, CAST(sum(score) AS BIGINT) AS base FROM c_fact WHERE member_id IN (0, 5) GROUP BY ALL)", "f.member_id NOT IN (0, 5)"))
@@ -266,7 +266,7 @@ def _result(spark, found: se.SearchResult):
 def _search(name: str, run) -> None:
     @query(name)
     def _(spark, d):
-        pool = _pool(spark, d, run.goal) if hasattr(run, "goal") else _pool(spark, d)
+        pool = _pool(spark, d, getattr(run, "goal", se.Goal()), keep=True)
         try:
             return _result(spark, run(pool))
         finally:

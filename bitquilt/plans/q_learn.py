@@ -261,7 +261,7 @@ def _(spark, d):
             for i, r in enumerate(resume_sweep(planned, done).orderBy("spec").collect())]
     paths = []
     for batch in batches(todo):
-        f = cut(build_features(data.samples(spark, d), batch, data.SHAPE), "features")
+        f = cut(build_features(data.spread_samples(spark, d), batch, data.SHAPE), "features")
         result = tr.train_correct(f, 1, STEP)
         paths.append(new_table_path(spark, "sweep"))
         cp.write_scores(sc.score_wide(f, result.weights, result.offsets), paths[-1])

@@ -215,7 +215,7 @@ cte("c_xf_chains", f"SELECT member_id, token AS chain FROM {_xf_first}")
 FROM {_xf_left} l JOIN {_xf_right} r ON r.member_id = l.member_id AND r.chain = l.chain""")
 def _(spark, d):
     a = _arch(spark, d).select("member_id", data.pick(_XF_TOKENS, F.col("member_id") % 6).alias("xform"))
-    return mb.expand_chains(a, "xform", mb.alias_table(spark, "xform"), "member_id")
+    return mb.expand_chains(a, "xform", mb.alias_table(spark, "xform"))
 
 
 @query("plan_sweep", """SELECT a.xform, a.channel, a.encoding, a.width, s.slice, a.xform || ':' || a.channel || ':' || a.encoding || a.width AS spec

@@ -54,6 +54,15 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a plain scan out when it has fewer splits than there are cores.
+
+    Large inputs have far more splits than cores and stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     value = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
     return int(str(value).rstrip("bB") or 0)
