@@ -54,8 +54,10 @@ def majority_exact(rows: DataFrame, keys: list[str], word: str, half: Column | i
     Eight partial sums per group replace a row per bit, so the map side
     combines and the shuffle carries one row per group.
     """
-    counted = rows.groupBy(*keys).agg(*lane_counts(F.col(word)))
-    return counted.select(*keys, word_from_lanes(half).alias(out))
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *lane_counts(F.col(word)))
+    too_many = F.raise_error(F.lit(f"more than {MAX_LANE_COUNT} words in one majority group")).cast("bigint")
+    checked = F.when(F.col("_n") > MAX_LANE_COUNT, too_many).otherwise(word_from_lanes(half))
+    return counted.select(*keys, checked.alias(out))
 
 
 def majority_rowwise(rows: DataFrame, keys: list[str], word: str, pos: str, n: int, per_row: int, half: int) -> DataFrame:

@@ -16,8 +16,7 @@ def global_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFr
     each range only needs its start, the sum of the sizes before it. The driver
     sees one count per range, never rows.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
     within = Window.partitionBy("_range").orderBy(*order)
     stored = cut(ranged.withColumn("_at", F.row_number().over(within) - 1), "ranked")
     sizes = {r["_range"]: r["n"] for r in stored.groupBy("_range").agg(F.count("*").alias("n")).collect()}

@@ -17,7 +17,7 @@ from .score import (
 def pairs(scores: DataFrame) -> DataFrame:
     """Every member's class and decision margin for every sample."""
     p = predictions(scores)
-    return p.select("member_id", F.col("sample_id").cast("int"), F.col("pred").cast("int"), "margin")
+    return p.select("member_id", "sample_id", F.col("pred").cast("int"), "margin")
 
 
 def accuracy_curve(scores: DataFrame, order: list[str]) -> DataFrame:

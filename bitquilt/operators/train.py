@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import const_array
 from ..names import ODDS_BITS, ODDS_SCALE
-from ..session import cut
+from ..session import cut, discard
 from .learn import CLASSES, bits, fit
 from .reports import prototype_flips, prototype_scores, prototypes
 from .score import class_columns, predictions, score_wide
@@ -136,8 +136,11 @@ def train_correct(
             steps = {m: step_at(epoch[m], epochs, firsts[m], warmup, lr_min, gap_k, _gap(rates[m])) for m in active}
             live = scored.where((F.col("split") == "train") & F.col("member_id").isin(active))
             deltas = corrections(pass_errors(live, _per_member(steps), use_gap), placed)
+            before = (weights, scored)
             weights = cut(apply_corrections(weights, deltas), "weights")
             scored = cut(score_wide(placed, weights, offsets), "scored")
+            if not rollback:
+                discard(*before)
             rates = _rates(scored)
             failed, improved = [], []
             for m in active:

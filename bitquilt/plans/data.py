@@ -91,10 +91,10 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         (size % 4).cast("int").alias("slice"),
         (size + brand).cast("bigint").alias("seed"),
         (cents % 9973).alias("file_time"),
-        F.concat(F.lit("archive-"), F.lpad(key.cast("string"), 8, "0"), F.lit(".ens")).alias("source_file"),
+        F.concat(F.lit("archive-"), F.lpad(key.cast("string"), 8, "0"), F.lit(".scores")).alias("source_file"),
         ((cents * 31 + brand * 977) % 6000 / 100.0 + 40.0).alias("eval"),
         pick(CAT_TOKENS, F.when(size > 45, 4).when(size > 40, 3).otherwise(size % 3), "int").alias("majority"),
-        F.when(F.col("p_type") == "PROMO", "bv").otherwise("otto").alias("kind"),
+        F.when(F.col("p_type") == "PROMO", "bv").otherwise("proj").alias("kind"),
         F.when(size == 1, 0).otherwise(size * 1000).cast("bigint").alias("n_samples"),
         F.when(size == 2, 2000).otherwise(10).cast("int").alias("n_classes"),
         brand.alias("n_members"),

@@ -23,7 +23,7 @@ def _preds(spark, d):
 # --- documented queries over the sample index ---------------------------------------
 
 
-@query("pairs", "SELECT member_id, CAST(sample_id AS INTEGER) AS sample_id, pred, margin FROM c_pred")
+@query("pairs", "SELECT member_id, sample_id, pred, margin FROM c_pred")
 def _(spark, d):
     return rp.pairs(_fact(spark, d))
 
@@ -31,7 +31,7 @@ def _(spark, d):
 def _index(spark, d):
     fact = _fact(spark, d)
     members = data.corpus_members(spark).select("member_id", F.col("spec").alias("name"))
-    samples = data.samples(spark, d).select(F.col("sample_id").cast("int").alias("sample_id"), "label")
+    samples = data.samples(spark, d).select("sample_id", "label")
     return rp.pairs(fact), members, samples
 
 
@@ -40,12 +40,12 @@ WHERE p.sample_id = (SELECT max(sample_id) FROM c_pred WHERE label = 6)""")
 def _(spark, d):
     pairs, members, samples = _index(spark, d)
     one = samples.where("label = 6").join(pairs.select("sample_id").distinct(), "sample_id", "left_semi").agg(F.max("sample_id")).scalar()
-    return pairs.where(F.col("sample_id") == one).join(members, "member_id").select(F.col("sample_id").cast("bigint").alias("sample_id"), "name", "pred", "margin")
+    return pairs.where(F.col("sample_id") == one).join(members, "member_id").select("sample_id", "name", "pred", "margin")
 
 
 @query("q_member_sees_class", "SELECT sample_id, margin FROM c_pred WHERE member_id = 5 AND pred = 6")
 def _(spark, d):
-    return rp.pairs(_fact(spark, d)).where("member_id = 5 AND pred = 6").select(F.col("sample_id").cast("bigint").alias("sample_id"), "margin")
+    return rp.pairs(_fact(spark, d)).where("member_id = 5 AND pred = 6").select("sample_id", "margin")
 
 
 def _seen_as(spark, d, label: int, pred: int):

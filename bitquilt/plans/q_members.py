@@ -144,10 +144,10 @@ def _(spark, d):
 
 
 @query("union_corpora", """SELECT member_id, seed, spec, corpus FROM (SELECT *, row_number() OVER (PARTITION BY seed, spec ORDER BY corpus, member_id) AS rn FROM (
-SELECT member_id, seed, spec, 'a' AS corpus FROM c_arch WHERE majority = 1 UNION ALL SELECT member_id, seed, spec, 'b' FROM c_arch WHERE kind = 'otto')) WHERE rn = 1""")
+SELECT member_id, seed, spec, 'a' AS corpus FROM c_arch WHERE majority = 1 UNION ALL SELECT member_id, seed, spec, 'b' FROM c_arch WHERE kind = 'proj')) WHERE rn = 1""")
 def _(spark, d):
     a = _arch(spark, d).select("member_id", "seed", "spec", "majority", "kind")
-    both = a.where("majority = 1").withColumn("corpus", F.lit("a")).unionByName(a.where("kind = 'otto'").withColumn("corpus", F.lit("b")))
+    both = a.where("majority = 1").withColumn("corpus", F.lit("a")).unionByName(a.where("kind = 'proj'").withColumn("corpus", F.lit("b")))
     return mb.dedup_members(both.select("member_id", "seed", "spec", "corpus"), ["seed", "spec"], ["corpus", "member_id"])
 
 
@@ -346,7 +346,7 @@ def _(spark, d):
     return cp.corpus_config(_arch(spark, d))
 
 
-@query("member_list_in", """SELECT DISTINCT spec, spec IN (SELECT spec FROM c_arch WHERE kind = 'otto') AS found FROM (
+@query("member_list_in", """SELECT DISTINCT spec, spec IN (SELECT spec FROM c_arch WHERE kind = 'proj') AS found FROM (
 SELECT split_part(trim(line), ' ', 1) AS spec FROM (SELECT CASE WHEN majority = 3 THEN '# ' || spec WHEN majority = -1 THEN '  ' ELSE ' ' || spec || '  0xBDD73226' END AS line FROM c_arch)
 WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#'))""")
 def _(spark, d):
@@ -355,7 +355,7 @@ def _(spark, d):
         F.concat(F.lit(" "), "spec", F.lit("  0xBDD73226")))
     path = new_table_path(spark, "list")
     a.select(line.alias("value")).write.text(path)
-    return cp.resolve_member_list(cp.parse_member_list(spark.read.text(path)), a.where("kind = 'otto'"))
+    return cp.resolve_member_list(cp.parse_member_list(spark.read.text(path)), a.where("kind = 'proj'"))
 
 
 @query("member_set_out", """SELECT m.member_id, m.spec, c.hidden, c.epochs, c.majority, '1,3' AS target, e.acc AS set_eval FROM c_members m,
@@ -411,7 +411,7 @@ def _(spark, d):
     return sc.long(cp.scan_scores(spark, path, wanted, buckets=8), ["member_id", "sample_id"])
 
 
-@query("sink_sample_index", "SELECT member_id, CAST(sample_id AS INTEGER) AS sample_id, pred, margin FROM c_pred")
+@query("sink_sample_index", "SELECT member_id, sample_id, pred, margin FROM c_pred")
 def _(spark, d):
     path = new_table_path(spark, "index")
     cp.write_sample_index(data.corpus_scores(spark, d), data.corpus_members(spark), path)

@@ -246,10 +246,10 @@ cte("c_arch", f"""SELECT *, xform || ':' || channel || ':' || encoding || width
  CASE WHEN n_members = 3 THEN xform || ':mnist:' || encoding || width ELSE xform || ':' || channel || ':' || encoding || width END AS file_spec FROM (
 SELECT p_partkey AS member_id, {XF}[p_partkey % 10 + 1] AS xform, {CH}[brand % 8 + 1] AS channel, {EN}[p_size % 8 + 1] AS encoding,
  CASE WHEN p_size = 50 THEN 12 ELSE [8, 16, 32][brand % 3 + 1] END AS width, p_size % 4 AS slice, CAST(p_size + brand AS BIGINT) AS seed,
- cents % 9973 AS file_time, 'archive-' || lpad(p_partkey::VARCHAR, 8, '0') || '.ens' AS source_file,
+ cents % 9973 AS file_time, 'archive-' || lpad(p_partkey::VARCHAR, 8, '0') || '.scores' AS source_file,
  (cents * 31 + brand * 977) % 6000 / 100e0 + 40e0 AS eval,
  [1, 1, 1, 3, -1][CASE WHEN p_size > 45 THEN 5 WHEN p_size > 40 THEN 4 ELSE p_size % 3 + 1 END] AS majority,
- CASE WHEN p_type = 'PROMO' THEN 'bv' ELSE 'otto' END AS kind, CASE WHEN p_size = 1 THEN 0 ELSE p_size * 1000 END AS n_samples,
+ CASE WHEN p_type = 'PROMO' THEN 'bv' ELSE 'proj' END AS kind, CASE WHEN p_size = 1 THEN 0 ELSE p_size * 1000 END AS n_samples,
  CASE WHEN p_size = 2 THEN 2000 ELSE 10 END AS n_classes, brand AS n_members, p_size % 7 + 9 AS version,
  196 AS hidden, CASE WHEN p_size = 3 THEN 5 ELSE 10 END AS epochs, 1 AS vn, 1 AS hn, 32 AS bits, 17 AS precision,
  'int32' AS counter_type, CASE WHEN brand = 7 THEN 'double' ELSE 'int64' END AS score_type

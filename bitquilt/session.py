@@ -24,6 +24,9 @@ def build_session(app: str = "bitquilt", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
+_local_root: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: `spark.checkpoint.dir`.
 
@@ -32,11 +35,12 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if context.applicationId not in _local_root:
+        _local_root[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_root[context.applicationId]
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
@@ -51,7 +55,19 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._cut_path = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by `cut` that a loop has replaced."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def scan_scores(spark: SparkSession, path: str, members: DataFrame, buckets: int
 
 def write_sample_index(scores: DataFrame, members: DataFrame, path: str) -> None:
     """samples, members and pairs tables; pairs clustered by (member_id, sample_id)."""
-    scores.select(F.col("sample_id").cast("int"), "label").distinct().write.mode("overwrite").parquet(f"{path}/samples")
+    scores.select("sample_id", "label").distinct().write.mode("overwrite").parquet(f"{path}/samples")
     members.select("member_id", F.col("spec").alias("name")).write.mode("overwrite").parquet(f"{path}/members")
     (
         pairs(scores).repartitionByRange("member_id", "sample_id").sortWithinPartitions("member_id", "sample_id")
@@ -70,6 +70,15 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "name", "full").select("name", state.alias("state"))
 
 
+def read_changed(spark: SparkSession, diff: DataFrame, root: str) -> DataFrame:
+    """Rows of the changed and new entries only; kept entries are not opened."""
+    # catalogue-sized: one name per entry
+    names = [r["name"] for r in diff.where("state IN ('changed', 'new')").select("name").orderBy("name").collect()]
+    if not names:
+        return spark.read.parquet(root).limit(0)
+    return spark.read.option("basePath", root).parquet(*[f"{root}/{n}" for n in names])
+
+
 def corpus_config(archives: DataFrame) -> DataFrame:
     """The one configuration row of a corpus: that of its first archive."""
     fields = ["hidden", "epochs", "vn", "hn", "majority", "bits", "precision", "counter_type", "score_type"]

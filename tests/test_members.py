@@ -93,6 +93,22 @@ def test_manifest_states(spark):
     assert {r["name"]: r["state"] for r in cp.manifest_diff(old, new).collect()} == {"a": "kept", "b": "changed", "c": "orphan", "d": "new"}
 
 
+def test_only_changed_entries_are_read(spark, tmp_path):
+    for name, n in (("a", 1), ("b", 2), ("c", 4)):
+        spark.range(n).write.parquet(f"{tmp_path}/{name}")
+    diff = spark.createDataFrame([("a", "kept"), ("b", "changed"), ("c", "new")], "name STRING, state STRING")
+    assert cp.read_changed(spark, diff, str(tmp_path)).count() == 6
+    assert cp.read_changed(spark, diff.where("state = 'kept'"), f"{tmp_path}/a").count() == 0
+
+
+def test_scratch_folder_is_the_sessions(spark):
+    from bitquilt.session import cut, discard, scratch_root
+
+    stored = cut(spark.range(3))
+    assert stored.count() == 3 and stored.inputFiles()[0].split(":", 1)[1].lstrip("/").startswith(scratch_root(spark).lstrip("/"))
+    discard(stored)
+
+
 def test_member_list_format(spark):
     lines = ["# Optimal subset", "", "rot0@avg4:mnist:inv-exp8  0xBDD73226", "  id:mnist:exp8", "#x"]
     df = spark.createDataFrame([(v,) for v in lines], "value STRING")
