@@ -170,7 +170,8 @@ def _spiral(px: Column, s: Shape) -> Column:
     def blend(m: Column) -> Column:
         i = m[0].cast("int")
         total = px[i] * m[1] + px[i + 1] * m[2] + px[i + s.width] * m[3] + px[i + s.width + 1] * m[4]
-        value = F.least(F.greatest(F.floor(total + 0.5), F.lit(0)), F.lit(255))
+        # nine digits settle ties whatever the order of the sum
+        value = F.least(F.greatest(F.floor(F.round(total, 9) + 0.5), F.lit(0)), F.lit(255))
         return F.when(i < 0, F.lit(128)).otherwise(value).cast("int")
 
     return F.transform(const_array(spiral_map(s)), blend)

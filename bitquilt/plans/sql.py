@@ -107,7 +107,7 @@ def grid_sql(xform: str, src: str = "c_px", w: int = W) -> str:
         return f"""SELECT s.sample_id, o.pos, s.v FROM {src} s JOIN (
  SELECT p, row_number() OVER (ORDER BY w, p) - 1 AS pos FROM ({order})) o ON o.p = s.pos"""
     if xform == "spiral":
-        return f"""SELECT sample_id, pos, CASE WHEN bool_and(inside) THEN CAST(floor(sum(v * wt) + 0.5e0) AS INTEGER) ELSE 128 END AS v
+        return f"""SELECT sample_id, pos, CASE WHEN bool_and(inside) THEN CAST(least(255, greatest(0, floor(round(sum(v * wt), 9) + 0.5e0))) AS INTEGER) ELSE 128 END AS v
 FROM (SELECT s.sample_id, t.pos, t.inside, s.v, t.wt FROM c_spiral_taps t JOIN {src} s ON s.pos = t.src) GROUP BY sample_id, pos"""
     return f"""SELECT k.sample_id, g.pos, coalesce(s.v, 0) AS v
 FROM (SELECT DISTINCT sample_id FROM {src}) k CROSS JOIN (SELECT pos, {source_of(xform, w)} AS src FROM c_cells) g
