@@ -81,10 +81,16 @@ def mix_plan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mixed documents themselves: the columns of `docs`, each row once per copy, and `mix_copy` (1, 2) last."""
-    shadow = docs.select("doc_id", "source", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    """The mixed documents themselves: the columns of `docs`, each row once per copy, and `mix_copy` (1, 2) last.
+
+    If `docs` has a column of that name already, the new one gets underscores in front.
+    """
+    name = "mix_copy"
+    while name in docs.columns:
+        name = "_" + name
+    shadow = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     planned = mix_plan(shadow, ["row"]).where(F.col("copies") > 0)
-    return planned.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_copy"))
+    return planned.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(name))
 
 
 SQL = r"""

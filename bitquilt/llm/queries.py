@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontaminate, language_id, license_scan, mixing, suffix_dedup, token_counts, topk, url_filter
+from . import chat_tree, decontaminate, jaccard_join, language_id, license_scan, mixing, suffix_dedup, token_counts, topk, url_filter
 from .common import hex_number
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +155,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+@query("op3_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
