@@ -1,7 +1,77 @@
-"""A corpus pipeline: each stage works on what the one before kept."""
-STAGES: list = []
+"""A corpus pipeline: each stage is one operator over everything the stage before kept.
+
+Stages take (spark, docs, sf_dir); all but the last return the columns of documents. Extra columns are carried along.
+Rows without a doc_id are judged by language and cut nowhere else; an empty table passes through all stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bitquilt.llm import decontaminate, jaccard_join, language_id, mixing, suffix_dedup
+from bitquilt.session import cut
+
+#: Texts whose best language has a lower cosine are rejected, as are those without a letter.
+LEAST_SCORE = 0.05
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents go that are null, have no letter, or are like no language."""
+    profiles = language_id.learn_profiles(docs.where(~language_id.held_out(F.col("doc_id"))))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = language_id.predict_languages(whole, profiles, keep=["row"])
+    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    # with nothing to learn from, nothing can be rejected but texts without letters
+    return found.where(known if profiles else F.lit(True)).select("row.*")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group that links hold together, the document with the smallest id stays."""
+    groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
+    return without(docs, groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: repeated passages are cut from all but the first document; what is then blank goes."""
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(*[F.col(f"`{c}`") for c in others], F.col("text").isNull().alias("_no_text")).alias("row")
+    found = suffix_dedup.remove_repeats(docs.select("doc_id", "text", row), keep_text=True, keep=["row"])
+    left = found.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    length = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("row.n_chars")) if "n_chars" in others else None
+    values = {"text": F.when(~F.col("row._no_text"), F.col("kept")), "n_chars": length}
+    return left.select(*[(values[c] if values.get(c) is not None else F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark item go."""
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, found.select("doc_id"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: each document as often as the mix takes it."""
+    return mixing.mix_documents(docs)
+
+
+STAGES = [
+    ("language_id", keep_identified),
+    ("jaccard_join", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("decontaminate", drop_contaminated),
+    ("mix_sources", mix),
+]
+#: Languages, suffixes and hashes have no SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each result is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
