@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -79,9 +80,16 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def size_bytes(text: str) -> int:
+    """Bytes of a Spark size such as 10485760, 256k, 100MB or -1."""
+    match = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", str(text).lower())
+    if not match:
+        raise ValueError(f"not a size: {text!r}")
+    return int(match[1]) << (10 * " kmgtp".index(match[2] or " "))
+
+
 def broadcast_limit(spark: SparkSession) -> int:
-    value = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    return int(str(value).rstrip("bB") or 0)
+    return size_bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
 
 
 def fits_broadcast(spark: SparkSession, rows: int, row_bytes: int) -> bool:
