@@ -25,6 +25,8 @@ NEEDED, PARTS = 80, 100
 VERTICAL = 4
 #: Rounds with one hub per shingle before all remaining pairs of different groups are tried.
 HUB_ROUNDS = 4
+#: All remaining pairs are tried at once when there are at most this many for each entry.
+FEW = 8
 LOW48 = np.uint64((1 << 48) - 1)
 PACKED = "block bigint, fragment int, head binary, sizes binary, tokens binary"
 SETS = "doc_id bigint, sig_a bigint, sig_b bigint, n_shingles bigint, alone bigint, tokens array<bigint>"
@@ -174,29 +176,28 @@ def may_link(n: Column, alone: Column, at: Column, m: Column, other_alone: Colum
     return (F.least(n, m) * PARTS >= F.greatest(n, m) * NEEDED) & (reach >= least_overlap(n, m))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (x, y) that link: partial overlaps by fragment of the order, summed per pair."""
+def pieces(sets: DataFrame) -> DataFrame:
+    """Token lists cut into the VERTICAL fragments of the order: node, piece, part."""
     piece = F.pmod(F.shiftrightunsigned(F.col("token"), 20), F.lit(VERTICAL)).cast("int")
-    parts = sets.select("node", F.explode("tokens").alias("token")).groupBy("node", piece.alias("piece")).agg(F.collect_list("token").alias("part"))
-    parts = parts.select(F.struct("node", "piece").alias("key"), "part")
-    cut_pairs = pairs.select("x", "y", F.explode(F.array(*[F.lit(i) for i in range(VERTICAL)])).alias("piece"))
-    keyed = cut_pairs.select("x", "y", F.struct(F.col("x").alias("node"), "piece").alias("key"), F.struct(F.col("y").alias("node"), "piece").alias("other"))
-    left = salted_lookup(keyed, parts, "key", "y").select("x", "y", F.col("other").alias("key"), F.col("part").alias("left"))
-    both = salted_lookup(left, parts, "key", "x")
-    summed = both.groupBy("x", "y").agg(F.sum(F.size(F.array_intersect("left", "part"))).alias("same"))
-    n = sets.select("node", "n_shingles")
-    sized = salted_lookup(summed, n.select(F.col("node").alias("x"), F.col("n_shingles").alias("nx")), "x", "y")
-    sized = salted_lookup(sized, n.select(F.col("node").alias("y"), F.col("n_shingles").alias("ny")), "y", "x")
-    return sized.where(F.col("same") * PARTS >= (F.col("nx") + F.col("ny") - F.col("same")) * NEEDED).select("x", "y")
+    return sets.select("node", F.explode("tokens").alias("token")).groupBy("node", piece.alias("piece")).agg(F.collect_list("token").alias("part"))
+
+
+def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Those of the pairs (node, h_node, n, h_n) that link: overlaps counted by fragment, summed per pair."""
+    left = pairs.join(parts, "node").select("node", "h_node", "n", "h_n", F.struct(F.col("h_node").alias("node"), "piece").alias("key"), F.col("part").alias("left"))
+    # a hub meets all holders of its shingles: its parts are copied to salts
+    both = salted_lookup(left, parts.select(F.struct("node", "piece").alias("key"), "part"), "key", "node")
+    summed = both.groupBy("node", "h_node", "n", "h_n").agg(F.sum(F.size(F.array_intersect("left", "part"))).alias("same"))
+    union = F.col("n") + F.col("h_n") - F.col("same")
+    return summed.where(F.col("same") * PARTS >= union * NEEDED).select(F.col("node").alias("x"), F.col("h_node").alias("y"))
 
 
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Smallest node reachable, for all nodes of `labels` (node, label), after adding links (x, y)."""
-    ends = links.select(F.col("x").alias("node"), F.col("y").alias("key")).union(links.select(F.col("y").alias("node"), F.col("x").alias("key")))
-    old = labels.select(F.col("node").alias("key"), "label")
-    # links between the groups so far, small ones: groups point at the least neighbour until nothing moves
-    between = salted_lookup(salted_lookup(ends, old, "key", "node").select(F.col("node").alias("key"), F.col("label").alias("b")), old, "key", "b")
-    edges = cut(between.where(F.col("label") != F.col("b")).select(F.col("label").alias("a"), "b").distinct(), "edges")
+    # links between the groups so far, few; groups point at the least neighbour until nothing moves
+    left = links.join(labels.select(F.col("node").alias("x"), F.col("label").alias("a")), "x")
+    between = salted_lookup(left, labels.select(F.col("node").alias("y"), F.col("label").alias("b")), "y", "x").where(F.col("a") != F.col("b"))
+    edges = cut(between.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
     groups = cut(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "groups")
     while True:
         key = groups.select(F.col("node").alias("b"), "label")
@@ -225,8 +226,12 @@ def components(sets: DataFrame) -> DataFrame:
     places = F.transform("tokens", lambda t, i: F.struct(t.alias("token"), (i + F.col("alone")).alias("at")))
     prefix = F.filter(places, lambda p: p["at"] <= n - F.ceil(n * NEEDED / PARTS))
     entries = sets.select("node", n.alias("n"), "alone", F.explode(prefix).alias("p")).select("p.token", "node", "n", "alone", "p.at")
-    shared = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    entries = cut(salted_lookup(entries, shared, "token", "node"), "entries")
+    # shingles with the same holders bring the same pairs: one of them stands for all
+    holders = [F.bit_xor(F.xxhash64("node", F.lit(i))) for i in range(2)]
+    kinds = entries.groupBy("token").agg(F.count("*").alias("c"), *[h.alias(f"s{i}") for i, h in enumerate(holders)]).where("c > 1")
+    chosen = kinds.groupBy("c", "s0", "s1").agg(F.min("token").alias("token")).select("token")
+    entries = cut(salted_lookup(entries, chosen, "token", "node"), "entries")
+    parts = cut(pieces(sets.join(entries.select("node").distinct(), "node", "left_semi")), "parts")
     labels = cut(sets.select("node", F.col("node").alias("label")), "labels")
     tried = None
     for turn in range(HUB_ROUNDS + 1):
@@ -237,7 +242,7 @@ def components(sets: DataFrame) -> DataFrame:
         left, rows = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0))).first()
         if not left:
             break
-        last = left <= rows or turn == HUB_ROUNDS
+        last = left <= FEW * rows or turn == HUB_ROUNDS
         waiting = salted_lookup(marked, open_.select("token"), "token", "node")
         fields = ("node", "n", "alone", "at", "label")
         if last:
@@ -248,12 +253,15 @@ def components(sets: DataFrame) -> DataFrame:
             hubs = waiting.groupBy("token").agg(F.min(first).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"h_{c}") for c in fields])
             met = salted_lookup(waiting, hubs, "token", "node")
         close = met.where((F.col("label") != F.col("h_label")) & may_link(*[F.col(c) for c in ("n", "alone", "at", "h_n", "h_alone", "h_at")]))
-        pairs = close.select(F.least("node", "h_node").alias("x"), F.greatest("node", "h_node").alias("y")).distinct()
+        pairs = close.select("node", "h_node", "n", "h_n").distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
+            pairs = pairs.join(tried, ["node", "h_node"], "left_anti")
         pairs = cut(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        labels = relabel(labels, cut(verified(pairs, sets), "links"))
+        seen = pairs.select("node", "h_node").union(pairs.select(F.col("h_node"), F.col("node")))
+        tried = seen if tried is None else tried.union(seen)
+        links = cut(verified(pairs, parts), "links")
+        if links.limit(1).count():
+            labels = relabel(labels, links)
         if last:
             break
     return labels
