@@ -21,15 +21,19 @@ BROADCAST_BYTES = 64 << 20
 def with_shingles(rows: DataFrame, out: str = "sh") -> DataFrame:
     """Replaces `text` by hashes of its five-word shingles in text order, words lower-cased, and their number `n`.
 
-    1 to 4 words are one shingle, none is empty. Words are hashed first, in a column of their own: inside the lambda
-    they would be split, or copied, anew for every shingle.
+    1 to 4 words are one shingle, none is empty. Words are hashed first, in a column of their own: inside a
+    lambda they would be split, or copied, anew for every shingle.
     """
     words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), "")
     split = rows.withColumn("_words", F.transform(words, lambda w: F.xxhash64(w))).drop("text").withColumn("n", F.size("_words"))
-    hashed = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("_words") - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(SHINGLE)]))
-    found = split.withColumn(out, F.when(F.col("n") > 0, hashed).otherwise(F.array().cast("array<bigint>")))
-    return found.withColumn("n", F.when(F.col("n") > 0, F.greatest(F.col("n") - (SHINGLE - 1), F.lit(1))).otherwise(0)).drop("_words")
+    # five words from two times two and one: three passes with a short lambda; past the end the words are null, which hash as nothing
+    shifted = lambda c, by: F.slice(F.col(c), F.lit(by + 1), F.greatest(F.col("n") - by, F.lit(0)))
+    join = lambda a, b: F.xxhash64(a, b)
+    pairs = split.withColumn("_two", F.zip_with("_words", shifted("_words", 1), join))
+    fours = pairs.withColumn("_four", F.zip_with("_two", shifted("_two", 2), join)).drop("_two")
+    count = F.when(F.col("n") > 0, F.greatest(F.col("n") - (SHINGLE - 1), F.lit(1))).otherwise(0)
+    found = fours.withColumn(out, F.slice(F.zip_with("_four", shifted("_words", SHINGLE - 1), join), F.lit(1), count)).drop("_words", "_four")
+    return found.withColumn("n", count)
 
 
 def with_prints(rows: DataFrame) -> DataFrame:
