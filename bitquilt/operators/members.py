@@ -231,11 +231,11 @@ def unknown_names(df: DataFrame) -> DataFrame:
     )
 
 
-def unused_seeds(used: DataFrame, n: int, upper: int) -> DataFrame:
-    """The n smallest seeds in [0, upper) that no archive used."""
+def unused_seeds(used: DataFrame, n: int) -> DataFrame:
+    """The n smallest seeds from 0 on that no archive used; as many candidates as used seeds and n always suffice."""
     spark = used.sparkSession
     taken = used.select(F.col("seed").cast("bigint").alias("seed")).distinct()
-    return spark.range(upper).withColumnRenamed("id", "seed").join(taken, "seed", "left_anti").orderBy("seed").limit(n)
+    return spark.range(taken.count() + n).withColumnRenamed("id", "seed").join(taken, "seed", "left_anti").orderBy("seed").limit(n)
 
 
 def resume_sweep(planned: DataFrame, done: DataFrame, key: str = "spec", force: bool = False) -> DataFrame:

@@ -256,7 +256,7 @@ def swap_candidates(pool: Pool, chosen: list[int]) -> DataFrame:
 
 
 def swap_search(pool: Pool, chosen: list[int], max_passes: int | None = None) -> SearchResult:
-    """Best exchange per pass until none lowers the errors."""
+    """Best exchange per pass until none lowers the errors, or `max_passes` are done; errors fall strictly, so it ends."""
     chosen = sorted(chosen)
     correct = pool.evaluate(chosen)
     path = []
@@ -267,8 +267,6 @@ def swap_search(pool: Pool, chosen: list[int], max_passes: int | None = None) ->
         chosen = sorted([m for m in chosen if m != top["out_id"]] + [top["in_id"]])
         correct = top["correct"]
         path.append({"out_id": top["out_id"], "in_id": top["in_id"], "correct": correct})
-        if len(path) >= len(pool.ids):
-            break
     return SearchResult(chosen, correct, pool.total, path)
 
 

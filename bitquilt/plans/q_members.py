@@ -237,9 +237,9 @@ def _(spark, d):
     return mb.resume_sweep(planned, a)
 
 
-@query("unused_seeds", "SELECT s.seed FROM (SELECT CAST(unnest(range(1000)) AS BIGINT) AS seed) s WHERE s.seed NOT IN (SELECT seed FROM c_arch) ORDER BY s.seed LIMIT 20")
+@query("unused_seeds", "SELECT s.seed FROM (SELECT CAST(unnest(range((SELECT count(*) FROM c_arch) + 20)) AS BIGINT) AS seed) s WHERE s.seed NOT IN (SELECT seed FROM c_arch) ORDER BY s.seed LIMIT 20")
 def _(spark, d):
-    return mb.unused_seeds(_arch(spark, d), 20, 1000)
+    return mb.unused_seeds(_arch(spark, d), 20)
 
 
 # --- quality checks --------------------------------------------------------------------------------
