@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,13 @@ TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*)</turn>\n", re.DOTAL
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 #: The role whose texts carry the loss.
 LEARNED = "assistant"
+#: Conversations handled at once inside a task.
+ROWS = 256
+NODES = (
+    "node string, leaf string, depth int, first boolean, run_at bigint, run_no bigint, at bigint, no bigint, tokens array<int>, loss_start int, loss_end int, above array<string>"
+)
+NODE_TYPES = [pa.string(), pa.string(), pa.int32(), pa.bool_(), *[pa.int64()] * 4, pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.list_(pa.string())]
+SPANS = "array<struct<start:bigint,end:bigint,turn:bigint,turns:bigint>>"
 _encoders: dict = {}
 
 
@@ -37,7 +44,7 @@ def escape(text: Column, marks: str = "#<") -> Column:
 
 
 def turn_paths(conversations: DataFrame) -> DataFrame:
-    """One row per turn: conv_id, depth (from 1), the turn's formatted parts, path (keys of the turns so far) and node.
+    """One row per conversation: conv_id, turns (head, body, learned) and keys, the name of each prefix of its turns.
 
     Turns stand by turn (null first), equal ones by role and text; a null role or text is empty. Rows of one conversation
     are one training sample and meet in one task; nothing else does. Rows of a null conv_id are one conversation.
@@ -45,83 +52,132 @@ def turn_paths(conversations: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", role.alias("role"), text.alias("text")))).alias("turns"))
     formatted = F.transform("turns", lambda t: F.struct(
-        F.concat(F.lit("### "), escape(t["role"], "#<:"), F.lit(": ")).alias("head"), escape(t["text"]).alias("body"), t["role"].alias("role")))
+        F.concat(F.lit("### "), escape(t["role"], "#<:"), F.lit(": ")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == LEARNED).alias("learned")))
     rows = turns.select("conv_id", formatted.alias("turns"))
-    keys = F.aggregate(
-        "turns", F.array().cast("array<string>"),
-        lambda done, t: F.concat(done, F.array(F.substring(F.sha2(F.concat(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")), t["head"], t["body"]), 256), 1, 32))),
-    )
-    # the keys are chained, so the last one names the whole path
-    return rows.withColumn("keys", keys).select("conv_id", "keys", F.posexplode("turns").alias("at", "t")).select(
-        "conv_id", (F.col("at") + 1).alias("depth"), F.element_at("keys", F.col("at") + 1).alias("node"),
-        F.array_join(F.slice("keys", F.lit(1), F.col("at") + 1), "").alias("path"), (F.size("keys") == F.col("at") + 1).alias("leaf"),
-        F.slice("keys", F.lit(1), F.col("at")).alias("above"), "t.head", "t.body", (F.col("t.role") == LEARNED).alias("learned"),
-    )
-
 
-def encode_nodes(nodes: DataFrame, path: str) -> DataFrame:
-    """Token ids of each node's parts, encoded once however many conversations share it."""
-    schema = "node string, path string, above array<string>, depth int, tokens array<int>, loss_start int, loss_end int"
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                keys = []
+                for said in part.column("turns").to_pylist():
+                    # one running hash: after each turn it names all turns so far
+                    running, own = hashlib.blake2b(digest_size=16), []
+                    for t in said:
+                        running.update((t["head"] + t["body"] + CLOSE).encode("utf-8", "surrogatepass"))
+                        own.append(running.hexdigest())
+                    keys.append(own)
+                yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("turns"), pa.array(keys, pa.list_(pa.string()))], names=["conv_id", "turns", "keys"])
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in rows.columns}
+    return rows.mapInArrow(name, f"conv_id {kinds['conv_id']}, turns {kinds['turns']}, keys array<string>")
+
+
+def emit_nodes(paths: DataFrame, path: str) -> DataFrame:
+    """NODES of distinct conversations in the order of their keys: each turn that the one before does not share.
+
+    That order is depth-first, so one pass over a sorted range merges it. What the first conversation of a range shares
+    with the range before is not known here: all its turns are emitted, marked `first`. Two rows of edges (depth -1
+    and 0, keys in `above`) tell each range's first and last conversation.
+    """
+    names = [x.split(" ")[0] for x in NODES.split(", ")]
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
+        close = model.encode(CLOSE, add_special_tokens=False).ids
+        before, n_tokens, n_nodes = None, 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                heads, bodies = part.column("head").to_pylist(), part.column("body").to_pylist()
-                ids = [e.ids for e in model.encode_batch([x for h, b in zip(heads, bodies, strict=True) for x in (h, b)], add_special_tokens=False)]
-                close = model.encode(CLOSE, add_special_tokens=False).ids
-                learned = part.column("learned").to_pylist()
-                tokens = [ids[2 * i] + ids[2 * i + 1] + close for i in range(len(heads))]
-                starts = [len(ids[2 * i]) for i in range(len(heads))]
-                ends = [s + len(ids[2 * i + 1]) if on else s for i, (s, on) in enumerate(zip(starts, learned, strict=True))]
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in ("node", "path", "above", "depth")], pa.array(tokens, pa.list_(pa.int32())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
-                    names=["node", "path", "above", "depth", "tokens", "loss_start", "loss_end"])
-
-    return nodes.select("node", "path", "above", "depth", "head", "body", "learned").mapInArrow(encode, schema)
-
-
-def place(nodes: DataFrame) -> DataFrame:
-    """Adds `start`: where the node's tokens begin when all nodes stand depth-first, parents before children.
-
-    The path order is that order. Nodes are range-partitioned by path and written; the driver sees one sum per range.
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                rows, new = [], []
+                for keys, turns in zip(part.column("keys").to_pylist(), part.column("turns").to_pylist(), strict=True):
+                    shared, first = 0, before is None
+                    if first:
+                        rows.append((None, keys[-1], -1, True, 0, 0, 0, 0, None, None, None, keys))
+                    else:
+                        least = min(len(before), len(keys))
+                        while shared < least and before[shared] == keys[shared]:
+                            shared += 1
+                    new.append((keys, turns, shared, first))
+                    before = keys
+                ids = iter(model.encode_batch([x for _, turns, shared, _ in new for t in turns[shared:] for x in (t["head"], t["body"])], add_special_tokens=False))
+                for keys, turns, shared, first in new:
+                    run = (n_tokens, n_nodes)
+                    for depth in range(shared, len(keys)):
+                        head, body = next(ids).ids, next(ids).ids
+                        tokens, from_ = head + body + close, len(head)
+                        above = keys[:shared] if depth == shared and shared else None
+                        rows.append((keys[depth], keys[-1], depth + 1, first, *run, n_tokens, n_nodes, tokens, from_, from_ + len(body) if turns[depth]["learned"] else from_, above))
+                        n_tokens, n_nodes = n_tokens + len(tokens), n_nodes + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), NODE_TYPES, strict=True)], names=names)
+        if before is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, 0, True, 0, 0, 0, 0, None, None, None, before), NODE_TYPES, strict=True)], names=names)
+
+    ranged = paths.repartitionByRange("keys").sortWithinPartitions("keys")
+    return ranged.mapInArrow(emit, NODES).withColumn("range", F.spark_partition_id())
+
+
+def place(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links): nodes with their places in the whole sequence, and (leaf, ancestor) of what a run hangs on.
+
+    A run is what one conversation adds to the sequence. The driver sees four numbers per range.
     """
-    ranged = nodes.repartitionByRange("path").withColumn("_range", F.spark_partition_id())
-    before = Window.partitionBy("_range").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    stored = cut(ranged.withColumn("_at", F.coalesce(F.sum(F.size("tokens").cast("bigint")).over(before), F.lit(0).cast("bigint"))), "tree")
-    sums = {r["_range"]: r["n"] for r in stored.groupBy("_range").agg(F.sum(F.size("tokens").cast("bigint")).alias("n")).collect()}
-    starts = np.concatenate([[0], np.cumsum([sums.get(r, 0) for r in range(max(sums, default=-1) + 1)])]).astype(int).tolist()
-    return stored.withColumn("start", const_array(starts, "bigint")[F.col("_range")] + F.col("_at")).drop("_range", "_at")
+    ends = [F.first(F.when(F.col("depth") == d, F.col("above")), ignorenulls=True).alias(c) for d, c in ((-1, "head"), (0, "tail"))]
+    none = F.array().cast("array<string>")
+    last = F.lag("tail").over(Window.orderBy("range"))
+    edges = cut(stored.where("depth < 1").groupBy("range").agg(*ends).withColumn("shared", F.size(F.array_intersect("head", F.coalesce(last, none)))), "edges")
+    shared = {r["range"]: r["shared"] for r in edges.select("range", "shared").collect()}
+    ranges = range(max(shared, default=-1) + 1)
+    known = F.col("first") & (F.col("depth") <= const_array([shared.get(r, 0) for r in ranges] or [0], "int")[F.col("range")])
+    size = F.size("tokens").cast("bigint")
+    total = [F.sum(F.when(c, v).otherwise(0)).alias(n) for n, c, v in (("kept", ~known, size), ("gone", known, size), ("nodes", ~known, F.lit(1)))]
+    sums = {r["range"]: r for r in stored.where("depth > 0").groupBy("range").agg(*total).collect()}
+    floors, shifts, n_floors, n_shifts, at, n_at = [], [], [], [], 0, 0
+    for r in ranges:
+        floors, n_floors = [*floors, at], [*n_floors, n_at]
+        shifts, n_shifts = [*shifts, at - (sums[r]["gone"] if r in sums else 0)], [*n_shifts, n_at - shared.get(r, 0)]
+        at, n_at = (at + sums[r]["kept"], n_at + sums[r]["nodes"]) if r in sums else (at, n_at)
+    number = lambda values: const_array(values or [0], "bigint")[F.col("range")]
+    nodes = stored.where("depth > 0").where(~known).select(
+        "node", "leaf", "tokens", "loss_start", "loss_end", (F.col("at") + number(shifts)).alias("start"), (F.col("no") + number(n_shifts)).alias("turn"),
+        F.greatest(F.col("run_at") + number(shifts), number(floors)).alias("run"), F.greatest(F.col("run_no") + number(n_shifts), number(n_floors)).alias("run_turn"))
+    inside = stored.where("depth > 0 AND above IS NOT NULL").select("leaf", F.explode("above").alias("ancestor"))
+    ahead = edges.select(F.element_at("head", -1).alias("leaf"), F.explode(F.slice("head", F.lit(1), F.col("shared"))).alias("ancestor"))
+    return nodes, inside.union(ahead)
 
 
 def prefix_tree(conversations: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """(sequence, members) of conversations (conv_id, turn, role, text).
 
-    sequence, one row per distinct prefix of turns: start (of its tokens in the one depth-first sequence), tokens,
-    position (the id of its first token; the others follow: the length of the turns above it), ancestors (intervals
-    [start, end) of the sequence that its tokens may attend to besides their own), loss_start, loss_end (inside tokens:
-    the text of an assistant, else empty). members: conv_id, n_turns, start (of the conversation's last turn).
-    Conversations without rows do not exist; equal ones share all nodes; extra columns are not read.
+    sequence, one row per distinct prefix of turns: turn (its number in the one depth-first sequence), start (of its
+    tokens there), tokens, position (the id of its first token; the others follow: the length of the turns above it),
+    ancestors (intervals [start, end) of the sequence, of `turns` turns from number `turn` on, that its tokens may attend
+    to besides their own), loss_start, loss_end (inside tokens: the text of an assistant, else empty). members: conv_id,
+    n_turns, start (of the conversation's last turn). Turns that follow one another on a path share an interval, so a
+    long conversation costs one interval a turn, not one for each pair of turns. Conversations without rows do not
+    exist; equal ones share all nodes; extra columns are not read.
     """
-    turns = turn_paths(conversations)
-    shared = turns.groupBy("node").agg(*[F.first(c).alias(c) for c in ("path", "above", "depth", "head", "body", "learned")])
-    nodes = place(encode_nodes(shared, path))
-    spans = nodes.select(F.col("node").alias("ancestor"), F.struct("start", (F.col("start") + F.size("tokens")).alias("end")).alias("span"))
-    links = nodes.select("node", F.explode("above").alias("ancestor"))
-    over = salted_lookup(links, spans, "ancestor", "node").groupBy("node").agg(F.sort_array(F.collect_list("span")).alias("ancestors"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    sequence = nodes.join(over, "node", "left").withColumn("ancestors", F.coalesce("ancestors", none))
+    paths = cut(turn_paths(conversations).withColumn("leaf", F.element_at("keys", -1)), "paths")
+    stored = cut(emit_nodes(paths.select("leaf", "keys", "turns").dropDuplicates(["leaf"]), path), "tree")
+    nodes, links = place(stored)
+    spans = nodes.select(F.col("node").alias("ancestor"), "run", "run_turn", "turn", (F.col("start") + F.size("tokens")).alias("end"))
+    # what a path takes of a run begins with the run
+    taken = salted_lookup(links, spans, "ancestor", "leaf").groupBy("leaf", "run", "run_turn").agg(F.max("end").alias("end"), F.count("*").alias("turns"))
+    interval = F.struct(F.col("run").alias("start"), "end", F.col("run_turn").alias("turn"), "turns")
+    over = taken.groupBy("leaf").agg(F.sort_array(F.collect_list(interval)).alias("over"))
+    none = F.array().cast(SPANS)
+    own = F.array(F.struct(F.col("run").alias("start"), F.col("start").alias("end"), F.col("run_turn").alias("turn"), (F.col("turn") - F.col("run_turn")).alias("turns")))
+    ancestors = F.concat(F.coalesce("over", none), F.when(F.col("start") > F.col("run"), own.cast(SPANS)).otherwise(none))
     length = F.aggregate("ancestors", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    sequence = sequence.select("node", "start", "tokens", length.alias("position"), "ancestors", "loss_start", "loss_end")
-    ends = turns.where("leaf").select("conv_id", F.col("depth").cast("bigint").alias("n_turns"), "node")
-    members = salted_lookup(ends, nodes.select("node", "start"), "node", "conv_id").select("conv_id", "n_turns", "start")
-    return sequence.drop("node"), members
+    sequence = nodes.join(over, "leaf", "left").withColumn("ancestors", ancestors).select("turn", "start", "tokens", length.alias("position"), "ancestors", "loss_start", "loss_end")
+    ends = paths.select("conv_id", F.size("keys").cast("bigint").alias("n_turns"), "leaf")
+    members = salted_lookup(ends, nodes.where("node = leaf").select("leaf", "start"), "leaf", "conv_id").select("conv_id", "n_turns", "start")
+    return sequence, members
 
 
 def read_turns(sequence: DataFrame, path: str) -> DataFrame:
-    """Each row of the sequence read back from its tokens: start, ancestors, role, text, n_chars, loss_text."""
-    schema = "start bigint, role string, text string, n_chars bigint, loss_text string"
+    """Each row of the sequence read back from its tokens: turn, role, text, n_chars, loss_text."""
+    schema = "turn bigint, role string, text string, n_chars bigint, loss_text string"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
@@ -135,28 +191,29 @@ def read_turns(sequence: DataFrame, path: str) -> DataFrame:
                 parsed = [TURN.fullmatch(x).groups() for x in whole]
                 plain = lambda x: ESCAPED.sub(r"\1", x)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("start"), pa.array([plain(r) for r, _ in parsed], pa.string()), pa.array([plain(t) for _, t in parsed], pa.string()),
+                    [part.column("turn"), pa.array([plain(r) for r, _ in parsed], pa.string()), pa.array([plain(t) for _, t in parsed], pa.string()),
                      pa.array([len(x) for x in whole], pa.int64()), pa.array([plain(x) for x in masked], pa.string())],
-                    names=["start", "role", "text", "n_chars", "loss_text"])
+                    names=["turn", "role", "text", "n_chars", "loss_text"])
 
-    return sequence.select("start", "tokens", "loss_start", "loss_end").mapInArrow(decode, schema)
+    return sequence.select("turn", "tokens", "loss_start", "loss_end").mapInArrow(decode, schema)
 
 
 def conversation_digests(sequence: DataFrame, members: DataFrame, path: str) -> DataFrame:
-    """Per conversation, read back through the attention intervals of its last turn."""
+    """Per conversation, read back through the attention intervals of its last turn; equal ones are read once."""
     kept = cut(sequence, "sequence")
-    turns = read_turns(kept, path)
-    leaves = salted_lookup(members, kept.select("start", "ancestors"), "start", "conv_id")
-    seen = leaves.select("conv_id", F.explode(F.concat(F.transform("ancestors", lambda s: s["start"]), F.array("start"))).alias("start"))
-    read = salted_lookup(seen, turns, "start", "conv_id")
-    rows = read.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("start", "role", "text", "n_chars", "loss_text"))).alias("turns"))
+    leaves = kept.join(members.select("start").distinct(), "start").select("start", "turn", "ancestors")
+    above = F.flatten(F.transform("ancestors", lambda s: F.sequence(s["turn"], s["turn"] + s["turns"] - 1)))
+    seen = leaves.select("start", F.explode(F.concat(above, F.array("turn"))).alias("turn"))
+    read = salted_lookup(seen, read_turns(kept, path), "turn", "start")
+    rows = read.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "n_chars", "loss_text"))).alias("turns"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("turns", lambda t: t["loss_text"]), "")
-    return rows.select(
-        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+    digests = rows.select(
+        "start", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.char_length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
         F.aggregate("turns", F.lit(0).cast("bigint"), lambda n, t: n + t["n_chars"]).alias("formatted_chars"),
     )
+    return salted_lookup(members.select("conv_id", "start"), digests, "start", "conv_id").drop("start")
 
 
 SQL = r"""

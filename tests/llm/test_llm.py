@@ -102,7 +102,10 @@ def test_license_scan(spark):
     assert got[1] == ("MIT", True) and not got[2][1] and set(got) == {1, 2}
 
 
-def test_prefix_tree_shares_turns(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_prefix_tree_shares_turns(spark, coalesce):
+    # without coalescing, every range of the sorted conversations is a partition of its own
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"turn {t if t < 2 else c * 10 + t}") for c in range(20) for t in range(4)]
     sequence, members = chat_tree.prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), queries.vocabulary())
     nodes = sorted(sequence.collect(), key=lambda r: r["start"])
@@ -111,6 +114,22 @@ def test_prefix_tree_shares_turns(spark):
     for n in nodes:
         assert n["start"] == end and n["position"] == sum(s["end"] - s["start"] for s in n["ancestors"]) and all(s["end"] <= end for s in n["ancestors"])
         end += len(n["tokens"])
+    digests = chat_tree.conversation_digests(sequence, members, queries.vocabulary()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for d in digests:
+        said = [(r, x) for c, _, r, x in rows if c == d["conv_id"]]
+        assert d["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in said).encode()).hexdigest()
+        assert d["loss_sha256"] == hashlib.sha256("".join(x for r, x in said if r == "assistant").encode()).hexdigest()
+    assert len(digests) == 20
+
+
+def test_long_conversation_has_few_intervals(spark):
+    rows = [(c, t, "user", f"{t}" if t < 290 + c else f"{c} {t}") for c in range(3) for t in range(300)] + [(9, None, None, None), (9, 0, "user", "0")]
+    sequence, members = chat_tree.prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), queries.vocabulary())
+    nodes = sequence.collect()
+    assert len(nodes) == len({tuple(x[2:] for x in rows if x[0] == c and (x[1] or 0) <= t) for c in (0, 1, 2) for t in range(300)}) + 2
+    assert max(len(n["ancestors"]) for n in nodes) <= 3 and sum(n["turns"] for n in members.withColumnRenamed("n_turns", "turns").collect()) == 902
+    assert not chat_tree.prefix_tree(spark.createDataFrame(rows[:1], "conv_id long, turn long, role string, text string").limit(0), queries.vocabulary())[1].count()
 
 
 def test_odd_rows_and_empty_tables(spark):
