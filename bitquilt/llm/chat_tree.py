@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 #: The role whose texts carry the loss.
 LEARNED = "assistant"
 #: Conversations handled at once inside a task.
-ROWS = 256
+ROWS = 64
 NODES = (
     "node string, leaf string, depth int, first boolean, run_at bigint, run_no bigint, at bigint, no bigint, tokens array<int>, loss_start int, loss_end int, above array<string>"
 )
@@ -32,6 +33,8 @@ _encoders: dict = {}
 
 def encoder(path: str):
     if path not in _encoders:
+        # a task has one core: a thread for each core of the machine would only keep that many caches and buffers
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         _encoders[path] = Tokenizer.from_file(path)
@@ -182,8 +185,8 @@ def read_turns(sequence: DataFrame, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 tokens = part.column("tokens").to_pylist()
                 spans = list(zip(part.column("loss_start").to_pylist(), part.column("loss_end").to_pylist(), strict=True))
                 whole = model.decode_batch(tokens, skip_special_tokens=False)
