@@ -8,6 +8,7 @@ shingle are candidates; their partial overlaps are counted fragment by fragment
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,11 @@ VERTICAL = 4
 HUB_ROUNDS = 4
 #: All remaining pairs are tried at once when there are at most this many for each entry.
 FEW = 8
+#: Words of 64 bits in a set's parity sketch, and sets sketched at once inside a task.
+SKETCH, SKETCH_ROWS = 8, 2048
 LOW48 = np.uint64((1 << 48) - 1)
 PACKED = "block bigint, fragment int, head binary, sizes binary, tokens binary"
-SETS = "doc_id bigint, sig_a bigint, sig_b bigint, n_shingles bigint, alone bigint, tokens array<bigint>"
+SETS = "doc_id bigint, sig_a bigint, sig_b bigint, n_shingles bigint, alone bigint, tokens array<bigint>, sketch array<bigint>"
 
 
 def narrow(values: np.ndarray) -> bytes:
@@ -130,6 +133,19 @@ def spare(n: np.ndarray) -> np.ndarray:
     return n - (NEEDED * n + PARTS - 1) // PARTS
 
 
+def parity_sketches(row: np.ndarray, token: np.ndarray, n_rows: int) -> np.ndarray:
+    """SKETCH words for each row (rows in order): a bit is set if an odd number of the row's tokens fall on it."""
+    bits = 64 * SKETCH
+    out = np.empty((n_rows, SKETCH), np.int64)
+    for a in range(0, n_rows, SKETCH_ROWS):
+        b = min(a + SKETCH_ROWS, n_rows)
+        x, y = np.searchsorted(row, [a, b])
+        place = (row[x:y] - a).astype(np.int64) * bits + (token[x:y] % bits)
+        odd = np.bincount(place, minlength=(b - a) * bits) & 1
+        out[a:b] = np.packbits(odd.astype(np.uint8).reshape(b - a, bits), axis=1).view(np.int64)
+    return out
+
+
 def assemble(table: pa.Table) -> pa.Table:
     """Rows of one block's documents: sizes, signatures, and the shared tokens of sets that can have a partner."""
     t = table.combine_chunks()
@@ -144,15 +160,19 @@ def assemble(table: pa.Table) -> pa.Table:
     held = np.concatenate([np.frombuffer(t["head"][i].as_py(), np.int32) for i in mine] or [np.empty(0, np.int32)])
     token = np.concatenate([np.frombuffer(t["tokens"][i].as_py(), np.uint64) for i in mine] or [np.empty(0, np.uint64)])
     order = np.lexsort((token, held, row))
-    token = token[order].view(np.int64)
+    row, token = row[order], token[order].view(np.int64)
     shared = np.bincount(row, minlength=n_rows)
     ends = np.cumsum(shared)
     alone = np.where(sent, sizes - shared, 0)
     linked = sent & (alone <= spare(sizes)) & (shared > 0)
     lists = [token[ends[i] - shared[i]:ends[i]] if linked[i] else None for i in range(n_rows)]
+    kept = linked[row]
+    sketches = parity_sketches((np.cumsum(linked) - 1)[row[kept]], token[kept], int(linked.sum()))
+    sketch = iter(sketches)
     return pa.table({
         "doc_id": pa.array(head[:n_rows], pa.int64()), "sig_a": pa.array(head[n_rows:2 * n_rows], pa.int64()), "sig_b": pa.array(head[2 * n_rows:], pa.int64()),
         "n_shingles": pa.array(sizes, pa.int64()), "alone": pa.array(alone, pa.int64()), "tokens": pa.array(lists, pa.list_(pa.int64())),
+        "sketch": pa.array([next(sketch) if yes else None for yes in linked.tolist()], pa.list_(pa.int64())),
     })
 
 
@@ -176,6 +196,16 @@ def may_link(n: Column, alone: Column, at: Column, m: Column, other_alone: Colum
     return (F.least(n, m) * PARTS >= F.greatest(n, m) * NEEDED) & (reach >= least_overlap(n, m))
 
 
+def close_enough(n: Column, alone: Column, sketch: Column, m: Column, other_alone: Column, other: Column) -> Column:
+    """Whether sets may differ in few enough shingles to link.
+
+    A shingle that only one of two sets holds turns one bit, so the sketches never differ in more bits than the sets
+    do in shared shingles: no pair that links is refused.
+    """
+    bits = reduce(Column.__add__, [F.bit_count(F.get(sketch, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))) for i in range(SKETCH)])
+    return alone + other_alone + bits <= n + m - 2 * least_overlap(n, m)
+
+
 def pieces(sets: DataFrame) -> DataFrame:
     """Token lists cut into the VERTICAL fragments of the order: node, piece, part."""
     piece = F.pmod(F.shiftrightunsigned(F.col("token"), 20), F.lit(VERTICAL)).cast("int")
@@ -216,11 +246,12 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def components(sets: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that links reach, for sets (node, n_shingles, alone, tokens).
+    """(node, label): the smallest node that links reach, for sets (node, n_shingles, alone, tokens, sketch).
 
     A shingle's holders are first compared with one hub each round, the hub being the holder with the fewest shingles
     of its own; holders that now share a group need no comparison. When few pairs of different groups are left, or
-    after HUB_ROUNDS, all of these are compared, so no link between groups is missed.
+    after HUB_ROUNDS, all of these are compared, so no link between groups is missed; pairs whose parity sketches
+    prove that they differ too much are not sent.
     """
     n = F.col("n_shingles")
     places = F.transform("tokens", lambda t, i: F.struct(t.alias("token"), (i + F.col("alone")).alias("at")))
@@ -246,8 +277,10 @@ def components(sets: DataFrame) -> DataFrame:
         waiting = salted_lookup(marked, open_.select("token"), "token", "node")
         fields = ("node", "n", "alone", "at", "label")
         if last:
-            other = waiting.select("token", *[F.col(c).alias(f"h_{c}") for c in fields])
-            met = waiting.join(other, "token").where(F.col("node") < F.col("h_node"))
+            sketched = waiting.join(sets.select("node", "sketch"), "node")
+            other = sketched.select("token", *[F.col(c).alias(f"h_{c}") for c in (*fields, "sketch")])
+            fit = close_enough(*[F.col(c) for c in ("n", "alone", "sketch", "h_n", "h_alone", "h_sketch")])
+            met = sketched.join(other, "token").where((F.col("node") < F.col("h_node")) & fit)
         else:
             first = F.struct(*([F.col("alone") / F.col("n")] if turn == 0 else [F.xxhash64("node", F.lit(turn))]), *fields)
             hubs = waiting.groupBy("token").agg(F.min(first).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"h_{c}") for c in fields])
@@ -280,8 +313,8 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     signature = F.struct("sig_a", "sig_b", "n_shingles")
     full = sets.where("n_shingles > 0")
     classes = cut(full.groupBy(signature.alias("sig")).agg(F.min("doc_id").alias("node")), "classes")
-    candidates = full.where("tokens IS NOT NULL").groupBy(signature.alias("sig")).agg(F.first("alone").alias("alone"), F.first("tokens").alias("tokens"))
-    nodes = cut(candidates.join(classes, "sig").select("node", F.col("sig.n_shingles").alias("n_shingles"), "alone", "tokens"), "nodes")
+    candidates = full.where("tokens IS NOT NULL").groupBy(signature.alias("sig")).agg(*[F.first(c).alias(c) for c in ("alone", "tokens", "sketch")])
+    nodes = cut(candidates.join(classes, "sig").select("node", F.col("sig.n_shingles").alias("n_shingles"), "alone", "tokens", "sketch"), "nodes")
     labels = components(nodes)
     named = classes.join(labels, "node", "left").select("sig", F.coalesce("label", "node").alias("label"))
     joined = salted_lookup(full.select("doc_id", "n_shingles", signature.alias("sig")), named, "sig", "doc_id")

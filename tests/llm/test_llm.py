@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from check import compare
 from pyspark.sql import functions as F
@@ -78,6 +79,20 @@ def test_jaccard_join_equals_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted((d, len(s), least[d]) for (d, _), s in zip(rows, sets, strict=True))
 
 
+def test_parity_sketches_never_exceed_the_difference(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SKETCH_ROWS", 7)
+    r = random.Random(5)
+    pool = [r.getrandbits(63) for _ in range(900)]
+    sets = [sorted(set(r.sample(pool, r.choice([0, 1, 40, 300, 800])))) for _ in range(30)]
+    row = np.repeat(np.arange(30), [len(x) for x in sets])
+    got = jaccard_join.parity_sketches(row, np.array([t for x in sets for t in x], np.int64), 30).view(np.uint64)
+    for i in range(30):
+        for j in range(30):
+            apart = sum(int(a ^ b).bit_count() for a, b in zip(got[i].tolist(), got[j].tolist(), strict=True))
+            assert apart <= len(set(sets[i]) ^ set(sets[j]))
+            assert i != j or apart == 0
+
+
 def test_token_counts_of_every_prefix():
     from tokenizers import Tokenizer
 
