@@ -117,6 +117,54 @@ def test_license_scan(spark):
     assert got[1] == ("MIT", True) and not got[2][1] and set(got) == {1, 2}
 
 
+def notice(r: random.Random, name: str) -> str:
+    """A template as it may be found: up to a fifth of a long one's words without a digit left out or foreign."""
+    words = license_scan.TEMPLATES[name].split(" ")
+    for _ in range(r.randint(0, len(words) // 12) if len(words) > 12 else 0):
+        i = r.randrange(1, len(words))
+        words[i:i + (not re.search(r"\d", words[i]) and r.randint(0, 1))] = ["foreign"]
+    return " ".join(words)
+
+
+def test_license_scan_finds_every_notice_of_a_block():
+    scanner, r = license_scan.Scanner(license_scan.TEMPLATES), random.Random(5)
+    adjacent = scanner.scan("Released under the MIT License.\nAll rights reserved.")
+    assert [(x["license"], x["start"], x["end"]) for x in adjacent] == [("MIT", 0, 30), ("All-rights-reserved", 32, 51)]
+    for _ in range(60):
+        names = [r.choice(sorted(license_scan.TEMPLATES)) for _ in range(r.randint(1, 6))]
+        parts = [notice(r, n) for n in names]
+        text = r.choice(["\n", " "]).join(parts)
+        found = [x for x in scanner.scan(text) if x["confirmed"]]
+        assert [x["license"] for x in found] == names, text
+        for x, part in zip(found, parts, strict=True):
+            assert text[x["start"]:x["end"]] in part
+
+
+def test_license_stretches_equal_brute_force():
+    scanner = license_scan.Scanner({"long": "a b c d e f g h i j k l m", "short": "b a c", "number": "a b c d e f g h i j k l 2.0"})
+    r = random.Random(6)
+
+    def least(want: list[str], have: list[str]) -> int:
+        row = [0] * (len(have) + 1)
+        for w in want:
+            new = [0]
+            for j, h in enumerate(have):
+                new.append(row[j] + 1 if h == w else max(row[j + 1], new[-1]))
+            row = new
+        return len(want) + len(have) - 2 * row[-1]
+
+    for _ in range(150):
+        base = r.choice(["a b c d e f g h i j k l m", "b a c", "a b c d e f g h i j k l 2.0", ""]).split()
+        words = [r.choice("abxy") for _ in range(r.randint(0, 4))] + [w for w in base if r.random() > 0.08] + [r.choice("abxy") for _ in range(r.randint(0, 4))]
+        for n in scanner.names:
+            want = scanner.words[n]
+            fits = [(i, j) for i in range(len(words)) for j in range(i + 1, len(words) + 1)
+                    if ("2.0" in words[i:j]) == ("2.0" in want) and least(want, words[i:j]) <= scanner.allowed(n)]
+            # a short notice may lie in words that a longer one has taken
+            one = license_scan.Scanner({n: " ".join(want)})
+            assert bool(fits) == bool(one.notices(words)), (n, words)
+
+
 @pytest.mark.parametrize("coalesce", ["true", "false"])
 def test_prefix_tree_shares_turns(spark, coalesce):
     # without coalescing, every range of the sorted conversations is a partition of its own
