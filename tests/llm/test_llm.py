@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -140,6 +141,26 @@ def test_license_scan_finds_every_notice_of_a_block():
             assert text[x["start"]:x["end"]] in part
 
 
+def test_license_scan_finds_wrapped_and_straddling_notices(spark):
+    scanner, r = license_scan.Scanner(license_scan.TEMPLATES), random.Random(7)
+    prose = "some words of prose that say nothing about it ".split()
+    rows, want = [], []
+    for name, text in sorted(license_scan.TEMPLATES.items()):
+        for k in range(12):
+            before, after = (" ".join(r.choice(prose) for _ in range(r.choice([0, 5, 90, 300]))) for _ in range(2))
+            sep, lead = r.choice([" ", "\n", "\n\n"]), r.choice(["", " * ", "# ", "    "])
+            body = text if k % 3 == 2 else ("\n" + r.choice(["", "\n"]) + lead).join(textwrap.wrap(text, r.choice([20, 40, 76]), break_long_words=False, break_on_hyphens=False))
+            # a cue some way before a notice in the same long line
+            near = "see the licence " + " ".join(r.choice(prose) for _ in range(k * 14)) + sep if k % 2 else ""
+            rows.append((len(rows), before + sep + near + body + sep + after))
+            want.append((name, rows[-1][1].find(body)))
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()
+    assert sorted((x["doc_id"], x["license"], x["start"]) for x in got) == [(i, *w) for i, w in enumerate(want)]
+    for i, text in rows[:40]:  # brute force: the whole text as one block
+        words = [m.group() for m in license_scan.WORDS.finditer(text.lower())]
+        assert [n for n, _, _ in scanner.notices(words)] == [want[i][0]]
+
+
 def test_license_stretches_equal_brute_force():
     scanner = license_scan.Scanner({"long": "a b c d e f g h i j k l m", "short": "b a c", "number": "a b c d e f g h i j k l 2.0"})
     r = random.Random(6)
