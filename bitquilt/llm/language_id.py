@@ -98,10 +98,11 @@ def _counted(cells: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(cells, return_counts=True)
 
 
-def text_vectors(texts: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bundled vector of each text, and whether it has a letter; n-grams are bound in blocks."""
+def text_vectors(texts: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bundled vector of each text, whether it has a letter, and its number of n-grams; n-grams are bound in blocks."""
     grams, cells, counts, has = gram_counts(texts)
     out = np.zeros((len(texts), dimensions), np.float32)
+    total = np.bincount(cells[:, 0], counts, len(texts))
     order = np.argsort(cells[:, 1], kind="stable") if len(grams) > BLOCK else slice(None)
     cells, counts = cells[order], counts[order]
     bounds = np.searchsorted(cells[:, 1], np.arange(0, len(grams) + BLOCK, BLOCK)) if len(grams) > BLOCK else [0, len(cells)]
@@ -110,7 +111,7 @@ def text_vectors(texts: list[str], dimensions: int) -> tuple[np.ndarray, np.ndar
         dense = np.zeros((len(texts), min(BLOCK, len(grams) - at)), np.float32)
         dense[cells[part, 0], cells[part, 1] - at] = counts[part]
         out += dense @ gram_vectors(grams[at:at + BLOCK], dimensions)
-    return out, has
+    return out, has, total
 
 
 def held_out(doc_id: Column) -> Column:
@@ -119,7 +120,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn_profiles(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
-    """Language to profile from (text, lang): the sums of all n-grams of all its texts.
+    """Language to profile from (text, lang): the sums of all n-grams of all its texts."""
+    return learn_sized(labelled, dimensions)[0]
+
+
+def learn_sized(labelled: DataFrame, dimensions: int = DIMENSIONS) -> tuple[dict[str, np.ndarray], dict[str, int]]:
+    """The profiles of `learn_profiles`, and how many n-grams each sums.
 
     Each task bundles what it reads into one integer vector per language; Spark adds them up, so neither order nor the
     number of tasks matters. Only languages x dimensions numbers reach the driver.
@@ -134,8 +140,7 @@ def learn_profiles(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[st
                 own = langs[a:b]
                 for lang in sorted(set(own)):
                     # one text per language: n-grams never join texts, so its counts are the sums
-                    vectors, _ = bundled("\n".join(t for t, x in zip(texts, own, strict=True) if x == lang), dimensions)
-                    sums[lang] = sums.get(lang, 0) + vectors
+                    sums[lang] = sums.get(lang, 0) + bundled("\n".join(t for t, x in zip(texts, own, strict=True) if x == lang), dimensions)
         for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.tolist()], pa.list_(pa.int64()))], names=["lang", "sums"])
 
@@ -146,27 +151,36 @@ def learn_profiles(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[st
     found = whole.limit(MOST_LANGUAGES + 1).collect()
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
-    return {r["lang"]: np.array(r["sums"], np.float64) for r in found if any(r["sums"])}
+    known = [r for r in found if any(r["sums"][:dimensions])]
+    return {r["lang"]: np.array(r["sums"][:dimensions], np.float64) for r in known}, {r["lang"]: r["sums"][dimensions] for r in known}
 
 
-def bundled(text: str, dimensions: int) -> tuple[np.ndarray, bool]:
-    grams, cells, counts, has = gram_counts([text])
+def bundled(text: str, dimensions: int) -> np.ndarray:
+    """The sum of a text's n-grams, and after it their number."""
+    grams, cells, counts, _ = gram_counts([text])
     total = np.zeros(dimensions, np.int64)
     per_gram = np.zeros(len(grams), np.float64)
     per_gram[cells[:, 1]] = counts
     for at in range(0, len(grams), BLOCK):
         total += np.rint(per_gram[at:at + BLOCK] @ gram_vectors(grams[at:at + BLOCK], dimensions).astype(np.float64)).astype(np.int64)
-    return total, bool(has.any())
+    return np.append(total, counts.sum())
 
 
-def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int = DIMENSIONS, keep: list[str] | None = None) -> DataFrame:
+def predict_languages(
+    docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int = DIMENSIONS, keep: list[str] | None = None, totals: dict[str, int] | None = None,
+) -> DataFrame:
     """The columns of `keep` (doc_id), lang_pred, score: the language of the largest cosine, and that cosine, not below 0.
 
     A text that is null or has no letter is `und` with score 0, as is any text if nothing was learned. Ties go to the
     language that comes first. Whole texts are read; each row is judged alone, so repeated rows get equal results.
+    With `totals`, the profiles' numbers of n-grams, there is one more column: `expected`, the cosine that a text of
+    as many n-grams, repeated as often, has on average if they are drawn from that language (at most 1).
     """
     keep = keep or ["doc_id"]
     names = sorted(profiles)
+    # the length of a vector by n-gram: the cosine expected is the profile's by the text's
+    per_gram = np.array([np.linalg.norm(profiles[n]) / totals[n] for n in names]) if totals else None
+    columns = [*keep, "lang_pred", "score", *(["expected"] if totals else [])]
     matrix = np.stack([profiles[n] / np.linalg.norm(profiles[n]) for n in names], axis=1).astype(np.float32) if names else np.zeros((dimensions, 0), np.float32)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -175,14 +189,18 @@ def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], dimensio
             n = batch.num_columns
             for a, b in spans_of(batch.column(n - 1).to_numpy(zero_copy_only=False)):
                 texts = [t or "" for t in batch.column(n - 2).slice(a, b - a).to_pylist()]
-                vectors, has = text_vectors(texts, dimensions)
+                vectors, has, grams = text_vectors(texts, dimensions)
                 lengths = np.linalg.norm(vectors, axis=1)
                 known = has & (lengths > 0) & bool(names)
                 cosines = vectors @ matrix / np.where(lengths > 0, lengths, 1)[:, None]
                 best = cosines.argmax(axis=1) if names else np.zeros(len(texts), np.int64)
                 lang = [names[i] if ok else UNDETERMINED for i, ok in zip(best, known, strict=True)]
                 score = [float(min(max(cosines[r, i], 0.0), 1.0)) if ok else 0.0 for r, (i, ok) in enumerate(zip(best, known, strict=True))]
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(n - 2)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+                found = [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+                if totals:
+                    expected = per_gram[best] * grams / np.where(lengths > 0, lengths, 1)
+                    found.append(pa.array(np.where(known, np.minimum(expected, 1.0), 0.0), pa.float64()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(n - 2)], *found], names=columns)
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
-    return docs.select(*keep, F.col("text").alias("_text"), size.alias("_size")).mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return docs.select(*keep, F.col("text").alias("_text"), size.alias("_size")).mapInArrow(predict, f"{fields}, lang_pred string, score double" + (", expected double" if totals else ""))

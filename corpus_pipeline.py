@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 from bitquilt.llm import decontaminate, jaccard_join, language_id, mixing, suffix_dedup
 from bitquilt.session import cut
 
-#: Texts whose best language has a lower cosine are rejected, as are those without a letter.
-LEAST_SCORE = 0.05
+#: Texts whose best language has a lower cosine are like no language: five deviations of the noise between unrelated sums.
+LEAST_SCORE = 5 / language_id.DIMENSIONS ** 0.5
+#: Short texts have lower cosines with their own language: they stay from this share of the cosine expected at their length.
+LEAST_SHARE = 1 / 3
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents go that are null, have no letter, or are like no language."""
-    profiles = language_id.learn_profiles(docs.where(~language_id.held_out(F.col("doc_id"))))
+    profiles, totals = language_id.learn_sized(docs.where(~language_id.held_out(F.col("doc_id"))))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = language_id.predict_languages(whole, profiles, keep=["row"])
-    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    found = language_id.predict_languages(whole, profiles, keep=["row"], totals=totals)
+    least = F.least(F.lit(LEAST_SCORE), F.col("expected") * LEAST_SHARE) if profiles else F.lit(0.0)
+    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= least)
     # with nothing to learn from, nothing can be rejected but texts without letters
     return found.where(known if profiles else F.lit(True)).select("row.*")
 

@@ -250,3 +250,18 @@ def test_pipeline_stages(spark, sf_dir):
     assert left.columns == docs.columns and 0 < left.count() <= docs.count()
     mixed = stages["mix_sources"](spark, docs, sf_dir)
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_pipeline_rejects_texts_like_no_language(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r, docs = random.Random(8), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    letters = lambda choose: " ".join("".join(choose() for _ in range(r.randint(2, 9))) for _ in range(12))
+    unseen = [letters(lambda: chr(r.randrange(0x10A0, 0x10C5))) for _ in range(150)]
+    noise = [letters(lambda: r.choice("abcdefghijklmnopqrstuvwxyz")) for _ in range(150)]
+    clean = [" ".join(x["text"].split()[:10]) for x in docs.where("lang IS NOT NULL AND text IS NOT NULL").orderBy("doc_id").limit(150).collect()]
+    added = [(10**9 + i, t) for i, t in enumerate(unseen + noise + clean)]
+    more = spark.createDataFrame(added, "doc_id long, text string")
+    kept = {x["doc_id"] for x in dict(corpus_pipeline.STAGES)["language_id"](spark, docs.unionByName(more, allowMissingColumns=True), sf_dir).select("doc_id").collect()}
+    share = lambda a, b: sum(10**9 + i in kept for i in range(a, b)) / (b - a)
+    assert share(0, 150) <= 0.01 and share(150, 300) <= 0.03 and share(300, 450) >= 0.97
+    assert len([i for i in kept if i < 10**9]) >= 0.99 * docs.where("text IS NOT NULL AND doc_id IS NOT NULL").count()
