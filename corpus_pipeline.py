@@ -1,7 +1,8 @@
 """A corpus pipeline: each stage is one operator over everything the stage before kept.
 
 Stages take (spark, docs, sf_dir); all but the last return the columns of documents. Extra columns are carried along.
-Rows without a doc_id are judged by language and cut nowhere else; an empty table passes through all stages.
+Stages that compare rows go by a key of their own, so rows without a doc_id and rows that share one are compared like
+all others; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -29,21 +30,56 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.where(known if profiles else F.lit(True)).select("row.*")
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.distinct(), "doc_id", "left_anti").select(docs.columns)
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a unique BIGINT `_key` in the order of doc_id, as far as there is one.
+
+    A doc_id that one row has is its key. The other rows are numbered in the order of their content, next to the range
+    of the ids; the first of the rows that share an id has that as its key. Only these rows are written once more.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    odd_ids = cut(ids.where(F.col("doc_id").isNull() | (F.col("_rows") > 1)).select("doc_id"), "odd_ids")
+    if odd_ids.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id"))
+    single = docs.where(F.col("doc_id").isNotNull()).join(odd_ids, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").alias("_key"))
+    shared = docs.where(F.col("doc_id").isNotNull()).join(odd_ids, "doc_id", "left_semi").select(docs.columns)
+    # equal rows are dealt out too: which of them comes first makes no difference
+    named = shared.unionByName(docs.where(F.col("doc_id").isNull())).withColumns({"_hash": F.xxhash64(*docs.columns), "_place": F.monotonically_increasing_id()})
+    sorted_ = named.repartitionByRange("_hash", "_place").sortWithinPartitions("_hash", "_place").drop("_place")
+    odd = cut(sorted_.withColumn("_number", F.monotonically_increasing_id()), "odd_rows")
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    numbers = odd.agg(F.max("_number")).first()[0] + 1
+    base = (most if most is not None else -1) + 1
+    if base + numbers > 1 << 63:
+        base = least - numbers
+        if base < -(1 << 63):
+            raise ValueError("no numbers are free outside the range of doc_id")
+    first = odd.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("_number").alias("_number")).select("_number", F.lit(True).alias("_first"))
+    key = F.when(F.col("_first"), F.col("doc_id")).otherwise(F.col("_number") + F.lit(base).cast("bigint"))
+    return single.unionByName(odd.join(first, "_number", "left").select(*docs.columns, key.alias("_key")))
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_key").alias("doc_id"), "text")
+
+
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of `keyed` whose key is not among the doc_id of `keys`."""
+    gone = keys.select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(gone, "_key", "left_anti").select([c for c in rows.columns if c != "_key"])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group that links hold together, the document with the smallest id stays."""
-    groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
-    return without(docs, groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    """N-gram Jaccard join: of each group that links hold together, the row with the smallest key stays."""
+    rows = keyed(docs)
+    groups = jaccard_join.jaccard_components(by_key(rows))
+    return without(rows, groups.where(F.col("doc_id") != F.col("component_id")))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix-array dedup: repeated passages are cut from all but the first document; what is then blank goes."""
+    """Suffix-array dedup: repeated passages are cut from all but the first row; what is then blank goes."""
     others = [c for c in docs.columns if c != "text"]
     row = F.struct(*[F.col(f"`{c}`") for c in others], F.col("text").isNull().alias("_no_text")).alias("row")
-    found = suffix_dedup.remove_repeats(docs.select("doc_id", "text", row), keep_text=True, keep=["row"])
+    found = suffix_dedup.remove_repeats(keyed(docs).select(F.col("_key").alias("doc_id"), "text", row), keep_text=True, keep=["row"])
     left = found.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     length = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("row.n_chars")) if "n_chars" in others else None
     values = {"text": F.when(~F.col("row._no_text"), F.col("kept")), "n_chars": length}
@@ -51,9 +87,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a benchmark item go."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found.select("doc_id"))
+    """Benchmark decontamination: rows that hold a benchmark item go."""
+    rows = keyed(docs)
+    found = decontaminate.contaminated(by_key(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(rows, found)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

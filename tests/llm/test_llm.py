@@ -265,3 +265,21 @@ def test_pipeline_rejects_texts_like_no_language(spark, sf_dir):
     share = lambda a, b: sum(10**9 + i in kept for i in range(a, b)) / (b - a)
     assert share(0, 150) <= 0.01 and share(150, 300) <= 0.03 and share(300, 450) >= 0.97
     assert len([i for i in kept if i < 10**9]) >= 0.99 * docs.where("text IS NOT NULL AND doc_id IS NOT NULL").count()
+
+
+def test_pipeline_compares_rows_without_an_id_of_their_own(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r, stages = random.Random(9), dict(corpus_pipeline.STAGES)
+    said = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, b, c, passage = said(60), said(60), said(60), said(30)
+    item = max((x["text"] for x in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if x["text"]), key=len)
+    rows = [(5, a), (None, a), (7, b), (7, b), (None, c), (None, c), (9, said(40) + " " + passage), (None, said(40) + " " + passage), (7, said(50)), (None, item), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["_key"] for x in corpus_pipeline.keyed(docs).collect())[:3] == [5, 7, 9] and corpus_pipeline.keyed(docs).select("_key").distinct().count() == len(rows)
+    left = [tuple(x) for x in stages["jaccard_join"](spark, docs, sf_dir).collect()]
+    assert sorted(left, key=str) == sorted([x for i, x in enumerate(rows) if i not in (1, 3, 5)], key=str)
+    cut = [tuple(x) for x in stages["suffix_dedup"](spark, docs, sf_dir).collect()]
+    assert sum(passage in (t or "") for _, t in cut) == 1 and [i for i, t in cut if t == a] == [5]
+    assert sum(t == b for _, t in cut) == 1 and sum(t == c for _, t in cut) == 1
+    clean = [tuple(x) for x in stages["decontaminate"](spark, docs, sf_dir).collect()]
+    assert sorted(clean, key=str) == sorted([x for x in rows if x[1] != item], key=str)
