@@ -69,10 +69,10 @@ def join_small(rows: DataFrame, small: DataFrame, on: list[str], n_rows: int, ro
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Best match of each benchmark item in each document: doc_id, item_id, start (shingle), hamming, similarity >= 0.8.
 
-    Windows have as many shingles as an item (a shorter document is one window). A window that shares no shingle with
-    any item has similarity 0 with all, so only windows laid where a shared shingle puts an item are fingerprinted.
-    All pairs of window and item of one size within RADIUS bits are found by their blocks, then verified by
-    sum(min) / sum(max) of the shingle counts. Ties go to the smaller start. Null and empty texts and items match
+    Windows have as many shingles as an item (a shorter document is one window), at every start. A window counts only if
+    it holds so many of the items' shingles that the similarity can be reached; all these are fingerprinted. All pairs
+    of window and item of one size within RADIUS bits are found by their blocks, then verified by sum(min) / sum(max)
+    of the shingle counts. Ties go to a start where a shared shingle lies as in an item, then to the smaller start. Null and empty texts and items match
     nothing; repeated rows match once; rows without an id are not reported; other columns are not read.
     """
     given = with_shingles(benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text"))
@@ -84,12 +84,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spread = with_shingles(named).select("doc_id", "n", F.posexplode_outer("sh").alias("pos", "h"))
     hits = join_small(spread, parts, ["h"], n_shingles, 40)
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("size")))
-    laid = hits.select("doc_id", F.struct(start.alias("start"), "size").alias("w")).distinct().groupBy("doc_id").agg(F.collect_list("w").alias("windows"))
+    places = hits.groupBy("doc_id", "size").agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_set("pos")).alias("places"), F.collect_set(start).alias("laid"))
+    # with fewer shared places than this in a window, sum(min) / sum(max) stays below the similarity
+    need = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.least("n", "size") + F.col("size")) - 1e-9).cast("int")
+    dense = places.withColumn("need", need).where(F.size("places") >= F.col("need"))
+    # the starts of windows whose first shared place is the i-th, as far as they reach the last one needed
+    low, high = "greatest(0, places[i + need - 1] - size + 1, IF(i > 0, places[i - 1] + 1, 0))", "least(places[i], greatest(0, n - size))"
+    starts = F.expr(f"flatten(transform(sequence(0, size(places) - need), i -> IF({low} <= {high}, sequence({low}, {high}), CAST(array() AS ARRAY<INT>))))")
+    spans = dense.select("doc_id", "size", "laid", starts.alias("starts"))
+    one = F.transform("starts", lambda s: F.struct(s.alias("start"), F.col("size"), F.array_contains("laid", s).alias("laid")))
+    laid = spans.where(F.size("starts") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list(one)).alias("windows"))
     # texts are read once more for the few documents with a window
     held = cut(with_shingles(named.join(laid, "doc_id"), "doc_sh").drop("n"), "windows")
     windows = held.select("doc_id", "doc_sh", F.explode("windows").alias("w")).select(
-        "doc_id", "w.start", "w.size", F.slice("doc_sh", F.col("w.start") + 1, F.col("w.size")).alias("sh")).where(F.size("sh") > 0)
-    asked = with_prints(windows).select("doc_id", "start", "size", F.explode_outer(block_keys(F.col("print"))).alias("b"), "print", "set")
+        "doc_id", "w.start", "w.size", "w.laid", F.slice("doc_sh", F.col("w.start") + 1, F.col("w.size")).alias("sh")).where(F.size("sh") > 0)
+    asked = with_prints(windows).select("doc_id", "start", "size", "laid", F.explode_outer(block_keys(F.col("print"))).alias("b"), "print", "set")
     known = with_prints(items).select("item_id", "size", F.explode_outer(block_keys(F.col("print"))).alias("b"), F.col("print").alias("item_print"), F.col("set").alias("item_set"))
     met = join_small(asked, known, ["size", "b"], (n_items * 64 + n_shingles * 8) * 32, 1)
     apart = F.bit_count(F.col("print")[0].bitwiseXOR(F.col("item_print")[0])) + F.bit_count(F.col("print")[1].bitwiseXOR(F.col("item_print")[1]))
@@ -97,7 +107,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = F.size(F.array_intersect("set", "item_set"))
     similarity = same / (F.size("set") + F.size("item_set") - same)
     found = near.withColumn("similarity", similarity).where(F.col("similarity") >= SIMILARITY)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "hamming")).alias("best"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "laid", (-F.col("start")).alias("back"), "hamming")).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.back")).cast("int").alias("start"), F.col("best.hamming").cast("int").alias("hamming"), "best.similarity")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -240,6 +241,34 @@ def test_odd_rows_and_empty_tables(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
 
 
+def test_decontaminate_looks_at_every_window(spark):
+    r = random.Random(10)
+    said = lambda k: ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(k)]
+    bags = lambda w: Counter(tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1)))
+    items, docs = [], []
+    for n, edge, inside in [(104, 3, 5), (59, 1, 2), (104, 3, 3), (104, 0, 0), (80, 2, 3), (40, 5, 9)]:
+        item = said(n)
+        middle = r.randint(20, n - 20)
+        body = said(edge) + item[edge:middle] + said(inside) + item[middle:n - edge] + said(edge)
+        items.append((len(items), item))
+        docs += [(len(docs), said(50) + body + said(50)), (len(docs) + 1, body)]
+    want = {}
+    for d, words in docs:
+        for i, item in items:
+            own, best = bags(item), (0.0, 0)
+            size = sum(own.values())
+            n = len(words) - 4
+            for start in range(max(n - size, 0) + 1):
+                window = bags(words[start:start + size + 4])
+                same = sum((window & own).values())
+                best = max(best, (same / (sum(window.values()) + size - same), -start))
+            if best[0] >= 0.8:
+                want[d, i] = best[0]
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontaminate.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == want and {(0, 0), (2, 1), (6, 3)} <= set(want)
+
+
 def test_pipeline_stages(spark, sf_dir):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
