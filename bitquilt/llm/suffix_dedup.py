@@ -55,7 +55,7 @@ class Entries:
         key = rolling.of(self.at, self.at + gram)
         around = rolling.of(self.lo, self.hi) ^ mix(((self.at - self.lo) * 1000 + (self.hi - self.at)).astype(np.uint64))
         fragment = ((key >> np.uint64(40)) % np.uint64(fragments)).astype(np.int64)
-        small, rest = key & LOW40, mix(around) & LOW40
+        small, rest = key & LOW40, mix(around)  # all 64 bits: equal grams have nothing else to tell them apart
         order = np.lexsort((rest, small, fragment, row))
         sorted_ = [x[order] for x in (row, fragment, small, rest)]
         first = np.ones(len(order), bool)
@@ -87,7 +87,7 @@ def pack(docs: DataFrame, fragments: int, length: int, gram: int) -> DataFrame:
                 for f in np.unique(e.fragment[~covered]).tolist():
                     take = ~covered & (e.fragment == f)
                     present, counts = np.unique(e.row[take], return_counts=True)
-                    yield _packed(serial, f, ids[a:b][present].tobytes(), np.stack([present, counts]).astype(np.int32).tobytes(), narrow(e.key[take]), narrow(e.rest[take]))
+                    yield _packed(serial, f, ids[a:b][present].tobytes(), np.stack([present, counts]).astype(np.int32).tobytes(), narrow(e.key[take]), e.rest[take].astype("<u8").tobytes())
                 serial += 1
 
     return docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "text_hash", "text").mapInArrow(run, PACKED)
@@ -111,7 +111,7 @@ def decide(table: pa.Table) -> pa.Table:
         # several fragments may share a task group: the fragment is part of the gram
         sizes = [int(c.sum()) for c in counts]
         key = np.concatenate([widen(x) for x in get("keys")]) | np.repeat(fragment[mine].astype(np.uint64) << np.uint64(40), sizes)
-        around = np.concatenate([widen(x) for x in get("rest")])
+        around = np.concatenate([np.frombuffer(x, "<u8") for x in get("rest")])
         state = states(doc, key, around)
         at = 0
         for i, n in zip(mine.tolist(), sizes, strict=True):

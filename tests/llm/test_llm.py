@@ -7,6 +7,7 @@ import textwrap
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from check import compare
 from pyspark.sql import functions as F
@@ -60,6 +61,17 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_surroundings_are_told_apart_by_64_bits():
+    data = np.random.default_rng(3).integers(97, 123, 4000).astype(np.uint8)
+    e = suffix_dedup.Entries(data, np.array([0, 2000, 4000]), 4, suffix_dedup.LENGTH, suffix_dedup.GRAM)
+    assert (e.rest >> np.uint64(56)).any()
+    key, ids = np.array([77], np.uint64), [np.array([i], np.int64).tobytes() for i in (1, 2, 3)]
+    rest = [np.array([x], "<u8").tobytes() for x in (5, 5 + (1 << 45), 5)]
+    rows = [suffix_dedup._packed(i, 0, ids[i], np.array([[0], [1]], np.int32).tobytes(), suffix_dedup.narrow(key), rest[i]) for i in range(3)]
+    found = suffix_dedup.decide(pa.Table.from_batches(rows))["rest"].to_pylist()
+    assert [x[0] for x in found] == [suffix_dedup.SOURCE, suffix_dedup.OPEN, suffix_dedup.COVERED]
+
+
 def test_jaccard_join_equals_brute_force(spark):
     rows = texts(2, 250)
     sets = []
