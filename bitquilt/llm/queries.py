@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontaminate, jaccard_join, language_id, license_scan, mixing, suffix_dedup, token_counts, topk, url_filter
+from ..session import new_table_path
+from . import chat_tree, decontaminate, jaccard_join, language_id, license_scan, mixing, suffix_dedup, token_counts, token_ids, topk, url_filter
 from .common import hex_number
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -160,3 +161,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
+#: The id that closes each document of op11.
+END_ID = 2
+
+
+@query("op11_token_ids")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "token_ids")
+    token_ids.write_token_ids(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), path, END_ID)
+    return token_ids.read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
