@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_table_path
-from . import chat_tree, decontaminate, jaccard_join, language_id, license_scan, mixing, suffix_dedup, token_counts, token_ids, topk, url_filter
+from . import chat_tree, collocations, decontaminate, jaccard_join, language_id, license_scan, mixing, suffix_dedup, token_counts, token_ids, topk, url_filter
 from .common import hex_number
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -172,3 +172,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "token_ids")
     token_ids.write_token_ids(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), path, END_ID)
     return token_ids.read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op13_collocations", collocations.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
