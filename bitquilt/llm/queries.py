@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_table_path
-from . import chat_tree, collocations, decontaminate, jaccard_join, language_id, license_scan, mixing, suffix_dedup, token_counts, token_ids, topk, url_filter
+from . import chat_tree, collocations, decontaminate, jaccard_join, language_id, license_scan, mixing, spelling, suffix_dedup, token_counts, token_ids, topk, url_filter
 from .common import hex_number
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -177,3 +177,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_collocations", collocations.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling_variants", spelling.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.altered_runs(read(spark, sf_dir, "documents"), shortest=spelling.LEAST_LENGTH)
+    return spelling.spelling_variants(runs)
