@@ -25,17 +25,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .text import byte_rows, spans_of
+from .text import LOWER, byte_rows, mix, packed_rows, powers, seeds, spans_of
 
 MAGIC = b"BQIDS001"
 #: Id bytes coded at once; bounds memory, never cuts a document.
 BLOCK_BYTES = 4 << 20
 #: Words whose ids a task keeps (and eight ids for each); beyond it they are asked of the library anew, which costs time only.
-KNOWN_WORDS = 500_000
-#: Longer words are not kept.
-LONGEST_KEPT = 64
-#: Marks that are tokens apart from a letter or digit before them.
-MARKS = b".,;:!?"
+KNOWN_WORDS = 1_000_000
+#: Kinds of bytes: white space, marks that are pieces apart from letters and digits next to them, ASCII letters and digits, others.
+KIND = np.full(256, 3, np.uint8)
+MARK, ALNUM = 1, 2
+KIND[list(b" \t\n\r\x0b\x0c")] = 0
+KIND[list(b".,;:!?")] = MARK
+KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = ALNUM
+#: Tables of the two hashes of a word.
+SALT_1, SALT_2, POWER_2 = seeds(256, 21) | np.uint64(1), seeds(256, 22) | np.uint64(1), 0x9FB21C651E98DF25
 
 #: Code lengths of the four ranks under each control byte, and the bits that a code of each length keeps.
 LENGTHS = (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3) + 1
@@ -63,12 +67,70 @@ def unpack_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return np.ndarray(len(data), "<u4", padded, strides=(1,))[starts] & MASKS[sizes]
 
 
+class WordTable:
+    """Numbers of words by two 64-bit hashes, in an open-addressed table that is probed for many words at once."""
+
+    def __init__(self, bits: int) -> None:
+        self.mask = np.uint64((1 << bits) - 1)
+        self.first, self.second = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.number = np.full(1 << bits, -1, np.int32)
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Number of each word, or -1."""
+        out = np.full(len(first), -1, np.int64)
+        open_, place = np.arange(len(first)), first & self.mask
+        while len(open_):
+            number = self.number[place]
+            hit = (number >= 0) & (self.first[place] == first[open_]) & (self.second[place] == second[open_])
+            out[open_[hit]] = number[hit]
+            on = ~hit & (number >= 0)
+            open_, place = open_[on], (place[on] + np.uint64(1)) & self.mask
+        return out
+
+    def add(self, first: np.ndarray, second: np.ndarray, start: int) -> None:
+        """Distinct new words, numbered from `start`; the table has to have room."""
+        open_, place = np.arange(len(first)), first & self.mask
+        while len(open_):
+            free = self.number[place] < 0
+            self.number[place[free]] = open_[free] + start  # of several claims one stays
+            won = self.number[place] == open_ + start
+            self.first[place[won]], self.second[place[won]] = first[open_[won]], second[open_[won]]
+            open_, place = open_[~won], (place[~won] + np.uint64(1)) & self.mask
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of rows that stand end to end, their two hashes (A-Z as a-z), and the words' offsets by row.
+
+    Words end at white space, and where marks and ASCII letters or digits meet.
+    """
+    kind = KIND[data]
+    inside = kind > 0
+    first = inside.copy()
+    first[1:] &= (kind[:-1] == 0) | ((kind[1:] ^ kind[:-1]) == ALNUM ^ MARK)
+    edges = offsets[:-1][offsets[:-1] < len(data)]
+    first[edges] = inside[edges]
+    starts = np.flatnonzero(first)
+    where = np.flatnonzero(inside)
+    if not len(starts):
+        none = np.empty(0, np.uint64)
+        return starts, starts, none, none, np.zeros(len(offsets), np.int64)
+    heads = np.flatnonzero(first[where])
+    sizes = np.diff(np.concatenate([heads, [len(where)]]))
+    within = np.arange(len(where)) - np.repeat(heads, sizes)
+    letters, longest = LOWER[data[where]], int(sizes.max())
+    with np.errstate(over="ignore"):
+        one = mix(np.add.reduceat(SALT_1[letters] * powers(longest)[within], heads))
+        two = mix(np.add.reduceat(SALT_2[letters] * powers(longest, POWER_2)[within], heads) + sizes.astype(np.uint64))
+    return starts, starts + sizes, one, two, np.searchsorted(starts, offsets)
+
+
 class WordIds:
     """Ids of whole texts, put together from the library's ids of their words.
 
-    The vocabulary's normalizer and pre-tokenizer drop white space and join nothing across it, and no special string
-    holds any; so the ids of a text are those of its words, one after the other. A word in ASCII has the ids of its lower
-    case, unless it may hold a special string; marks behind a letter or digit are tokens of their own.
+    The vocabulary's normalizer and pre-tokenizer drop white space and join nothing across it, letters or digits and the
+    marks next to them are pieces of their own, and no special string holds either; so the ids of a text are those of
+    its words, one after the other, and upper case makes no difference. Texts with a special string's first characters, or
+    with combining marks, which may join with the letter before them, take the library's whole way.
     """
 
     def __init__(self, path: str) -> None:
@@ -76,71 +138,78 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.forget()
 
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.long: list[bytes] = []
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 16, np.int64)
+    def forget(self, room: int = 0) -> None:
+        self.table = WordTable(max(KNOWN_WORDS, room).bit_length() + 1)
+        self.ids = np.empty(1 << 20, np.uint32)
+        #: ends[i], ends[i + 1]: where the ids of word i are
+        self.ends = np.zeros(1 << 18, np.int64)
         self.n = 0
 
-    def add(self, word: bytes, ids: np.ndarray) -> None:
-        start = self.ends[self.n - 1] if self.n else 0
-        end = start + len(ids)
-        while end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        if self.n == len(self.ends):
+    def ids_of(self, words: list[bytes]) -> list[list[int]]:
+        """A word of ASCII letters is one piece, which goes to the model at once; others take the library's whole way."""
+        plain = [w.isalpha() and w.isascii() for w in words]
+        rest = [w.decode("utf-8", "replace") for w, p in zip(words, plain, strict=True) if not p]
+        others = iter(self.library.encode_batch_fast(rest, add_special_tokens=False))
+        tokenize = self.model.tokenize
+        return [[t.id for t in tokenize(w.decode())] if p else next(others).ids for w, p in zip(words, plain, strict=True)]
+
+    def learn(self, words: list[bytes], first: np.ndarray, second: np.ndarray) -> None:
+        found = self.ids_of(words)
+        flat = [i for ids in found for i in ids]
+        start = int(self.ends[self.n])
+        while self.n + len(found) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[start:end] = ids
-        self.ends[self.n] = end
-        self.known[word] = self.n
-        self.n += 1
-
-    def of(self, word: bytes) -> np.ndarray:
-        i = self.known[word]
-        return self.ids[self.ends[i - 1] if i else 0:self.ends[i]]
-
-    def learn(self, words: set[bytes]) -> None:
-        parts = {}
-        for word in words:
-            base = word.lower() if word.isascii() and b"<|" not in word else word
-            stem = base.rstrip(MARKS)
-            parts[word] = (stem, base[len(stem):]) if stem[-1:].isalnum() else (base, b"")
-        asked = [p for p in {p for pair in parts.values() for p in pair} if p not in self.known]
-        found = self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in asked], add_special_tokens=False)
-        for part, encoding in zip(asked, found, strict=True):
-            self.add(part, np.array(encoding.ids, np.uint32))
-        for word, (stem, marks) in parts.items():
-            if word not in self.known:
-                self.add(word, np.concatenate([self.of(stem), self.of(marks)]))
-        self.long += [w for w in {*parts, *asked} if len(w) > LONGEST_KEPT]
-
-    def encode(self, texts: list[bytes], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and their number per text; `end_id` closes each."""
-        words, counts = [], []
-        for text in texts:
-            own = text.split()
-            words += own
-            counts.append(len(own))
-        if max(self.n, int(self.ends[max(self.n - 1, 0)]) >> 3) > KNOWN_WORDS:
-            self.forget()
-        places = list(map(self.known.get, words))
-        if None in places:
-            self.learn({w for w, i in zip(words, places, strict=True) if i is None})
-            places = list(map(self.known.__getitem__, words))
-        at = np.array(places, np.int64)
-        ends = self.ends[at]
-        sizes = ends - np.where(at > 0, self.ends[at - 1], 0)
+        while start + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[start:start + len(flat)] = flat
+        self.ends[self.n + 1:self.n + 1 + len(found)] = start + np.cumsum([len(ids) for ids in found])
+        self.table.add(first, second, self.n)
+        self.n += len(found)
+
+    def whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.library.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, one after the other, and their number per row; `end_id` closes each."""
+        odd = (data == 0xCC) | (data == 0xCD)
+        odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        apart = np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1)
+        if len(apart):
+            return self.encode_apart(data, offsets, end_id, set(apart.tolist()))
+        starts, ends, first, second, rows = split_words(data, offsets)
+        at = self.table.find(first, second)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            new = new[np.unique(first[new], return_index=True)[1]]
+            if max(self.n + len(new), int(self.ends[self.n]) >> 3) > KNOWN_WORDS:
+                self.forget(len(first))
+                new = np.unique(first, return_index=True)[1]
+            self.learn([data[x:y].tobytes().lower() for x, y in zip(starts[new], ends[new], strict=True)], first[new], second[new])
+            at = self.table.find(first, second)
+        sizes = self.ends[at + 1] - self.ends[at]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.ids[np.arange(total[-1]) + np.repeat(ends - total[1:], sizes)]
-        bounds = total[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
-        while self.long:
-            self.known.pop(self.long.pop(), None)
+        flat = self.ids[np.arange(total[-1]) + np.repeat(self.ends[at] - total[:-1], sizes)]
+        bounds = total[rows]
         if end_id is None:
             return flat, np.diff(bounds)
         return np.insert(flat, bounds[1:], np.uint32(end_id)), np.diff(bounds) + 1
 
+    def encode_apart(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None, apart: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts, close = [], [], np.array([] if end_id is None else [end_id], np.uint32)
+        for i in range(len(offsets) - 1):
+            own = data[offsets[i]:offsets[i + 1]]
+            if i in apart:
+                ids += [self.whole(own.tobytes()), close]
+                counts.append(len(ids[-2]) + len(close))
+            else:
+                found, size = self.encode(own, np.array([0, len(own)]), end_id)
+                ids.append(found)
+                counts.append(int(size[0]))
+        return np.concatenate(ids), np.array(counts, np.int64)
+
 
 _encoders: dict[str, WordIds] = {}
 
@@ -166,10 +235,8 @@ def encode_documents(docs: DataFrame, path: str, end_id: int | None, id_col: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         for batch in batches:
-            data, starts, ends = byte_rows(batch.column(1))
-            for a, b in spans_of(ends - starts):
-                texts = [data[x:y].tobytes() for x, y in zip(starts[a:b], ends[a:b], strict=True)]
-                ids, counts = encoder.encode(texts, end_id)
+            for a, b, data, rows in packed_rows(batch.column(1)):
+                ids, counts = encoder.encode(data, rows, end_id)
                 offsets = np.concatenate([[0], np.cumsum(counts) * 4])
                 column = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column.cast(pa.binary())], names=["doc_id", "ids"])
