@@ -30,8 +30,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 1 << 18
 #: Hash buckets of a level: bounds the counters of a task (32 MB), not the phrases.
 BUCKETS = 1 << 22
-#: Ids in one stored row.
-ROW_IDS = 1 << 18
 #: Candidates that a task holds before it hands them on.
 HELD = 1 << 20
 
@@ -65,14 +63,17 @@ class Ids(dict):
         return -1
 
 
-def fill_ids(rows: DataFrame, dictionary) -> DataFrame:
-    """lang, text, ids (32-bit): the ids found so far, and those of the words in the broadcast (lang, word, id) columns."""
+def fill_ids(rows: DataFrame, dictionary, last: bool) -> DataFrame:
+    """The ids (32-bit) found so far and those of the words in the broadcast (lang, word, id) columns: by row, with lang and text.
+
+    The last dictionary leaves the ids alone: texts end to end with a -1 between them, a row for about CHUNK_BYTES of text or one text.
+    """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Ids] = {}
         for lang, word, i in zip(*dictionary.value, strict=True):
             known.setdefault(lang, Ids())[word.encode()] = i
-        empty = Ids()
+        empty, gap = Ids(), np.array([-1], np.int32).tobytes()
         for batch in batches:
             data, starts, ends = byte_rows(batch.column(1))
             langs, before = batch.column(0).to_pylist(), byte_rows(batch.column(2))
@@ -83,23 +84,12 @@ def fill_ids(rows: DataFrame, dictionary) -> DataFrame:
                     if before[2][row] > before[1][row]:
                         ids = np.maximum(ids, before[0][before[1][row]:before[2][row]].view(np.int32))
                     out.append(ids.tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out, pa.binary())], names=["lang", "text", "ids"])
-
-    return rows.mapInArrow(fill, "lang string, text string, ids binary")
-
+                if last:
+                    yield pa.RecordBatch.from_arrays([pa.array([gap.join(out)], pa.binary())], names=["ids"])
+                else:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out, pa.binary())], names=["lang", "text", "ids"])
 
-def join_rows(rows: DataFrame) -> DataFrame:
-    """ids: the rows of a task end to end with a -1 between them, in rows of about ROW_IDS or one text."""
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gap = np.array([-1], np.int32).tobytes()
-        for batch in batches:
-            data, starts, ends = byte_rows(batch.column(0))
-            for a, b in spans_of(ends - starts + 4, 4 * ROW_IDS):
-                packed = gap.join([data[x:y].tobytes() for x, y in zip(starts[a:b], ends[a:b], strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["ids"])
-
-    return rows.select("ids").mapInArrow(join, "ids binary")
+    return rows.mapInArrow(fill, "ids binary" if last else "lang string, text string, ids binary")
 
 
 def encode_texts(docs: DataFrame, words: DataFrame, n_words: int, block: int = BLOCK) -> DataFrame:
@@ -110,8 +100,7 @@ def encode_texts(docs: DataFrame, words: DataFrame, n_words: int, block: int = B
     for start in starts:
         part = words.where((F.col("id") >= start) & (F.col("id") < start + block)).select("lang", "word", "id").toArrow()
         dictionary = context.broadcast(tuple(part.column(i).to_pylist() for i in range(3)))
-        filled = fill_ids(rows, dictionary)
-        rows = cut(join_rows(filled) if start == starts[-1] else filled, "word_ids")
+        rows = cut(fill_ids(rows, dictionary, start == starts[-1]), "word_ids")
         dictionary.unpersist()
         if last is not None:
             discard(last)
@@ -162,14 +151,19 @@ def bucket_counts(encoded: DataFrame, trie, alone: bool, part: int) -> DataFrame
     """bucket, n: how often the safe phrases of one more word occur, by hash bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total, held = np.zeros(BUCKETS, np.int64), []
         for ids in id_rows(batches):
-            total += np.bincount(bucket_of(safe_keys(trie and trie.value, ids, alone)[1], part), minlength=BUCKETS)
+            held.append(bucket_of(safe_keys(trie and trie.value, ids, alone)[1], part).astype(np.int32))
+            if sum(map(len, held)) > BUCKETS // 2:
+                total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                held.clear()
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
         at = np.flatnonzero(total)
         for i in range(0, len(at), HELD):
             yield pa.RecordBatch.from_arrays([pa.array(at[i:i + HELD], pa.int32()), pa.array(total[at[i:i + HELD]])], names=["bucket", "n"])
 
-    return encoded.mapInArrow(count, "bucket int, n bigint")
+    return encoded.mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def safe_phrases(encoded: DataFrame, trie, alone: bool, part: int, frequent) -> DataFrame:
@@ -221,7 +215,8 @@ def next_level(encoded: DataFrame, shorter: DataFrame | None, n_shorter: int, n_
     alone = n_shorter <= block
     tries = [None] if shorter is None else [context.broadcast(DoubleArray(w, n_words)) for w in blocks_of(shorter, n_shorter, block)]
     # one job per trie, so that a task holds one at a time
-    counted = [cut(bucket_counts(encoded, trie, alone, part), "buckets") for part, trie in enumerate(tries)]
+    counted = [bucket_counts(encoded, trie, alone, part) for part, trie in enumerate(tries)]
+    counted = counted if len(tries) == 1 else [cut(c, "buckets") for c in counted]
     total = counted[0]
     for other in counted[1:]:
         total = total.unionAll(other)

@@ -15,6 +15,7 @@ A folder written by `write_token_ids` holds
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from .text import LOWER, byte_rows, mix, packed_rows, powers, seeds, spans_of
+from .token_counts import byte_alphabet
 
 MAGIC = b"BQIDS001"
 #: Id bytes coded at once; bounds memory, never cuts a document.
@@ -38,6 +40,9 @@ MARK, ALNUM = 1, 2
 KIND[list(b" \t\n\r\x0b\x0c")] = 0
 KIND[list(b".,;:!?")] = MARK
 KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = ALNUM
+#: Words of letters that no normalizer changes but for their case, and the visible characters that stand for their bytes.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+BYTES = {c: "".join(byte_alphabet()[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 #: Tables of the two hashes of a word.
 SALT_1, SALT_2, POWER_2 = seeds(256, 21) | np.uint64(1), seeds(256, 22) | np.uint64(1), 0x9FB21C651E98DF25
 
@@ -149,12 +154,12 @@ class WordIds:
         self.n = 0
 
     def ids_of(self, words: list[bytes]) -> list[list[int]]:
-        """A word of ASCII letters is one piece, which goes to the model at once; others take the library's whole way."""
-        plain = [w.isalpha() and w.isascii() for w in words]
-        rest = [w.decode("utf-8", "replace") for w, p in zip(words, plain, strict=True) if not p]
-        others = iter(self.library.encode_batch_fast(rest, add_special_tokens=False))
+        """A word of ASCII and composed Latin letters is one piece, which goes to the model at once; others take the library's whole way."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [LETTERS(t) is not None for t in texts]
+        others = iter(self.library.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
         tokenize = self.model.tokenize
-        return [[t.id for t in tokenize(w.decode())] if p else next(others).ids for w, p in zip(words, plain, strict=True)]
+        return [[x.id for x in tokenize(t.lower().translate(BYTES))] if p else next(others).ids for t, p in zip(texts, plain, strict=True)]
 
     def learn(self, words: list[bytes], first: np.ndarray, second: np.ndarray) -> None:
         found = self.ids_of(words)
