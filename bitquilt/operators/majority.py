@@ -12,9 +12,11 @@ from ..functions.constants import bind, const_array
 from ..functions.words import pack_array
 from ..names import MAJORITY_THRESHOLDS
 
-# One BIGINT holds four 16-bit counters. Lane set j counts bits j, j+8, j+16, j+24.
-LANE_SETS = 8
-MAX_LANE_COUNT = 32767
+# A BIGINT holds four 16-bit counters (lane set j of 8 counts bits j, j+16, j+8, j+24) or two of 32 bits (set j of 16: j, j+16).
+NARROW, WIDE = 8, 16
+SLOTS = {NARROW: {0: 0, 16: 16, 32: 8, 48: 24}, WIDE: {0: 0, 32: 16}}
+#: Words that the counters of each kind hold.
+HOLDS = {NARROW: (1 << 15) - 1, WIDE: (1 << 31) - 1}
 
 
 def threshold(n: int, mode: str | int = "half") -> int:
@@ -26,47 +28,58 @@ def threshold(n: int, mode: str | int = "half") -> int:
     return n // 2
 
 
-def _lanes(word: Column, j: int) -> Column:
+def threshold_of(n: Column) -> Column:
+    """The tuned table for a group size that is only known as a column."""
+    tuned = F.lit(None).cast("bigint")
+    for size, count in MAJORITY_THRESHOLDS.items():
+        tuned = F.when(n == size, F.lit(count).cast("bigint")).otherwise(tuned)
+    return F.coalesce(tuned, F.floor(n * 135 / 256))
+
+
+def _lanes(word: Column, j: int, sets: int) -> Column:
+    if sets == WIDE:
+        picked = F.shiftright(word, j).bitwiseAND(F.lit(0x00010001))
+        return picked.bitwiseAND(F.lit(1)).bitwiseOR(F.shiftleft(F.shiftright(picked, 16), 32))
     picked = F.shiftright(word, j).bitwiseAND(F.lit(0x01010101))
     even, odd = picked.bitwiseAND(F.lit(0x00FF00FF)), F.shiftright(picked, 8).bitwiseAND(F.lit(0x00FF00FF))
     return even.bitwiseOR(F.shiftleft(odd, 32))
 
 
-def lane_counts(word: Column) -> list[Column]:
-    """Eight sums that together count all 32 bits of the grouped words."""
-    return [F.sum(_lanes(word, j)).alias(f"_l{j}") for j in range(LANE_SETS)]
+def lane_counts(word: Column, sets: int) -> list[Column]:
+    """A few sums that together count all 32 bits of the grouped words."""
+    return [F.sum(_lanes(word, j, sets)).alias(f"_l{j}") for j in range(sets)]
 
 
-def word_from_lanes(half: Column | int) -> Column:
-    # 16-bit slots of a lane set, low to high: bits j, j+16, j+8, j+24
-    place = {0: 0, 16: 16, 32: 8, 48: 24}
-    bits = []
-    for j in range(LANE_SETS):
-        for shift, offset in place.items():
-            count = F.shiftright(F.col(f"_l{j}"), shift).bitwiseAND(F.lit(0xFFFF))
+def word_from_lanes(half: Column | int, sets: int) -> Column:
+    bits, full = [], F.lit((1 << (64 // len(SLOTS[sets]))) - 1)
+    for j in range(sets):
+        for shift, offset in SLOTS[sets].items():
+            count = F.shiftrightunsigned(F.col(f"_l{j}"), shift).bitwiseAND(full)
             bits.append(F.when(count > half, F.lit(1 << (j + offset)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     return reduce(lambda a, b: a + b, bits)
 
 
-def majority_exact(rows: DataFrame, keys: list[str], word: str, half: Column | int, out: str = "w") -> DataFrame:
+def majority_exact(rows: DataFrame, keys: list[str], word: str, half: Column | int, out: str = "w", most: int | None = None) -> DataFrame:
     """Bit on if more than `half` of the group's words have it on.
 
-    Eight partial sums per group replace a row per bit, so the map side
-    combines and the shuffle carries one row per group.
+    `half` may use `_n`, the group's number of words. Sixteen partial sums per group replace a row per bit, so the map side
+    combines and the shuffle carries one row per group; eight do where a group is known to have at most `most` words and that is small.
+    A group may have 2^31 - 1 words; beyond that the sum of a lane leaves BIGINT, which Spark reports.
     """
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *lane_counts(F.col(word)))
-    too_many = F.raise_error(F.lit(f"more than {MAX_LANE_COUNT} words in one majority group")).cast("bigint")
-    checked = F.when(F.col("_n") > MAX_LANE_COUNT, too_many).otherwise(word_from_lanes(half))
-    return counted.select(*keys, checked.alias(out))
+    if most is not None and most <= HOLDS[NARROW]:
+        counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *lane_counts(F.col(word), NARROW))
+        return counted.select(*keys, word_from_lanes(half, NARROW).alias(out))
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *lane_counts(F.col(word), WIDE))
+    return counted.select(*keys, word_from_lanes(half, WIDE).alias(out))
 
 
 def majority_rowwise(rows: DataFrame, keys: list[str], word: str, pos: str, n: int, per_row: int, half: int) -> DataFrame:
     """Majority inside each grid row, then over the rows, same threshold."""
     n_rows = n // per_row if per_row >= 1 else 0
     if n_rows < 2 or n_rows * per_row != n:
-        return majority_exact(rows, keys, word, half)
+        return majority_exact(rows, keys, word, half, most=n)
     placed = rows.withColumn("_row", F.floor(F.col(pos) / per_row).cast("int"))
-    return majority_exact(majority_exact(placed, [*keys, "_row"], word, half), keys, "w", half)
+    return majority_exact(majority_exact(placed, [*keys, "_row"], word, half, most=per_row), keys, "w", half, most=n_rows)
 
 
 def _field_bits(word: Column, width: int) -> list[Column]:
@@ -98,7 +111,7 @@ def majority_pixel_rowwise(
 ) -> DataFrame:
     placed = rows.withColumnRenamed(group, "g").withColumn("_row", F.floor(F.col(pos) / per_row).cast("int"))
     per_line = majority_fields(placed, [*keys, "g", "_row"], word, width, per_row * (32 // width) // 2)
-    across = majority_exact(per_line, [*keys, "g"], "w", (n // per_row) // 2)
+    across = majority_exact(per_line, [*keys, "g"], "w", (n // per_row) // 2, most=n // per_row)
     return _join_groups(across, keys, width)
 
 
@@ -124,7 +137,7 @@ def tree_level(n: int, base: int) -> list[int]:
     if base == 3 and n % 3 in (1, 2) and n > 3 + n % 3:
         tail = 3 + n % 3
     elif base == 7 and n % 7 == 1 and n > 7:
-        return [7] * (n // 7)  # the last value is left out
+        return [7] * (n // 7)  # the last value is left out, which is this tree's rule
     else:
         tail = n % base
     return [base] * ((n - tail) // base) + ([tail] if tail else [])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import bind, const_array
 from ..functions.words import explode_words, split_groups, with_random_word, xnor
-from ..session import join_side
+from ..session import fits_broadcast, join_side
+from .by_member import Kernel, bit_matrix, by_member, in_chunks, schema_of, word_matrix
 from .majority import majority_exact
 
 
@@ -57,9 +60,45 @@ def _placed_words(features: DataFrame) -> DataFrame:
 
 
 def project(features: DataFrame, w0: DataFrame, n_cells: int, half: int) -> DataFrame:
-    """Hidden words: majority over c of the matches, as (member_id, sample_id, h, w)."""
+    """Hidden words: majority over c of the matches, as (member_id, sample_id, h, w).
+
+    Random words that do not fit a broadcast meet packed rows in pieces of a member (`by_member`).
+    """
+    if not fits_broadcast(features.sparkSession, n_cells, 32):
+        given = features.select("member_id", "sample_id", "words").where(F.size("words") > 0)
+        return by_member(given, w0.select("member_id", "h", "c", "w"), project_kernel(half), schema_of(given, ["member_id", "sample_id"], "h int, w bigint"))
     matches = match_words(_placed_words(features), w0, n_cells)
-    return majority_exact(matches, ["member_id", "sample_id", "h"], "w", half)
+    return majority_exact(matches, ["member_id", "sample_id", "h"], "w", half, most=n_cells)
+
+
+def project_kernel(half: int) -> Kernel:
+    def project_piece(rows: pa.Table, cells: pa.Table) -> pa.Table:
+        words, sizes = word_matrix(rows.column("words"))
+        h, c, w = (np.asarray(cells.column(x).combine_chunks(), np.int64) for x in ("h", "c", "w"))
+        units, parts = np.unique(h), []
+        for unit in units:
+            at, random = c[h == unit], w[h == unit].astype("<u4")
+            at, random = at[at < words.shape[1]], random[at < words.shape[1]]
+
+            def majority(part: np.ndarray, at: np.ndarray = at, random: np.ndarray = random) -> np.ndarray:
+                x, inside = part[:, :-1][:, at], at < part[:, -1:]
+                same = np.where(inside, ~(x ^ random), 0).astype("<u4")
+                counts = np.zeros((len(x), 32), np.int64)
+                for i in range(len(at)):
+                    counts += bit_matrix(same[:, i:i + 1])
+                on = np.packbits(counts > half, axis=1, bitorder="little")
+                return np.ascontiguousarray(on).view("<u4").astype(np.int64)
+
+            parts.append(in_chunks(np.concatenate([words, sizes[:, None]], axis=1), majority, 1)[:, 0])
+        n = rows.num_rows
+        take = np.repeat(np.arange(n), len(units))
+        hidden = np.stack(parts, axis=1).reshape(-1) if parts else np.empty(0, np.int64)
+        return pa.table({
+            "member_id": rows.column("member_id").take(take), "sample_id": rows.column("sample_id").take(take),
+            "h": pa.array(np.tile(units, n), pa.int32()), "w": hidden,
+        })
+
+    return project_piece
 
 
 def project_inline(features: DataFrame, h: int, nc: int, seed: Column, half: int) -> DataFrame:
@@ -71,7 +110,7 @@ def project_inline(features: DataFrame, h: int, nc: int, seed: Column, half: int
     cells = _placed_words(features).withColumnRenamed("w", "_x").withColumn("h", F.explode(const_array(range(h))))
     drawn = with_random_word(cells, seed, F.col("h") * nc + F.col("c"), "_w0")
     matches = drawn.withColumn("w", xnor(F.col("_x"), F.col("_w0")))
-    return majority_exact(matches, ["member_id", "sample_id", "h"], "w", half)
+    return majority_exact(matches, ["member_id", "sample_id", "h"], "w", half, most=nc)
 
 
 def match_arrays(features: DataFrame, w0: DataFrame, n_cells: int) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.words import explode_words, popcount_similarity
-from ..session import join_side
+from ..session import fits_broadcast
+from .by_member import Kernel, bit_matrix, bit_product, by_member, fitted, in_chunks, schema_of, word_matrix
 from .learn import CLASSES, bits
 from .rank import global_rank
 from .score import (
@@ -136,13 +139,43 @@ def prototypes(features: DataFrame, percent: int, classes: list[int] = CLASSES)
 
 
 def prototype_scores(features: DataFrame, protos: DataFrame, classes: list[int] = CLASSES) -> DataFrame:
-    """Equal bits between a sample's words and each class prototype, wide by class."""
+    """Equal bits between a sample's words and each class prototype, wide by class; a missing prototype word is 0.
+
+    Prototypes that do not fit a broadcast meet packed rows in pieces of a member (`by_member`).
+    """
+    given = features.select("member_id", "sample_id", "split", "label", "words")
+    keys, names = ["member_id", "sample_id", "split", "label"], class_columns(classes)
+    p_rows = protos.count() // len(classes)
+    if not fits_broadcast(features.sparkSession, p_rows, 8 * (len(classes) + 3)):
+        schema = schema_of(given, keys, ", ".join(f"{n} bigint" for n in names))
+        return by_member(given.where(F.size("words") > 0), protos, prototype_kernel(keys, classes), schema)
     p = wide(protos, ["member_id", "h"], "w", "p", classes)
-    rows = explode_words(features.select("member_id", "sample_id", "split", "label", "words"))
     sims = [F.sum(popcount_similarity(F.col("w"), F.coalesce(F.col(f"p{k}"), F.lit(0).cast("bigint"))).cast("bigint")).alias(f"s{k}") for k in classes]
-    p_rows = protos.count() // len(classes)
-    joined = join_side(rows, p, ["member_id", "h"], p_rows, 8 * (len(classes) + 3), "left")
-    return joined.groupBy("member_id", "sample_id", "split", "label").agg(*sims)
+    joined = explode_words(given).join(F.broadcast(p), ["member_id", "h"], "left")
+    return joined.groupBy(*keys).agg(*sims)
+
+
+def prototype_kernel(keys: list[str], classes: list[int]) -> Kernel:
+    names = class_columns(classes)
+
+    def score(rows: pa.Table, protos: pa.Table) -> pa.Table:
+        words, sizes = word_matrix(rows.column("words"))
+        h, k, w = (np.asarray(protos.column(c).combine_chunks(), np.int64) for c in ("h", "class_id", "w"))
+        proto = np.zeros((len(classes), max(words.shape[1], int(h.max(initial=-1)) + 1)), "<u4")
+        for i, label in enumerate(classes):
+            proto[i, h[k == label]] = w[k == label]
+        on = bit_matrix(proto).astype(np.int64).T
+        total = np.concatenate([np.zeros((1, len(classes)), np.int64), on.cumsum(axis=0)])
+
+        def equal(part: np.ndarray) -> np.ndarray:
+            bits = bit_matrix(fitted(part, proto.shape[1]))
+            return 2 * bit_product(bits, on) - bits.sum(axis=1, dtype=np.int64)[:, None]
+
+        # equal bits of a row: 2 x.p - |x| - |p| + bits, all within its own words
+        scores = in_chunks(words, equal, len(classes)) - total[32 * sizes] + 32 * sizes[:, None]
+        return pa.table({**{c: rows.column(c) for c in keys}, **{n: scores[:, i] for i, n in enumerate(names)}})
+
+    return score
 
 
 def prototype_flips(old: DataFrame, new: DataFrame) -> DataFrame:

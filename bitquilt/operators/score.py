@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import const_array
 from ..functions.words import explode_bits, explode_words
 from ..names import VOTE_SCALE
-from ..session import join_side
+from ..session import fits_broadcast
+from .by_member import Kernel, bit_matrix, bit_product, by_member, fitted, in_chunks, schema_of, word_matrix
 from .learn import CLASSES
 
 
@@ -42,23 +45,47 @@ def long(rows: DataFrame, keys: list[str], value: str = "score", prefix: str = "
 def score_wide(features: DataFrame, weights: DataFrame, offsets: DataFrame, classes: list[int] = CLASSES) -> DataFrame:
     """Offset plus the weights of the set bits.
 
-    The offset is the weight of one more bit that every sample has, so samples
-    without a set bit keep it and one join and one aggregation do the rest. A
-    bit meets its K weights as one wide row; sums are combined per sample
-    before the exchange. The model is broadcast if its counted rows fit.
+    While the counted model fits a broadcast, a bit meets its K weights as one wide row and sums are combined per sample
+    before the exchange; the offset is the weight of one more bit that every sample has. Beyond that, packed rows are
+    dealt out in pieces of a member and scored by a matrix product (`by_member`).
     """
     names = class_columns(classes)
     always = offsets.select("member_id", "class_id", F.lit(-1).alias("h"), F.lit(0).alias("v"), F.col("off").alias("w"))
-    model = wide(weights.unionByName(always), ["member_id", "h", "v"], "w", "s", classes)
-    with_one = features.withColumn("words", F.concat(F.array(F.lit(1).cast("bigint")), "words"))
-    rows = explode_bits(explode_words(with_one).withColumn("h", F.col("h") - 1))
+    keys = [c for c in features.columns if c != "words"]
+    cells = weights.unionByName(always)
     # a member has one offset row for at least one word of bits
     model_rows = weights.count() // len(classes) * 2
-    hit = join_side(rows, model, ["member_id", "h", "v"], model_rows, 8 * (len(classes) + 4))
-    keys = [c for c in features.columns if c != "words"]
+    if not fits_broadcast(features.sparkSession, model_rows, 8 * (len(classes) + 4)):
+        schema = schema_of(features, keys, ", ".join(f"{n} bigint" for n in names))
+        return by_member(features.where(F.col("words").isNotNull()), cells, score_kernel(keys, classes), schema)
+    model = wide(cells, ["member_id", "h", "v"], "w", "s", classes)
+    with_one = features.withColumn("words", F.concat(F.array(F.lit(1).cast("bigint")), "words"))
+    rows = explode_bits(explode_words(with_one).withColumn("h", F.col("h") - 1))
+    hit = rows.join(F.broadcast(model), ["member_id", "h", "v"])
     return hit.groupBy(*keys).agg(*[F.sum(n).cast("bigint").alias(n) for n in names])
 
 
+def score_kernel(keys: list[str], classes: list[int]) -> Kernel:
+    names = class_columns(classes)
+
+    def score(rows: pa.Table, cells: pa.Table) -> pa.Table:
+        words, _ = word_matrix(rows.column("words"))
+        h, v, k, w = (np.asarray(cells.column(c).combine_chunks(), np.int64) for c in ("h", "v", "class_id", "w"))
+        column = np.full(int(max(k.max(initial=0), max(classes))) + 1, -1)
+        column[classes] = np.arange(len(classes))
+        known = column[k] >= 0
+        h, v, k, w = h[known], v[known], column[k[known]], w[known]
+        offset, matrix = np.zeros(len(classes), np.int64), np.zeros((32 * (int(h.max(initial=-1)) + 1), len(classes)), np.int64)
+        np.add.at(offset, k[h < 0], w[h < 0])
+        np.add.at(matrix, (32 * h[h >= 0] + v[h >= 0], k[h >= 0]), w[h >= 0])
+        if not cells.num_rows:
+            rows, words = rows.slice(0, 0), words[:0]
+        scores = in_chunks(words, lambda x: bit_product(bit_matrix(fitted(x, len(matrix) // 32)), matrix) + offset, len(classes))
+        return pa.table({**{c: rows.column(c) for c in keys}, **{n: scores[:, i] for i, n in enumerate(names)}})
+
+    return score
+
+
 def score_samples(features: DataFrame, weights: DataFrame, offsets: DataFrame, classes: list[int] = CLASSES) -> DataFrame:
     return long(score_wide(features, weights, offsets, classes), ["member_id", "sample_id"], classes=classes)
 

@@ -263,6 +263,29 @@ def _(spark, d):
     return mj.majority_rowwise(_matches(spark, d), ["member_id", "sample_id", "h"], "w", "c", NC, 2, 1)
 
 
+@query("majority_rowwise_single", "SELECT * FROM c_hidden")
+def _(spark, d):
+    """Rows that do not divide the words: one majority over all."""
+    return mj.majority_rowwise(_matches(spark, d), ["member_id", "sample_id", "h"], "w", "c", NC, NC - 1, mj.threshold(NC))
+
+
+@query("majority_wide", """SELECT member_id, CAST(sum(CASE WHEN n > half THEN 1::BIGINT << b ELSE 0 END) AS BIGINT) AS w FROM (
+SELECT member_id, b, sum((w >> b) & 1) AS n, count(*) // 2 AS half FROM c_match, c_b32 GROUP BY ALL) GROUP BY member_id""")
+def _(spark, d):
+    """One word per member over all its samples and units: tens of thousands of words in a group."""
+    return mj.majority_exact(_matches(spark, d), ["member_id"], "w", F.floor(F.col("_n") / 2))
+
+
+# groups of 16, 32 and 64 samples have the tuned sizes 256, 512 and 1024; what is left over has others
+@query("majority_tuned", """SELECT member_id, h, per, g, CAST(sum(CASE WHEN n > half THEN 1::BIGINT << b ELSE 0 END) AS BIGINT) AS w FROM (
+SELECT member_id, h, per, sample_id // per AS g, b, sum((w >> b) & 1) AS n, CASE count(*) WHEN 196 THEN 107 WHEN 256 THEN 135 WHEN 512 THEN 269 WHEN 1024 THEN 540 ELSE count(*) * 135 // 256 END AS half
+FROM c_match, c_b32, (SELECT CAST(unnest([16, 32, 64]) AS INTEGER) AS per) GROUP BY ALL) GROUP BY ALL""")
+def _(spark, d):
+    rows = _matches(spark, d).select("member_id", "sample_id", "h", "w", F.explode(F.array(F.lit(16), F.lit(32), F.lit(64))).alias("per"))
+    placed = rows.withColumn("g", F.floor(F.col("sample_id") / F.col("per")))
+    return mj.majority_exact(placed, ["member_id", "h", "per", "g"], "w", mj.threshold_of(F.col("_n")))
+
+
 # pixel variants: four groups per hidden unit, each with its own block of random words
 cte("c_w0px", draws(f"(SELECT CAST(m AS BIGINT) AS member_id, CAST(h AS INTEGER) AS h, CAST(c AS INTEGER) AS c FROM (SELECT unnest(range(3)) AS m), (SELECT unnest(range({H})) AS h), (SELECT unnest(range({4 * NC})) AS c))",
                     f"({SEED} + member_id)", f"(h * {4 * NC} + c)", "member_id, h, c"))
