@@ -26,14 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .text import LOWER, byte_rows, mix, packed_rows, powers, seeds, spans_of
+from .text import LOWER, mix, packed_rows, powers, seeds
 from .token_counts import byte_alphabet
 
 MAGIC = b"BQIDS001"
-#: Id bytes coded at once; bounds memory, never cuts a document.
-BLOCK_BYTES = 4 << 20
 #: Words whose ids a task keeps (and eight ids for each); beyond it they are asked of the library anew, which costs time only.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 2_000_000
 #: Kinds of bytes: white space, marks that are pieces apart from letters and digits next to them, ASCII letters and digits, others.
 KIND = np.full(256, 3, np.uint8)
 MARK, ALNUM = 1, 2
@@ -43,8 +41,8 @@ KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = ALNUM
 #: Words of letters that no normalizer changes but for their case, and the visible characters that stand for their bytes.
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 BYTES = {c: "".join(byte_alphabet()[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-#: Tables of the two hashes of a word.
-SALT_1, SALT_2, POWER_2 = seeds(256, 21) | np.uint64(1), seeds(256, 22) | np.uint64(1), 0x9FB21C651E98DF25
+#: Table of the hash of a word.
+SALT = seeds(256, 21) | np.uint64(1)
 
 #: Code lengths of the four ranks under each control byte, and the bits that a code of each length keeps.
 LENGTHS = (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3) + 1
@@ -106,7 +104,7 @@ class WordTable:
 def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of rows that stand end to end, their two hashes (A-Z as a-z), and the words' offsets by row.
 
-    Words end at white space, and where marks and ASCII letters or digits meet.
+    The first hash is of all bytes, the second of the length and the first and last eight bytes. Words end at white space, and where marks and ASCII letters or digits meet.
     """
     kind = KIND[data]
     inside = kind > 0
@@ -122,10 +120,13 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     heads = np.flatnonzero(first[where])
     sizes = np.diff(np.concatenate([heads, [len(where)]]))
     within = np.arange(len(where)) - np.repeat(heads, sizes)
-    letters, longest = LOWER[data[where]], int(sizes.max())
+    low, longest = LOWER[data], int(sizes.max())
+    eight = np.ndarray(len(data) + 9, "<u8", np.concatenate([np.zeros(8, np.uint8), low, np.zeros(8, np.uint8)]), strides=(1,))
+    head = eight[starts + 8] & (~np.uint64(0) >> (8 * (8 - np.minimum(sizes, 8))).astype(np.uint64))
+    tail = np.where(sizes > 8, eight[starts + sizes], np.uint64(0))
     with np.errstate(over="ignore"):
-        one = mix(np.add.reduceat(SALT_1[letters] * powers(longest)[within], heads))
-        two = mix(np.add.reduceat(SALT_2[letters] * powers(longest, POWER_2)[within], heads) + sizes.astype(np.uint64))
+        one = mix(np.add.reduceat(SALT[low[where]] * powers(longest)[within], heads))
+        two = mix(head ^ mix(tail + sizes.astype(np.uint64)))
     return starts, starts + sizes, one, two, np.searchsorted(starts, offsets)
 
 
@@ -231,37 +232,18 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
-def encode_documents(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and `ids`: the ids of the whole text as little-endian unsigned 32-bit numbers, `end_id` last.
-
-    A null text is an empty one; other columns are left out; every text is encoded in the row it stands in.
-    """
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
-        for batch in batches:
-            for a, b, data, rows in packed_rows(batch.column(1)):
-                ids, counts = encoder.encode(data, rows, end_id)
-                offsets = np.concatenate([[0], np.cumsum(counts) * 4])
-                column = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column.cast(pa.binary())], names=["doc_id", "ids"])
-
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id bigint, ids binary")
-
-
-def id_counts(encoded: DataFrame, size: int) -> DataFrame:
-    """id and n over all documents: counted per task by bincount, then summed; at most `size` rows."""
+def id_counts(docs: DataFrame, path: str, end_id: int | None, size: int) -> DataFrame:
+    """id and n over the texts of all documents: counted per task by bincount, then summed; at most `size` rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        encoder, total = encoder_of(path), np.zeros(size, np.int64)
         for batch in batches:
-            data, starts, ends = byte_rows(batch.column(0))
-            if len(starts):
-                total += np.bincount(data[starts[0]:ends[-1]].view("<u4"), minlength=size)
+            for _, _, data, rows in packed_rows(batch.column(0)):
+                total += np.bincount(encoder.encode(data, rows, end_id)[0], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["id", "n"])
 
-    return encoded.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def ids_by_rank(counts: DataFrame, size: int) -> np.ndarray:
@@ -300,10 +282,10 @@ class IdFile(InputPartition):
 
 
 class TokenIdWriter(DataSourceArrowWriter):
-    """Writes rows (doc_id, ids) in the order in which they come; a task's file counts only once the job is committed."""
+    """Encodes and writes rows (doc_id, text) in the order in which they come; a task's file counts only once the job is committed."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, vocabulary: str, end_id: int | None) -> None:
+        self.path, self.vocabulary, self.end_id = path, vocabulary, end_id
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         import uuid
@@ -316,19 +298,19 @@ class TokenIdWriter(DataSourceArrowWriter):
         rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
         partition = TaskContext.get().partitionId()
         done = Written(partition, f"part-{partition:06d}-{uuid.uuid4().hex}.ids", 0, 0)
+        encoder = encoder_of(self.vocabulary)
         with files.open_output_stream(f"{folder}/{done.name}") as out:
             out.write(MAGIC)
             for batch in iterator:
-                data, starts, ends = byte_rows(batch.column(1))
                 doc_ids = batch.column(0)
-                for a, b in spans_of(ends - starts, BLOCK_BYTES):
-                    ids = data[starts[a]:ends[b - 1]].view("<u4")
+                for a, b, data, rows in packed_rows(batch.column(1)):
+                    ids, counts = encoder.encode(data, rows, self.end_id)
                     control, packed = pack_ranks(rank_of[ids])
                     own = doc_ids.slice(a, b - a)
                     out.write(np.array([b - a, len(ids), len(control), len(packed)], "<u8").tobytes())
                     out.write(own.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                     out.write(np.asarray(own.is_valid()).astype(np.uint8).tobytes())
-                    out.write(((ends[a:b] - starts[a:b]) // 4).astype("<i8").tobytes())
+                    out.write(counts.astype("<i8").tobytes())
                     out.write(control.tobytes())
                     out.write(packed.tobytes())
                     done.documents += b - a
@@ -392,7 +374,7 @@ class TokenIdReader(DataSourceReader):
 
 
 class TokenIds(DataSource):
-    """Spark's view of a folder of token ids: `format("token_ids")`, option `path`."""
+    """Spark's view of a folder of token ids: `format("token_ids")`, option `path`; to write also `vocabulary` and maybe `end_id`."""
 
     @classmethod
     def name(cls) -> str:
@@ -405,7 +387,8 @@ class TokenIds(DataSource):
         return TokenIdReader(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> TokenIdWriter:
-        return TokenIdWriter(self.options["path"])
+        end_id = self.options.get("end_id")
+        return TokenIdWriter(self.options["path"], self.options["vocabulary"], None if end_id is None else int(end_id))
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -428,13 +411,14 @@ def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int | N
     """
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     size = max(vocabulary_size(vocabulary), 0 if end_id is None else end_id + 1)
-    by_rank = ids_by_rank(id_counts(encode_documents(given, vocabulary, end_id), size), size)
+    by_rank = ids_by_rank(id_counts(given, vocabulary, end_id, size), size)
     files, folder = filesystem(path)
     files.create_dir(folder, recursive=True)
     with files.open_output_stream(f"{folder}/_ranks") as f:
         f.write(by_rank.tobytes())
     docs.sparkSession.dataSource.register(TokenIds)
-    encode_documents(in_order(given), vocabulary, end_id).write.format("token_ids").mode("append").option("path", path).save()
+    writer = in_order(given).write.format("token_ids").mode("append").option("path", path).option("vocabulary", vocabulary)
+    (writer if end_id is None else writer.option("end_id", str(end_id))).save()
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
