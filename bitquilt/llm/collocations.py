@@ -2,9 +2,9 @@
 
 Texts become blocks of word ids once; a word that is too rare, a mark between pieces and the end of a text are -1, which no phrase
 contains. Level k starts from the frequent phrases of k - 1 words, in a trie that numpy walks from all text positions at once:
-a phrase of k words can only be frequent if it is frequent without its last and without its first word, and if all
-phrases of its hash bucket together are. Those phrases are the candidates; a second trie holds them, accepting
-places are counted by bincount in each task, and the counts of the tasks are summed.
+a phrase of k words can only be frequent if it is frequent without its last and without its first word. The safe phrases that
+the shards hold often enough together are the candidates, so a trie is never filled with phrases seen once; a second trie holds
+them, accepting places are counted by bincount in each task, and the counts of the tasks are summed.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from ..operators.rank import global_rank
 from ..session import cut, discard
 from .common import salted_lookup
 from .double_array import DoubleArray
-from .text import byte_rows, mix, spans_of
+from .text import byte_rows, spans_of
 
 #: Marks between pieces, and what separates words inside them.
 MARKS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
@@ -28,10 +28,8 @@ WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases of a trie and words of a dictionary that are broadcast at once; more are worked off block by block.
 BLOCK = 1 << 18
-#: Hash buckets of a level: bounds the counters of a task (32 MB), not the phrases.
-BUCKETS = 1 << 22
-#: Candidates that a task holds before it hands them on.
-HELD = 1 << 20
+#: Phrases that a task holds before it hands their counts on.
+HELD = 1 << 22
 
 
 def _tables() -> bytes:
@@ -143,53 +141,40 @@ def safe_keys(trie: DoubleArray | None, ids: np.ndarray, alone: bool) -> tuple[n
     return at, phrase << 32 | ids[at + trie.length]
 
 
-def bucket_of(keys: np.ndarray, part: int) -> np.ndarray:
-    return (mix(keys.astype(np.uint64) ^ np.uint64(part * 0x9E3779B9 << 31 & (1 << 64) - 1)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+def safe_counts(encoded: DataFrame, trie, alone: bool) -> DataFrame:
+    """key, n: how often each safe phrase of one more word occurs, summed in the task as far as HELD keys go, then over tasks."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
-def bucket_counts(encoded: DataFrame, trie, alone: bool, part: int) -> DataFrame:
-    """bucket, n: how often the safe phrases of one more word occur, by hash bucket."""
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            for i in range(0, len(keys), HELD // 8):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i:i + HELD // 8]), pa.array(n[i:i + HELD // 8])], names=["key", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = np.zeros(BUCKETS, np.int64), []
         for ids in id_rows(batches):
-            held.append(bucket_of(safe_keys(trie and trie.value, ids, alone)[1], part).astype(np.int32))
-            if sum(map(len, held)) > BUCKETS // 2:
-                total += np.bincount(np.concatenate(held), minlength=BUCKETS)
-                held.clear()
+            held.append(safe_keys(trie and trie.value, ids, alone)[1])
+            if sum(map(len, held)) > HELD:
+                yield from hand_on()
         if held:
-            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), HELD):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i:i + HELD], pa.int32()), pa.array(total[at[i:i + HELD]])], names=["bucket", "n"])
+            yield from hand_on()
 
-    return encoded.mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return encoded.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def safe_phrases(encoded: DataFrame, trie, alone: bool, part: int, frequent) -> DataFrame:
-    """w: the safe phrases of one more word whose bucket is frequent; a task names each about once."""
+def named(keys: DataFrame, trie) -> DataFrame:
+    """w: the phrases of the keys."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = np.unpackbits(frequent.value)
-        held: list[np.ndarray] = []
-
-        def hand_on() -> pa.RecordBatch:
-            keys = np.unique(np.concatenate(held))
-            held.clear()
-            first = (keys >> 32)[:, None] if trie is None else trie.value.phrases[keys >> 32]
-            w = np.concatenate([first, (keys & 0xFFFFFFFF)[:, None]], axis=1).astype(np.int32)
+        for batch in batches:
+            k = np.asarray(batch.column(0), np.int64)
+            first = (k >> 32)[:, None] if trie is None else trie.value.phrases[k >> 32]
+            w = np.concatenate([first, (k & 0xFFFFFFFF)[:, None]], axis=1).astype(np.int32)
             offsets = pa.array(np.arange(len(w) + 1) * w.shape[1], pa.int32())
-            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(w.reshape(-1)))], names=["w"])
-
-        for ids in id_rows(batches):
-            keys = safe_keys(trie and trie.value, ids, alone)[1]
-            held.append(np.unique(keys[buckets[bucket_of(keys, part)] == 1]))
-            if sum(map(len, held)) > HELD:
-                yield hand_on()
-        if held:
-            yield hand_on()
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(w.reshape(-1)))], names=["w"])
 
-    return encoded.mapInArrow(name, "w array<int>")
+    return keys.select("key").mapInArrow(name, "w array<int>")
 
 
 def phrase_counts(encoded: DataFrame, trie) -> DataFrame:
@@ -215,18 +200,9 @@ def next_level(encoded: DataFrame, shorter: DataFrame | None, n_shorter: int, n_
     alone = n_shorter <= block
     tries = [None] if shorter is None else [context.broadcast(DoubleArray(w, n_words)) for w in blocks_of(shorter, n_shorter, block)]
     # one job per trie, so that a task holds one at a time
-    counted = [bucket_counts(encoded, trie, alone, part) for part, trie in enumerate(tries)]
-    counted = counted if len(tries) == 1 else [cut(c, "buckets") for c in counted]
-    total = counted[0]
-    for other in counted[1:]:
-        total = total.unionAll(other)
-    full = total.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("bucket").toArrow().column(0).to_numpy()
-    bits = np.zeros(BUCKETS, bool)
-    bits[full] = True
-    frequent = context.broadcast(np.packbits(bits))
-    named = [cut(safe_phrases(encoded, trie, alone, part, frequent).distinct(), "candidates") for part, trie in enumerate(tries)]
-    candidates = named[0]
-    for other in named[1:]:
+    parts = [cut(named(safe_counts(encoded, trie, alone).where(F.col("n") >= least), trie), "candidates") for trie in tries]
+    candidates = parts[0]
+    for other in parts[1:]:
         candidates = candidates.unionAll(other)
     found = []
     for w in blocks_of(candidates, candidates.count(), block):
@@ -237,8 +213,7 @@ def next_level(encoded: DataFrame, shorter: DataFrame | None, n_shorter: int, n_
     for trie in tries:
         if trie is not None:
             trie.unpersist()
-    frequent.unpersist()
-    discard(*counted, *named)
+    discard(*parts)
     if not found:
         return cut(encoded.sparkSession.createDataFrame([], "w array<int>, a bigint"), "phrases")
     out = found[0]
@@ -286,7 +261,9 @@ def collocations(docs: DataFrame, most: int = 2000, least: int = 100, longest: i
     phrases = levels[0]
     for level in levels[1:]:
         phrases = phrases.unionAll(level)
-    known = known.unionAll(phrases)
+    # as tables, so that joins know how small they are
+    phrases = cut(phrases, "phrases")
+    known = cut(known.unionAll(phrases), "known_phrases")
     # a phrase inside a longer one that occurs as often: the next longer one of that chain is enough to see it
     longer = phrases.where(F.size("w") > 2)
     size = F.size("w")
@@ -301,7 +278,7 @@ def collocations(docs: DataFrame, most: int = 2000, least: int = 100, longest: i
     placed = salted_lookup(first, words.select("id", "lang", "n"), "id", "w")
     whole = {c: F.col(c).cast("decimal(19,0)") for c in ("a", "l", "r", "n")}
     score = F.call_function("div", F.lit(1000).cast("decimal(4,0)") * (whole["a"] * whole["n"]), whole["l"] * whole["r"])
-    scored = placed.withColumn("score", score)
+    scored = cut(placed.withColumn("score", score), "scored_cuts")
     least_cut = scored.groupBy("w").agg(F.first("a").alias("a"), F.first("lang").alias("lang"), F.first("n").alias("n"), F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     spelled = salted_lookup(kept.select("w", F.posexplode("w").alias("at", "id")).withColumn("id", F.col("id").cast("bigint")), words.select("id", "word"), "id", "w")
     texts = spelled.groupBy("w").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
