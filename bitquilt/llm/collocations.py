@@ -28,6 +28,8 @@ WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases of a trie and words of a dictionary that are broadcast at once; more are worked off block by block.
 BLOCK = 1 << 18
+#: Phrases of a counter vector, and tasks whose vectors are added at once.
+CHUNK, MERGED = 1 << 12, 64
 #: Phrases that a task holds before it hands their counts on.
 HELD = 1 << 22
 
@@ -177,21 +179,44 @@ def named(keys: DataFrame, trie) -> DataFrame:
     return keys.select("key").mapInArrow(name, "w array<int>")
 
 
-def phrase_counts(encoded: DataFrame, trie) -> DataFrame:
-    """w, n: occurrences of the trie's phrases, counted per task by bincount over the accepting places."""
+def add_vectors(rows: pa.Table) -> pa.Table:
+    """One row for the chunk: its tasks' counters added up."""
+    total = sum(np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist())
+    return pa.table({"chunk": rows.column("chunk").slice(0, 1), "part": pa.array([0], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def phrase_counts(encoded: DataFrame, trie, least: int) -> DataFrame:
+    """w, a: the trie's phrases that occur at least `least` times.
+
+    A task counts by bincount over the accepting places and hands its counters on as vectors of CHUNK phrases; vectors of some tasks
+    (MERGED at once) and then those sums are added, so neither step holds more than some vectors of a chunk.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         found = trie.value
-        total = np.zeros(len(found.phrases), np.int64)
+        total = np.zeros(-(-len(found.phrases) // CHUNK) * CHUNK, np.int64)
         for ids in id_rows(batches):
             total += np.bincount(found.walk(ids)[1], minlength=len(total))
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), HELD // 8):
-            w = found.phrases[at[i:i + HELD // 8]].astype(np.int32)
-            offsets = pa.array(np.arange(len(w) + 1) * w.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(w.reshape(-1))), pa.array(total[at[i:i + HELD // 8]])], names=["w", "n"])
+        vectors = total.reshape(-1, CHUNK)
+        used = np.flatnonzero(vectors.any(axis=1))
+        part = TaskContext.get().partitionId() // MERGED
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), part), pa.int32()), pa.array([vectors[i].tobytes() for i in used], pa.binary())], names=["chunk", "part", "counts"])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = trie.value.phrases
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                total = np.frombuffer(counts, np.int64)
+                at = np.flatnonzero(total >= least)
+                w = phrases[chunk * CHUNK + at].astype(np.int32)
+                offsets = pa.array(np.arange(len(w) + 1) * phrases.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(w.reshape(-1))), pa.array(total[at])], names=["w", "a"])
 
-    return encoded.mapInArrow(count, "w array<int>, n bigint")
+    kind = "chunk int, part int, counts binary"
+    summed = encoded.mapInArrow(count, kind).groupBy("chunk", "part").applyInArrow(add_vectors, kind)
+    return summed.groupBy("chunk").applyInArrow(add_vectors, kind).mapInArrow(name, "w array<int>, a bigint")
 
 
 def next_level(encoded: DataFrame, shorter: DataFrame | None, n_shorter: int, n_words: int, least: int, block: int = BLOCK) -> DataFrame:
@@ -207,8 +232,7 @@ def next_level(encoded: DataFrame, shorter: DataFrame | None, n_shorter: int, n_
     found = []
     for w in blocks_of(candidates, candidates.count(), block):
         trie = context.broadcast(DoubleArray(w, n_words))
-        summed = phrase_counts(encoded, trie).groupBy("w").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        found.append(cut(summed, "phrases"))
+        found.append(cut(phrase_counts(encoded, trie, least), "phrases"))
         trie.unpersist()
     for trie in tries:
         if trie is not None:
