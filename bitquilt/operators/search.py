@@ -201,15 +201,20 @@ def beam(
     max_members: int | None = None, order: str = "eval", clarity: DataFrame | None = None, block: int | None = None,
     locked: tuple[int, ...] = (), skip: int = 1,
 ) -> SearchResult:
-    """Beam search by additions; the returned set is evaluated once more as a set."""
+    """Beam search by additions; the returned set is evaluated once more as a set.
+
+    block: a level whose gain over the last committed set is too small is buffered, and its members go into the set that a later level commits;
+    the search ends after `block` levels without a commit. The best committed set is returned; no set has more than
+    `max_members` members, unless a start set has.
+    """
     width = min(width, MAX_SLOTS)
     slots = [Slot(tuple(sorted(s)), pool.evaluate(s)) for s in (start or [()])]
     best = max(slots, key=lambda s: s.correct)
-    accepted, pending = best, best
+    accepted = best
     path, waited = [], 0
     scale = 100.0 / max(pool.total, 1)
     cap = max_members or len(pool.ids)
-    while slots and len(accepted.members) < cap:
+    while slots := [s for s in slots if len(s.members) < cap]:
         level = pool.candidates([s.members for s in slots])
         if locked:
             level = level.where(~F.col("member_id").isin(list(locked)))
@@ -220,10 +225,8 @@ def beam(
         slots = [Slot(tuple(r["members"]), r["correct"]) for r in rows]
         top = max(slots, key=lambda s: s.correct)
         gain = (top.correct - accepted.correct) * scale
-        if block is not None and top.correct > pending.correct:
-            pending = top
         if gain > min_gain:
-            accepted = pending = top
+            accepted = top
             waited = 0
             path.append({"en": len(top.members), "members": list(top.members), "correct": top.correct})
             if top.correct > best.correct:

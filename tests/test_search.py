@@ -97,6 +97,23 @@ def test_block_acceptance_keeps_the_best_committed_set(frame, scores):
     assert found.correct == correct(scores, found.members)
 
 
+@pytest.mark.parametrize("cap", [1, 2, 3, 4])
+def test_blocks_stay_within_the_member_cap(frame, scores, cap):
+    for found in (se.beam(se.Pool(frame), 2, 6.0, max_members=cap, block=4), se.greedy(se.Pool(frame), 6.0, max_members=cap, block=4)):
+        assert len(found.members) <= cap and found.correct == correct(scores, found.members)
+        assert all(step["en"] <= cap for step in found.path)
+
+
+def test_a_block_buffers_small_gains(frame, scores):
+    """With a gain that no single step has, the first commit is the first level whose sum of gains passes it."""
+    sizes = [max(correct(scores, c) for c in itertools.combinations(MEMBERS, n)) for n in range(1, 7)]
+    need = (sizes[0] + 1) * 100.0 / len(SAMPLES)
+    assert se.beam(se.Pool(frame), 64, need).members == []
+    found = se.beam(se.Pool(frame), 64, need, block=6)
+    first = next(n for n, c in enumerate(sizes, 1) if c * 100.0 / len(SAMPLES) > need)
+    assert found.path[0]["en"] == first and found.path[0]["correct"] == sizes[first - 1]
+
+
 def test_swaps(frame, scores):
     start = [0, 1, 2]
     rows = se.swap_candidates(se.Pool(frame), start).collect()
