@@ -1,13 +1,16 @@
 """Token counts of every prefix by dynamic programming over byte-level BPE.
 
 The encoding of a prefix ends in exactly one token t such that the encoding of what stands before t, followed by t,
-is stable under the merges; so count(prefix) = count(prefix without t) + 1. The states are shared by all words of a
-task, so a text is never encoded again for a shorter prefix.
+is stable under the merges; so count(prefix) = count(prefix without t) + 1. The states of short words are shared by all
+words of a task; a long word has the counts of all its prefixes in an array of its own. A shorter prefix is looked up
+there, so no text is encoded again for it, and a word of n letters takes time and memory in proportion to n.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +22,10 @@ from .text import mix, powers, spans_of
 
 #: Kept prefix states and word counts of a task; beyond it they are built anew, which costs time only.
 STATES = 300_000
-#: Words longer than this have their states in a list of their own.
+#: Words longer than this have the counts of their prefixes in an array of their own.
 LONG_WORD = 48
+#: Longer words are counted anew where they come again in another batch, so that kept words stay small.
+KEPT_WORD = 512
 LETTER, NUMBER, OTHER, BLANK, UNKNOWN = range(5)
 #: The contractions of the byte-level pattern.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -41,10 +46,13 @@ class PrefixCounts:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.tokens = set(spec["model"]["vocab"])
+        # one object for each token, so that a state holds no copy of its text
+        self.tokens = {t: t for t in spec["model"]["vocab"]}
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
         self.tails = {t[i:] for t in self.tokens for i in range(len(t))}
         self.special = [t["content"] for t in spec["added_tokens"]]
+        # the leftmost one counts, of these the longest
+        self.specials = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)))
         self.alphabet = byte_alphabet()
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.classes = np.full(0x110000, UNKNOWN, np.uint8)
@@ -109,7 +117,7 @@ class PrefixCounts:
         found, start = [], end - 1
         while start >= 0 and (tail := text[start:end]) in self.tails:
             if tail in self.tokens:
-                found.append(tail)
+                found.append(self.tokens[tail])
             start -= 1
         return found[::-1]
 
@@ -128,18 +136,21 @@ class PrefixCounts:
             known = self.states[text] = self.step(text, self.state)
         return known
 
-    def long_state(self, text: str) -> tuple[int, str]:
-        """The same for a very long word, with the states of its prefixes in a list."""
-        own: list[tuple[int, str]] = [(0, "")]
+    def prefix_counts(self, word: str) -> np.ndarray:
+        """Tokens of each prefix of a pre-token, from no character to all: a pass over its bytes."""
+        text, counts, lasts = self.shown(word), array("i", [0]), [""]
         for end in range(1, len(text) + 1):
             for token in self.endings(text, end):
-                count, last = own[end - len(token)]
-                if self.follows(last, token):
-                    own.append((count + 1, token))
+                before = end - len(token)
+                if self.follows(lasts[before], token):
+                    counts.append(counts[before] + 1)
+                    lasts.append(token)
                     break
             else:
                 raise ValueError("the vocabulary has no encoding of a byte")
-        return own[-1]
+        codes = np.frombuffer(word.encode("utf-32-le", "replace"), np.uint32)
+        sizes = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        return np.frombuffer(counts, np.int32)[np.concatenate([[0], np.cumsum(sizes)])]
 
     def shown(self, word: str) -> str:
         return word.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
@@ -153,7 +164,9 @@ class PrefixCounts:
             if len(self.counts) > STATES:
                 self.counts.clear()
             shown = self.shown(word)
-            known = self.counts[word] = (self.state(shown) if len(shown) <= LONG_WORD else self.long_state(shown))[0]
+            known = self.state(shown)[0] if len(shown) <= LONG_WORD else int(self.prefix_counts(word)[-1])
+            if len(word) <= KEPT_WORD:
+                self.counts[word] = known
         return known
 
     # -- pre-tokens --
@@ -212,15 +225,11 @@ class PrefixCounts:
 
     def segments(self, text: str) -> list[tuple[str, bool]]:
         """Pieces of a text: ordinary ones and special strings, which are one token each."""
-        pieces, rest = [], text
-        while rest:
-            hits = [(i, -len(s), s) for s in self.special if (i := rest.find(s)) >= 0]
-            if not hits:
-                break
-            at, _, found = min(hits)
-            pieces += [(rest[:at], False)] * bool(at) + [(found, True)]
-            rest = rest[at + len(found):]
-        return pieces + [(rest, False)] * bool(rest)
+        pieces, end = [], 0
+        for hit in self.specials.finditer(text):
+            pieces += [(text[end:hit.start()], False)] * (hit.start() > end) + [(hit.group(), True)]
+            end = hit.end()
+        return pieces + [(text[end:], False)] * (end < len(text))
 
     def tables(self, texts: list[str]) -> Iterator[PrefixTable]:
         """The prefix table of each text; the texts are handled together."""
@@ -252,11 +261,33 @@ class PrefixTable:
 
     def __init__(self, model: PrefixCounts, text: str, starts: np.ndarray, sums: np.ndarray, pieces: list) -> None:
         self.model, self.text, self.starts, self.sums, self.pieces = model, text, starts, sums, pieces
+        self.firsts = np.concatenate([[0], np.cumsum([len(p) for p, _ in pieces])]).astype(np.int64)
+        self.runs: tuple[np.ndarray, np.ndarray] | None = None
+        self.inside: tuple[tuple[int, int], np.ndarray] | None = None
 
     @property
     def total(self) -> int:
         return int(self.sums[-1])
 
+    def blanks(self, chars: int) -> tuple[int, int]:
+        """The run of blanks, or of other characters, around the last of so many characters."""
+        if self.runs is None:
+            codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            blank = self.model.classes[codes] == BLANK
+            edges = np.flatnonzero(np.append(True, blank[1:] != blank[:-1]))
+            self.runs = edges, np.append(edges[1:], len(codes))
+        at = int(np.searchsorted(self.runs[0], chars - 1, "right")) - 1
+        return int(self.runs[0][at]), int(self.runs[1][at])
+
+    def part(self, start: int, end: int, chars: int) -> int:
+        """Tokens of text[start:chars] within the word, or run of blanks, text[start:end]."""
+        if end - start <= LONG_WORD:
+            return self.model.count(self.text[start:chars])
+        # prefixes are asked for word by word: the counts of one long word are kept
+        if self.inside is None or self.inside[0] != (start, end):
+            self.inside = (start, end), self.model.prefix_counts(self.text[start:end])
+        return int(self.inside[1][chars - start])
+
     def at(self, chars: int) -> int:
         """Tokens of text[:chars]."""
         if chars <= 0:
@@ -265,49 +296,40 @@ class PrefixTable:
         if chars >= len(text):
             return self.total
         word = int(np.searchsorted(self.starts, chars - 1, "right")) - 1
-        first, special, end = 0, False, 0
-        for piece, alone in self.pieces if len(self.pieces) > 1 else ():
-            first, end, special = end, end + len(piece), alone
-            if end >= chars:
-                break
+        piece = int(np.searchsorted(self.firsts, chars - 1, "right")) - 1
+        first, end = int(self.firsts[piece]), int(self.firsts[piece + 1])
+        special = self.pieces[piece][1]
         if special and chars == end:
             return int(self.sums[word + 1])
         if special:  # a cut special string is ordinary text that continues the text before it
-            back = word - 1 if word and text[first - len(self.before(first)):first] else word
-            return self.recount(self.join(first, back), chars)
-        start = chars - 1
-        if model.classes[ord(text[start])] == BLANK:
-            while start > first and model.classes[ord(text[start - 1])] == BLANK:
-                start -= 1
+            back = word - 1 if word and self.before(piece) else word
+            return self.recount(self.join(piece, back), chars)
+        if model.classes[ord(text[chars - 1])] == BLANK:
+            run, over = self.blanks(chars)
+            start = max(run, first)
             word = int(np.searchsorted(self.starts, start, "right")) - 1
-            return int(self.sums[word]) + model.count(text[start:chars])
+            return int(self.sums[word]) + self.part(start, min(over, end), chars)
         start = int(self.starts[word])
-        part = text[start:chars]
-        if part in ("'r", "'v", "'l"):
+        part = text[start:min(chars, start + 3)]
+        if chars - start == 2 and part in ("'r", "'v", "'l"):
             return int(self.sums[word]) + model.count("'") + model.count(part[1]) if self.end(word) > chars else int(self.sums[word + 1])
-        return int(self.sums[word]) + model.count(part)
+        return int(self.sums[word]) + self.part(start, self.end(word), chars)
 
     def end(self, word: int) -> int:
         return int(self.starts[word + 1]) if word + 1 < len(self.starts) else len(self.text)
 
-    def before(self, first: int) -> str:
-        """The ordinary piece that ends at `first`, or nothing."""
-        end = 0
-        for piece, alone in self.pieces:
-            end += len(piece)
-            if end == first:
-                return "" if alone else piece
-        return ""
-
-    def join(self, first: int, back: int) -> int:
-        """Where to count again for a prefix that cuts the special string at `first`."""
-        piece = self.before(first)
-        if not piece:
+    def before(self, piece: int) -> str:
+        """The ordinary piece before this one, or nothing."""
+        return self.pieces[piece - 1][0] if piece and not self.pieces[piece - 1][1] else ""
+
+    def join(self, piece: int, back: int) -> int:
+        """Where to count again for a prefix that cuts the special string at this piece."""
+        first, before = int(self.firsts[piece]), self.before(piece)
+        if not before:
             return first
-        start = int(self.starts[back])
-        low = first - len(piece)
-        while start > low and self.model.classes[ord(self.text[start - 1])] == BLANK:
-            start -= 1
+        start, low = int(self.starts[back]), first - len(before)
+        if start > low and self.model.classes[ord(self.text[start - 1])] == BLANK:
+            start = max(self.blanks(start)[0], low)
         return start
 
     def recount(self, start: int, chars: int) -> int:
@@ -323,10 +345,15 @@ class PrefixTable:
             return len(self.text)
         # sums only grow from word to word, and a part of a word takes at least one token
         word = min(int(np.searchsorted(self.sums, budget, "right")), len(self.starts) - 1)
-        for chars in range(min(self.end(word) + 1, len(self.text)), 0, -1):
-            if self.at(chars) <= budget:
-                return chars
-        return 0
+        chars = min(self.end(word) + 1, len(self.text))
+        while chars > 0 and self.at(chars) > budget:
+            chars -= 1
+            start, end = self.inside[0] if self.inside else (0, 0)
+            if start + 2 < chars < end:  # all these prefixes end in the long word whose counts are at hand
+                base = int(self.sums[int(np.searchsorted(self.starts, start, "right")) - 1])
+                fit = np.flatnonzero(self.inside[1][3:chars - start + 1] <= budget - base)
+                chars = start + (3 + int(fit[-1]) if len(fit) else 2)
+        return chars
 
 
 _models: dict[str, PrefixCounts] = {}
@@ -344,6 +371,7 @@ def token_prefixes(docs: DataFrame, path: str, budget: int, id_col: str = "doc_i
     One row per input row: `id_col`, n_bytes, n_tokens, cut_chars (the most leading characters of at most `budget`
     tokens), and with `prefixes` also prefix_tokens: the count of every prefix, from 0 characters to all of them.
     A null text is empty (0 bytes, 0 tokens); ids may be null or repeat and are passed on; other columns are left out.
+    An empty table gives none. A text may be one word of any length: time and memory grow in proportion to it.
     Each text is whole in its own row, so there is no shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()

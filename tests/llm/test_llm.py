@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 from collections import Counter
 
 import numpy as np
@@ -120,6 +121,45 @@ def test_token_counts_of_every_prefix():
         assert all(table.within(b) == max(i for i, n in enumerate(want) if n <= b) for b in (0, 1, 4))
 
 
+def test_token_counts_of_long_words():
+    from tokenizers import Tokenizer
+
+    model, library, r = token_counts.PrefixCounts(queries.vocabulary()), Tokenizer.from_file(queries.vocabulary()), random.Random(5)
+    words = ["".join(r.choice("acgt") for _ in range(200)), " " + "the" * 60, "é日本😀" * 40, " " * 130, "!" * 70 + "<|" * 20, "\n \t" * 40, "9" * 99, "'" * 80]
+    for _ in range(25):
+        text = "".join(r.choice([*words, "a", " ", "'re", "<|endoftext|>", "."]) for _ in range(r.randint(1, 5)))
+        want = [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+        table = next(model.tables([text]))
+        assert [table.at(i) for i in range(len(text) + 1)] == want
+        for budget in (0, 1, 4, 20, 45, 90):
+            assert next(model.tables([text])).within(budget) == max(i for i, n in enumerate(want) if n <= budget)
+
+
+def test_a_word_of_any_length_takes_time_in_proportion():
+    r = random.Random(7)
+    text = "".join(r.choice("acgt") for _ in range(200_000))
+    model, began = token_counts.PrefixCounts(queries.vocabulary()), time.monotonic()
+    table = next(model.tables([text]))
+    cut = table.within(1024)
+    assert table.at(cut) <= 1024 < table.at(cut + 1) <= table.total
+    assert [p for p, _ in model.segments("<|endoftext|>" * 20_000)] == ["<|endoftext|>"] * 20_000
+    assert not any(len(w) > token_counts.KEPT_WORD for w in model.counts)
+    # with a new encoding for each shorter prefix it were hours
+    assert time.monotonic() - began < 60
+
+
+def test_token_counts_query_equals_the_library(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    found = queries.QUERIES["op10_token_prefixes"](spark, sf_dir).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 1024)
+
+
 def test_language_id_on_held_out_documents(spark, sf_dir):
     found = queries.QUERIES["op9_language_id"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
