@@ -22,17 +22,19 @@ from .text import CHUNK_BYTES, mix, packed_rows, shingle_hashes, word_hashes
 
 #: Link when PARTS * intersection >= NEEDED * union.
 NEEDED, PARTS = 80, 100
-#: Fragments in which the overlaps of a pair are counted.
-VERTICAL = 4
+#: The order of shingles is cut behind those that so many sets hold: overlaps are counted in one more fragments than cuts.
+CUTS = (2, 4, 16)
 #: Rounds with one hub per shingle before all remaining pairs of different groups are tried.
 HUB_ROUNDS = 4
 #: All remaining pairs are tried at once when there are at most this many for each entry.
 FEW = 8
+#: Holders of a shingle that are compared with each other in one task.
+BUCKET = 1024
 #: Words of 64 bits in a set's parity sketch, and sets sketched at once inside a task.
 SKETCH, SKETCH_ROWS = 8, 2048
 LOW48 = np.uint64((1 << 48) - 1)
 PACKED = "block bigint, fragment int, head binary, sizes binary, tokens binary"
-SETS = "doc_id bigint, sig_a bigint, sig_b bigint, n_shingles bigint, alone bigint, tokens array<bigint>, sketch array<bigint>"
+SETS = "doc_id bigint, sig_a bigint, sig_b bigint, n_shingles bigint, alone bigint, tokens array<bigint>, ends array<int>, sketch array<bigint>"
 
 
 def narrow(values: np.ndarray) -> bytes:
@@ -166,12 +168,16 @@ def assemble(table: pa.Table) -> pa.Table:
     alone = np.where(sent, sizes - shared, 0)
     linked = sent & (alone <= spare(sizes)) & (shared > 0)
     lists = [token[ends[i] - shared[i]:ends[i]] if linked[i] else None for i in range(n_rows)]
+    fragments = len(CUTS) + 1
+    per_fragment = np.bincount(row * fragments + np.searchsorted(CUTS, held[order]), minlength=n_rows * fragments)
+    fragment_ends = np.cumsum(per_fragment.reshape(n_rows, fragments), axis=1).tolist()
     kept = linked[row]
     sketches = parity_sketches((np.cumsum(linked) - 1)[row[kept]], token[kept], int(linked.sum()))
     sketch = iter(sketches)
     return pa.table({
         "doc_id": pa.array(head[:n_rows], pa.int64()), "sig_a": pa.array(head[n_rows:2 * n_rows], pa.int64()), "sig_b": pa.array(head[2 * n_rows:], pa.int64()),
         "n_shingles": pa.array(sizes, pa.int64()), "alone": pa.array(alone, pa.int64()), "tokens": pa.array(lists, pa.list_(pa.int64())),
+        "ends": pa.array([fragment_ends[i] if linked[i] else None for i in range(n_rows)], pa.list_(pa.int32())),
         "sketch": pa.array([next(sketch) if yes else None for yes in linked.tolist()], pa.list_(pa.int64())),
     })
 
@@ -207,9 +213,12 @@ def close_enough(n: Column, alone: Column, sketch: Column, m: Column, other_alon
 
 
 def pieces(sets: DataFrame) -> DataFrame:
-    """Token lists cut into the VERTICAL fragments of the order: node, piece, part."""
-    piece = F.pmod(F.shiftrightunsigned(F.col("token"), 20), F.lit(VERTICAL)).cast("int")
-    return sets.select("node", F.explode("tokens").alias("token")).groupBy("node", piece.alias("piece")).agg(F.collect_list("token").alias("part"))
+    """Token lists cut into the consecutive fragments of the order, each in its own row: node, piece, part."""
+    def part(end: Column, i: Column) -> Column:
+        start = F.coalesce(F.get("ends", i - 1), F.lit(0))
+        return F.slice("tokens", start + 1, end - start)
+
+    return sets.select("node", F.posexplode(F.transform("ends", part)).alias("piece", "part")).where(F.size("part") > 0)
 
 
 def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -242,7 +251,20 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
         if still:
             break
     final = groups.select(F.col("node").alias("label"), F.col("label").alias("low"))
-    return cut(labels.join(final, "label", "left").select("node", F.coalesce("low", "label").alias("label")), "labels")
+    found = cut(labels.join(final, "label", "left").select("node", F.coalesce("low", "label").alias("label")), "labels")
+    discard(edges, groups)
+    return found
+
+
+def in_buckets(holders: DataFrame) -> DataFrame:
+    """Holders of a shingle dealt into buckets of about BUCKET, a copy for each bucket that is met: (low, high).
+
+    Two holders meet at the numbers of their buckets, so a shingle that very many hold is compared in many tasks.
+    """
+    buckets = F.ceil(F.col("all") / BUCKET)
+    dealt = holders.withColumn("bucket", F.pmod(F.xxhash64("node"), buckets))
+    copies = dealt.withColumn("_met", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("all") / BUCKET) - 1)))
+    return copies.withColumns({"low": F.least("bucket", "_met"), "high": F.greatest("bucket", "_met")}).drop("_met", "all")
 
 
 def components(sets: DataFrame) -> DataFrame:
@@ -263,6 +285,7 @@ def components(sets: DataFrame) -> DataFrame:
     chosen = kinds.groupBy("c", "s0", "s1").agg(F.min("token").alias("token")).select("token")
     entries = cut(salted_lookup(entries, chosen, "token", "node"), "entries")
     parts = cut(pieces(sets.join(entries.select("node").distinct(), "node", "left_semi")), "parts")
+    old: list[DataFrame] = []
     labels = cut(sets.select("node", F.col("node").alias("label")), "labels")
     tried = None
     for turn in range(HUB_ROUNDS + 1):
@@ -272,15 +295,21 @@ def components(sets: DataFrame) -> DataFrame:
         open_ = cut(spread.select("token", ((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("pairs"), "all"), "open")
         left, rows = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0))).first()
         if not left:
+            discard(marked, open_)
             break
         last = left <= FEW * rows or turn == HUB_ROUNDS
-        waiting = salted_lookup(marked, open_.select("token"), "token", "node")
+        # groups only grow, so a shingle whose holders are in one group is done with for good
+        waiting = cut(salted_lookup(marked, open_.select("token", "all"), "token", "node"), "waiting")
+        discard(marked, open_, entries)
+        entries = waiting.drop("label", "all")
+        entries._cut_path = waiting._cut_path
         fields = ("node", "n", "alone", "at", "label")
         if last:
-            sketched = waiting.join(sets.select("node", "sketch"), "node")
-            other = sketched.select("token", *[F.col(c).alias(f"h_{c}") for c in (*fields, "sketch")])
+            sketched = in_buckets(waiting.join(sets.select("node", "sketch"), "node"))
+            other = sketched.select("token", "low", "high", *[F.col(c).alias(f"h_{c}") for c in (*fields, "sketch", "bucket")])
             fit = close_enough(*[F.col(c) for c in ("n", "alone", "sketch", "h_n", "h_alone", "h_sketch")])
-            met = sketched.join(other, "token").where((F.col("node") < F.col("h_node")) & fit)
+            once = (F.col("bucket") == F.col("h_bucket")) == (F.col("low") == F.col("high"))
+            met = sketched.join(other, ["token", "low", "high"]).where((F.col("node") < F.col("h_node")) & once & fit)
         else:
             first = F.struct(*([F.col("alone") / F.col("n")] if turn == 0 else [F.xxhash64("node", F.lit(turn))]), *fields)
             hubs = waiting.groupBy("token").agg(F.min(first).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"h_{c}") for c in fields])
@@ -290,13 +319,17 @@ def components(sets: DataFrame) -> DataFrame:
         if tried is not None:
             pairs = pairs.join(tried, ["node", "h_node"], "left_anti")
         pairs = cut(pairs, "pairs")
+        old.append(pairs)
         seen = pairs.select("node", "h_node").union(pairs.select(F.col("h_node"), F.col("node")))
         tried = seen if tried is None else tried.union(seen)
         links = cut(verified(pairs, parts), "links")
         if links.limit(1).count():
-            labels = relabel(labels, links)
+            before, labels = labels, relabel(labels, links)
+            discard(before)
+        discard(links)
         if last:
             break
+    discard(entries, parts, *old)
     return labels
 
 
@@ -307,15 +340,16 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     of the whole text, or the whole sequence if there are fewer words; null, empty and blank texts have none and link
     with nothing. component_id is the smallest doc_id that links reach. Rows with equal sets are one class and are not
     compared; rows that repeat an id share its component; a row without an id has none (null) and links nothing.
-    Shingles are 64-bit hashes of which 48 and the fragment's number are kept, classes 128-bit signatures.
+    An empty table gives none. Shingles are 64-bit hashes of which 48 and the fragment's number are kept, classes 128-bit signatures.
     """
     sets = cut(shingle_sets(docs.where(F.col("doc_id").isNotNull()), k), "sets")
     signature = F.struct("sig_a", "sig_b", "n_shingles")
     full = sets.where("n_shingles > 0")
     classes = cut(full.groupBy(signature.alias("sig")).agg(F.min("doc_id").alias("node")), "classes")
-    candidates = full.where("tokens IS NOT NULL").groupBy(signature.alias("sig")).agg(*[F.first(c).alias(c) for c in ("alone", "tokens", "sketch")])
-    nodes = cut(candidates.join(classes, "sig").select("node", F.col("sig.n_shingles").alias("n_shingles"), "alone", "tokens", "sketch"), "nodes")
+    candidates = full.where("tokens IS NOT NULL").groupBy(signature.alias("sig")).agg(*[F.first(c).alias(c) for c in ("alone", "tokens", "ends", "sketch")])
+    nodes = cut(candidates.join(classes, "sig").select("node", F.col("sig.n_shingles").alias("n_shingles"), "alone", "tokens", "ends", "sketch"), "nodes")
     labels = components(nodes)
+    discard(nodes)
     named = classes.join(labels, "node", "left").select("sig", F.coalesce("label", "node").alias("label"))
     joined = salted_lookup(full.select("doc_id", "n_shingles", signature.alias("sig")), named, "sig", "doc_id")
     linked = joined.select("doc_id", "n_shingles", F.col("label").alias("component_id"))

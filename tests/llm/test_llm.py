@@ -73,7 +73,11 @@ def test_surroundings_are_told_apart_by_64_bits():
     assert [x[0] for x in found] == [suffix_dedup.SOURCE, suffix_dedup.OPEN, suffix_dedup.COVERED]
 
 
-def test_jaccard_join_equals_brute_force(spark):
+@pytest.mark.parametrize(("rounds", "bucket"), [(4, 1024), (0, 3)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, rounds, bucket):
+    # without rounds all pairs are compared at once, in many buckets
+    monkeypatch.setattr(jaccard_join, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "BUCKET", bucket)
     rows = texts(2, 250)
     sets = []
     for _, t in rows:
