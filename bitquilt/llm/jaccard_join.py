@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, discard
+from ..session import cut, discard, fits_broadcast
 from .common import salted_lookup
 from .text import CHUNK_BYTES, mix, packed_rows, shingle_hashes, word_hashes
 
@@ -224,8 +224,11 @@ def pieces(sets: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """Those of the pairs (node, h_node, n, h_n) that link: overlaps counted by fragment, summed per pair."""
     left = pairs.join(parts, "node").select("node", "h_node", "n", "h_n", F.struct(F.col("h_node").alias("node"), "piece").alias("key"), F.col("part").alias("left"))
+    # only hubs' parts travel, as long as the list of hubs is short enough to be sent to them
+    hubs = pairs.select(F.col("h_node").alias("node")).distinct()
+    hub_parts = parts.join(hubs.hint("broadcast"), "node", "left_semi") if fits_broadcast(pairs.sparkSession, hubs.count(), 16) else parts
     # a hub meets all holders of its shingles: its parts are copied to salts
-    both = salted_lookup(left, parts.select(F.struct("node", "piece").alias("key"), "part"), "key", "node")
+    both = salted_lookup(left, hub_parts.select(F.struct("node", "piece").alias("key"), "part"), "key", "node")
     summed = both.groupBy("node", "h_node", "n", "h_n").agg(F.sum(F.size(F.array_intersect("left", "part"))).alias("same"))
     union = F.col("n") + F.col("h_n") - F.col("same")
     return summed.where(F.col("same") * PARTS >= union * NEEDED).select(F.col("node").alias("x"), F.col("h_node").alias("y"))
