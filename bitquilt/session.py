@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,14 +50,34 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: the shuffle files of a query are deleted when the query has ended, not at a later collection.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files of each query that is run inside, at its end; the session's own setting returns after it."""
+    before = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FILE_CLEANUP)
+        else:
+            spark.conf.set(FILE_CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` as a table in the shared folder and continue from it.
 
     The plan of the result starts at the files, so iterative plans stay short
-    and a lost executor costs a re-read, not a re-run of earlier passes.
+    and a lost executor costs a re-read, not a re-run of earlier passes. The
+    write's shuffle files go as soon as it has ended: nothing reads them again.
     """
     path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored._cut_path = path
     return stored
