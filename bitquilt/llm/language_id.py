@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .text import mix, spans_of
 
@@ -182,7 +183,9 @@ def predict_languages(
     per_gram = np.array([np.linalg.norm(profiles[n]) / totals[n] for n in names]) if totals else None
     columns = [*keep, "lang_pred", "score", *(["expected"] if totals else [])]
     matrix = np.stack([profiles[n] / np.linalg.norm(profiles[n]) for n in names], axis=1).astype(np.float32) if names else np.zeros((dimensions, 0), np.float32)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
+    if totals:
+        schema.add("expected", "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,4 +206,4 @@ def predict_languages(
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(n - 2)], *found], names=columns)
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
-    return docs.select(*keep, F.col("text").alias("_text"), size.alias("_size")).mapInArrow(predict, f"{fields}, lang_pred string, score double" + (", expected double" if totals else ""))
+    return docs.select(*keep, F.col("text").alias("_text"), size.alias("_size")).mapInArrow(predict, schema)

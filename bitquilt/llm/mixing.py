@@ -88,7 +88,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     name = "mix_copy"
     while name in docs.columns:
         name = "_" + name
-    shadow = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    shadow = docs.select("doc_id", "source", "text", F.struct("*").alias("row"))
     planned = mix_plan(shadow, ["row"]).where(F.col("copies") > 0)
     return planned.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(name))
 

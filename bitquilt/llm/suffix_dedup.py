@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import cut
 from .anchors import anchors
@@ -180,8 +181,11 @@ def window_rows(data: np.ndarray, e: Entries, chosen: np.ndarray, length: int) -
 CONTEXT = "place int, doc_id bigint, text_hash bigint, entry int, shift int, around binary"
 
 
-def contexts(busy: DataFrame, fragments: int, groups: int, length: int, gram: int) -> DataFrame:
-    """The bytes around open anchors and their possible sources, placed by gram."""
+def contexts(busy: DataFrame, fragments: int, groups: int, length: int, gram: int, keep: list[str]) -> DataFrame:
+    """The bytes around open anchors and their possible sources, placed by gram.
+
+    `keep`: columns that are read and not used, so that the rows come from the same exchange as those of the cutting.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +207,7 @@ def contexts(busy: DataFrame, fragments: int, groups: int, length: int, gram: in
                     pa.array(e.at[e.sample[chosen]] - lo, pa.int32()), pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()),
                 ], names=[x.split(" ")[0] for x in CONTEXT.split(", ")])
 
-    return busy.select("doc_id", "text_hash", "text", "states").mapInArrow(run, CONTEXT)
+    return busy.select("doc_id", "text_hash", "text", "states", *keep).mapInArrow(run, CONTEXT)
 
 
 def smaller_neighbours(values: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,21 +311,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fragments, groups = 2 * parts, 4 * parts
     keep = keep or []
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    kept = [f"_keep_{c}" for c in keep]
+    # keys without nulls: a join that drops rows and one that keeps them then ask for the same exchange of the texts
+    text_hash = F.when(F.col("doc_id").isNull(), F.bitwise_not(F.xxhash64("text"))).otherwise(F.xxhash64("text"))
+    hashed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), "text", text_hash.alias("text_hash"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
     blocks = pack(hashed, fragments, length, GRAM)
     place = F.when(F.col("fragment") >= 0, F.col("fragment")).otherwise(F.pmod(F.col("block"), F.lit(fragments)).cast("int"))
     decided = blocks.groupBy(place.alias("place")).applyInArrow(decide, PACKED)
     states_ = decided.groupBy("block").applyInArrow(assemble, "doc_id bigint, text_hash bigint, states binary")
-    states_ = cut(states_.groupBy("doc_id", "text_hash").agg(F.first("states").alias("states")), "states")
+    states_ = cut(states_.groupBy(F.col("doc_id").alias("id"), "text_hash").agg(F.first("states").alias("states")), "states")
     # the only shuffle of texts: by id, used for the suffixes and again for the cutting
-    texts = hashed.repartition(parts, "doc_id", "text_hash")
-    around = contexts(texts.join(states_.hint("merge"), ["doc_id", "text_hash"]), fragments, groups, length, GRAM)
+    texts = hashed.repartition(parts, "id", "text_hash")
+    around = contexts(texts.join(states_.hint("merge"), ["id", "text_hash"]), fragments, groups, length, GRAM, kept)
     found = around.groupBy("place").applyInArrow(suffix_group(length), MASKS)
-    masks = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("entry", "windows")).alias("masks"))
-    whole = texts.join(states_.hint("merge"), ["doc_id", "text_hash"], "left").join(masks.hint("merge"), ["doc_id", "text_hash"], "left")
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    masks = found.groupBy(F.col("doc_id").alias("id"), "text_hash").agg(F.collect_list(F.struct("entry", "windows")).alias("masks"))
+    whole = texts.join(states_.hint("merge"), ["id", "text_hash"], "left").join(masks.hint("merge"), ["id", "text_hash"], "left")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
-    schema = f"doc_id {kinds['doc_id']}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept string" * keep_text + "".join(f", `{c}` {kinds[c]}" for c in keep)
+    schema = StructType([docs.schema["doc_id"]])
+    for name in names[1:]:
+        schema.add(name, "string" if name.startswith("kept") else "long")
+    for name in keep:
+        schema.add(docs.schema[name])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,7 +358,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
                 columns = [pa.array(x, t) for x, t in zip(out, types, strict=True)][:4 + keep_text]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns, *[batch.column(4 + j).slice(a, b - a) for j in range(len(keep))]], names=[*names, *keep])
 
-    return whole.select("doc_id", "text", "states", "masks", *[f"_keep_{c}" for c in keep]).mapInArrow(finish, schema)
+    return whole.select("doc_id", "text", "states", "masks", *kept).mapInArrow(finish, schema)
 
 
 def kept_text(row: np.ndarray, goes: np.ndarray) -> str:

@@ -1,6 +1,7 @@
 """Operators for training data against SQL, plain Python and exact round trips."""
 
 import hashlib
+import os
 import random
 import re
 import textwrap
@@ -360,7 +361,7 @@ def test_pipeline_compares_rows_without_an_id_of_their_own(spark, sf_dir):
     item = max((x["text"] for x in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if x["text"]), key=len)
     rows = [(5, a), (None, a), (7, b), (7, b), (None, c), (None, c), (9, said(40) + " " + passage), (None, said(40) + " " + passage), (7, said(50)), (None, item), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(x["_key"] for x in corpus_pipeline.keyed(docs).collect())[:3] == [5, 7, 9] and corpus_pipeline.keyed(docs).select("_key").distinct().count() == len(rows)
+    assert sorted(x["key"] for x in corpus_pipeline.keyed(docs).collect())[:3] == [5, 7, 9] and corpus_pipeline.keyed(docs).select("key").distinct().count() == len(rows)
     left = [tuple(x) for x in stages["jaccard_join"](spark, docs, sf_dir).collect()]
     assert sorted(left, key=str) == sorted([x for i, x in enumerate(rows) if i not in (1, 3, 5)], key=str)
     cut = [tuple(x) for x in stages["suffix_dedup"](spark, docs, sf_dir).collect()]
@@ -368,3 +369,31 @@ def test_pipeline_compares_rows_without_an_id_of_their_own(spark, sf_dir):
     assert sum(t == b for _, t in cut) == 1 and sum(t == c for _, t in cut) == 1
     clean = [tuple(x) for x in stages["decontaminate"](spark, docs, sf_dir).collect()]
     assert sorted(clean, key=str) == sorted([x for x in rows if x[1] != item], key=str)
+
+
+def test_pipeline_stages_carry_columns_of_any_name(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    names = ["key", "_key", "row", "hash", "number", "first", "a.b", "b`c", "kept", "no_text", "id", "states"]
+    more = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    more = more.unionByName(more.limit(2)).unionByName(more.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, sf_dir)
+        assert out.columns == more.columns and out.count() > 0, name
+        assert all(x[n] == f"{n} {x['doc_id']}" for x in out.collect() for n in names if x["doc_id"] is not None), name
+
+
+def test_pipeline_runs_its_stages_in_a_row_and_leaves_one_table_of_documents(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from bitquilt.session import cut, scratch_root
+
+    before = set(os.listdir(scratch_root(spark)))
+    got = corpus_pipeline.run(spark, sf_dir)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(scratch_root(spark))) - before}
+    assert not left & {"language_id", "jaccard_join", "suffix_dedup"}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = cut(stage(spark, docs, sf_dir), "by_hand")
+    # copies that the mix takes twice are rows of their own
+    rows = lambda df: sorted(tuple(map(str, x)) for x in df.collect())
+    assert rows(got) == rows(docs) and docs.count() > 0
