@@ -7,11 +7,11 @@ all others; an empty table passes through all stages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitquilt.llm import decontaminate, jaccard_join, language_id, mixing, suffix_dedup
-from bitquilt.session import cut
+from bitquilt.session import cut, discard
 
 #: Texts whose best language has a lower cosine are like no language: five deviations of the noise between unrelated sums.
 LEAST_SCORE = 5 / language_id.DIMENSIONS ** 0.5
@@ -19,11 +19,15 @@ LEAST_SCORE = 5 / language_id.DIMENSIONS ** 0.5
 LEAST_SHARE = 1 / 3
 
 
+def whole_row() -> Column:
+    """All columns in one, under their own names: helper columns beside it clash with none of them."""
+    return F.struct("*").alias("row")
+
+
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents go that are null, have no letter, or are like no language."""
     profiles, totals = language_id.learn_sized(docs.where(~language_id.held_out(F.col("doc_id"))))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = language_id.predict_languages(whole, profiles, keep=["row"], totals=totals)
+    found = language_id.predict_languages(docs.select(whole_row(), "text"), profiles, keep=["row"], totals=totals)
     least = F.least(F.lit(LEAST_SCORE), F.col("expected") * LEAST_SHARE) if profiles else F.lit(0.0)
     known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= least)
     # with nothing to learn from, nothing can be rejected but texts without letters
@@ -31,41 +35,43 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a unique BIGINT `_key` in the order of doc_id, as far as there is one.
+    """Each row as (key, row): a unique BIGINT in the order of doc_id, as far as there is one, and all columns.
 
     A doc_id that one row has is its key. The other rows are numbered in the order of their content, next to the range
     of the ids; the first of the rows that share an id has that as its key. Only these rows are written once more.
     """
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    odd_ids = cut(ids.where(F.col("doc_id").isNull() | (F.col("_rows") > 1)).select("doc_id"), "odd_ids")
+    rows = docs.select("doc_id", whole_row())
+    named, single_key = rows.where(F.col("doc_id").isNotNull()), F.col("doc_id").alias("key")
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    odd_ids = cut(ids.where(F.col("doc_id").isNull() | (F.col("rows") > 1)).select("doc_id"), "odd_ids")
     if odd_ids.isEmpty():
-        return docs.withColumn("_key", F.col("doc_id"))
-    single = docs.where(F.col("doc_id").isNotNull()).join(odd_ids, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").alias("_key"))
-    shared = docs.where(F.col("doc_id").isNotNull()).join(odd_ids, "doc_id", "left_semi").select(docs.columns)
+        return rows.select(single_key, "row")
+    single = named.join(odd_ids, "doc_id", "left_anti").select(single_key, "row")
+    shared = named.join(odd_ids, "doc_id", "left_semi")
     # equal rows are dealt out too: which of them comes first makes no difference
-    named = shared.unionByName(docs.where(F.col("doc_id").isNull())).withColumns({"_hash": F.xxhash64(*docs.columns), "_place": F.monotonically_increasing_id()})
-    sorted_ = named.repartitionByRange("_hash", "_place").sortWithinPartitions("_hash", "_place").drop("_place")
-    odd = cut(sorted_.withColumn("_number", F.monotonically_increasing_id()), "odd_rows")
+    dealt = shared.unionByName(rows.where(F.col("doc_id").isNull())).withColumns({"hash": F.xxhash64("row"), "place": F.monotonically_increasing_id()})
+    sorted_ = dealt.repartitionByRange("hash", "place").sortWithinPartitions("hash", "place").drop("place")
+    odd = cut(sorted_.withColumn("number", F.monotonically_increasing_id()), "odd_rows")
     least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    numbers = odd.agg(F.max("_number")).first()[0] + 1
+    numbers = odd.agg(F.max("number")).first()[0] + 1
     base = (most if most is not None else -1) + 1
     if base + numbers > 1 << 63:
         base = least - numbers
         if base < -(1 << 63):
             raise ValueError("no numbers are free outside the range of doc_id")
-    first = odd.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("_number").alias("_number")).select("_number", F.lit(True).alias("_first"))
-    key = F.when(F.col("_first"), F.col("doc_id")).otherwise(F.col("_number") + F.lit(base).cast("bigint"))
-    return single.unionByName(odd.join(first, "_number", "left").select(*docs.columns, key.alias("_key")))
+    first = odd.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("number").alias("number")).select("number", F.lit(True).alias("first"))
+    key = F.when(F.col("first"), F.col("doc_id")).otherwise(F.col("number") + F.lit(base).cast("bigint"))
+    return single.unionByName(odd.join(first, "number", "left").select(key.alias("key"), "row"))
 
 
 def by_key(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("_key").alias("doc_id"), "text")
+    return rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))
 
 
 def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of `keyed` whose key is not among the doc_id of `keys`."""
-    gone = keys.select(F.col("doc_id").alias("_key")).distinct()
-    return rows.join(gone, "_key", "left_anti").select([c for c in rows.columns if c != "_key"])
+    gone = keys.select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,12 +84,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: repeated passages are cut from all but the first row; what is then blank goes."""
     others = [c for c in docs.columns if c != "text"]
-    row = F.struct(*[F.col(f"`{c}`") for c in others], F.col("text").isNull().alias("_no_text")).alias("row")
-    found = suffix_dedup.remove_repeats(keyed(docs).select(F.col("_key").alias("doc_id"), "text", row), keep_text=True, keep=["row"])
+    row = F.struct(*[F.col("row").getField(c).alias(c) for c in others]).alias("row")
+    rows = keyed(docs).select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"), row, F.col("row.text").isNull().alias("no_text"))
+    found = suffix_dedup.remove_repeats(rows, keep_text=True, keep=["row", "no_text"])
     left = found.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
-    length = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("row.n_chars")) if "n_chars" in others else None
-    values = {"text": F.when(~F.col("row._no_text"), F.col("kept")), "n_chars": length}
-    return left.select(*[(values[c] if values.get(c) is not None else F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    value = {c: F.col("row").getField(c) for c in others} | {"text": F.when(~F.col("no_text"), F.col("kept"))}
+    if "n_chars" in others:
+        value["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(value["n_chars"])
+    return left.select(*[value[f.name].cast(f.dataType).alias(f.name) for f in docs.schema.fields])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -110,8 +118,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written and read again."""
+    """All stages over `documents`; each result is written and read again, and goes when the next one is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
