@@ -14,7 +14,7 @@ from ..sources.vectors import samples_from_vectors
 from .features import Member, build_features
 
 SHAPE = Shape(8, 8)
-RGB_SHAPE = Shape(4, 4, 3)
+RGB_SHAPE = Shape(5, 5, 3)
 
 BASE_SPECS = [
     ("id", "mnist", "lin"), ("id", "mnist", "exp"), ("rot90", "mnist", "sig"),
@@ -42,8 +42,9 @@ def spread_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgb_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 48 values of a vector as three 4x4 planes."""
-    return samples(spark, sf_dir).withColumn("px", F.slice("px", 1, 48))
+    """All 64 values of a vector as three 5x5 planes, the last one filled up with zeros."""
+    cells = RGB_SHAPE.size * RGB_SHAPE.planes
+    return samples(spark, sf_dir).withColumn("px", F.concat("px", F.array_repeat(F.lit(0), F.lit(cells) - F.size("px"))))
 
 
 def features(spark: SparkSession, sf_dir: str, members: list[Member] = PLAIN) -> DataFrame:

@@ -454,8 +454,8 @@ def _(spark, d):
     return s.select("sample_id", F.posexplode_outer(apply_xform(F.col("px"), CHAIN, data.SHAPE)).alias("pos", "v"))
 
 
-@query("grid_planes", """SELECT k.sample_id, CAST(p.p * 16 + d.d AS INTEGER) AS pos, x.v FROM c_samples k, (SELECT unnest(range(3)) AS p) p, (SELECT unnest(range(16)) AS d) d
-JOIN c_px x ON x.pos = p.p * 16 + (d.d // 4) * 4 + 3 - d.d % 4 WHERE x.sample_id = k.sample_id""")
+@query("grid_planes", """SELECT k.sample_id, CAST(p.p * 25 + d.d AS INTEGER) AS pos, x.v FROM c_samples k, (SELECT unnest(range(3)) AS p) p, (SELECT unnest(range(25)) AS d) d
+JOIN c_padded x ON x.pos = p.p * 25 + (d.d // 5) * 5 + 4 - d.d % 5 WHERE x.sample_id = k.sample_id""")
 def _(spark, d):
     s = data.rgb_samples(spark, d)
     return s.select("sample_id", F.posexplode_outer(apply_xform(F.col("px"), "hflip", data.RGB_SHAPE)).alias("pos", "v"))
@@ -483,7 +483,7 @@ def _(spark, d):
 
 def _rgb_cells(spark, d):
     s = data.rgb_samples(spark, d)
-    at = [F.slice("px", 1 + 16 * p, 16) for p in range(3)]
+    at = [F.slice("px", 1 + data.RGB_SHAPE.size * p, data.RGB_SHAPE.size) for p in range(3)]
     zipped = F.arrays_zip(at[0].alias("r"), at[1].alias("g"), at[2].alias("b"))
     return s.select("sample_id", F.posexplode_outer(zipped).alias("pos", "_c")).select("sample_id", "pos", "_c.r", "_c.g", "_c.b")
 
@@ -507,7 +507,7 @@ for _name in ("edge", "bin", "lbp", "dog", "var", "dir", "range"):
 def _rgb_stencil_query(name: str, kind: str, source: str) -> None:
     src = f"(SELECT sample_id, pos, CAST(least(255, greatest(0, {_color_sql[source]})) AS INTEGER) AS v FROM c_rgb)"
 
-    @query(f"stencil_{name.replace('-', '_')}", stencil_sql(kind, src, 4))
+    @query(f"stencil_{name.replace('-', '_')}", stencil_sql(kind, src, data.RGB_SHAPE.width))
     def _(spark, d):
         s = with_channel(data.rgb_samples(spark, d), "C" if name == "contrast" else name, data.RGB_SHAPE)
         return s.select("sample_id", F.posexplode_outer("px").alias("pos", "v"))

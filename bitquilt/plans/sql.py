@@ -222,9 +222,11 @@ cte("c_spiral_taps", " UNION ALL ".join(
     f"SELECT pos, inside, i + {step} AS src, {wt} AS wt FROM c_spiral" for step, wt in
     [(0, "(1 - fx) * (1 - fy)"), (1, "fx * (1 - fy)"), (W, "(1 - fx) * fy"), (W + 1, "fx * fy")]))
 cte("c_classes", "SELECT CAST(unnest(range(10)) AS INTEGER) AS class_id")
-cte("c_rgb", """SELECT a.sample_id, a.pos, a.v AS r, b.v AS g, c.v AS b FROM c_px a
-JOIN c_px b ON b.sample_id = a.sample_id AND b.pos = a.pos + 16 JOIN c_px c ON c.sample_id = a.sample_id AND c.pos = a.pos + 32
-WHERE a.pos < 16""")
+cte("c_padded", """SELECT sample_id, pos, v FROM c_px
+UNION ALL SELECT sample_id, unnest(range(n, 75)) AS pos, 0 AS v FROM (SELECT sample_id, count(*) AS n FROM c_px GROUP BY sample_id)""")
+cte("c_rgb", """SELECT a.sample_id, a.pos, a.v AS r, b.v AS g, c.v AS b FROM c_padded a
+JOIN c_padded b ON b.sample_id = a.sample_id AND b.pos = a.pos + 25 JOIN c_padded c ON c.sample_id = a.sample_id AND c.pos = a.pos + 50
+WHERE a.pos < 25""")
 
 register_learning("plain", f"SELECT CAST(0 AS BIGINT) AS member_id, * FROM ({words_sql('id', 'mnist', 'lin')})")
 register_learning("trio", " UNION ALL ".join(
