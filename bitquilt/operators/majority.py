@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,46 +76,86 @@ def majority_exact(rows: DataFrame, keys: list[str], word: str, half: Column | i
     return counted.select(*keys, word_from_lanes(half, WIDE).alias(out))
 
 
-def majority_rowwise(rows: DataFrame, keys: list[str], word: str, pos: str, n: int, per_row: int, half: int) -> DataFrame:
-    """Majority inside each grid row, then over the rows, same threshold."""
+def plane_majority(values: np.ndarray, half: int) -> np.ndarray:
+    """Bit on if more than `half` of the values along the first axis have it on.
+
+    Plane k holds the k-th binary digit of the counts of all bits, so a value is
+    added by a few bit operations and the counts are compared with `half` at once.
+    """
+    n = len(values)
+    more = np.zeros(values.shape[1:], values.dtype)
+    if not 0 <= half < n:
+        return ~more if half < 0 else more
+    planes = [more] * n.bit_length()
+    for i, carry in enumerate(values):
+        for k in range((i + 1).bit_length()):
+            planes[k], carry = planes[k] ^ carry, planes[k] & carry
+    for k, plane in enumerate(planes):
+        more = plane & more if half >> k & 1 else plane | more
+    return more
+
+
+def _per_array(words: str, n: int, body: Callable[[np.ndarray], np.ndarray]) -> Column:
+    """`body` over the arrays of n words of a batch, given as a matrix with one row per array."""
+    @F.arrow_udf("bigint")
+    def majority(arrays: pa.Array) -> pa.Array:
+        flat = arrays.flatten().to_numpy(zero_copy_only=False)
+        return pa.array(body(flat.astype("<u4").reshape(len(arrays), n)).astype(np.int64))
+
+    return majority(F.col(words))
+
+
+def _line_majorities(cells: np.ndarray, per_row: int, half: int) -> np.ndarray:
+    """One majority per line of `per_row` values along the first axis."""
+    return np.stack([plane_majority(cells[i:i + per_row], half) for i in range(0, len(cells), per_row)])
+
+
+def majority_rowwise(df: DataFrame, words: str, n: int, per_row: int, half: int, out: str = "w") -> DataFrame:
+    """Majority inside each grid row of an array of n words, then over the rows, same threshold.
+
+    This and the pixel variants stay inside the row: there are up to as many line results as words, and grouping them
+    would hold, or spill, many times the input.
+    """
     n_rows = n // per_row if per_row >= 1 else 0
-    if n_rows < 2 or n_rows * per_row != n:
-        return majority_exact(rows, keys, word, half, most=n)
-    placed = rows.withColumn("_row", F.floor(F.col(pos) / per_row).cast("int"))
-    return majority_exact(majority_exact(placed, [*keys, "_row"], word, half, most=per_row), keys, "w", half, most=n_rows)
+    one_line = n_rows < 2 or n_rows * per_row != n
+
+    def both(matrix: np.ndarray) -> np.ndarray:
+        cells = np.ascontiguousarray(matrix.T)
+        return plane_majority(cells if one_line else _line_majorities(cells, per_row, half), half)
 
+    return df.withColumn(out, _per_array(words, n, both))
 
-def _field_bits(word: Column, width: int) -> list[Column]:
-    masks = [sum(1 << (b + width * k) for k in range(32 // width)) for b in range(width)]
-    return [F.sum(F.bit_count(word.bitwiseAND(F.lit(m))).cast("bigint")).alias(f"_b{b}") for b, m in enumerate(masks)]
 
+def _field_cells(matrix: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The `width`-bit fields of the n words of every pixel group, as (field, group, array)."""
+    groups = 32 // width
+    cells = np.ascontiguousarray(matrix.view(f"<u{width // 8}").T)
+    return cells.reshape(groups, n * groups, -1 if len(matrix) else 0).swapaxes(0, 1)
 
-def majority_fields(rows: DataFrame, keys: list[str], word: str, width: int, half: int, out: str = "w") -> DataFrame:
-    """Majority over the `width`-bit fields inside all words of a group."""
-    counted = rows.groupBy(*keys).agg(*_field_bits(F.col(word), width))
-    bits = [F.when(F.col(f"_b{b}") > half, F.lit(1 << b).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-            for b in range(width)]
-    return counted.select(*keys, reduce(lambda a, b: a + b, bits).alias(out))
 
+def _join_groups(parts: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(parts.T).view("<u4")[:, 0]
 
-def _join_groups(parts: DataFrame, keys: list[str], width: int) -> DataFrame:
-    shifted = F.expr(f"shiftleft(w, CAST(g * {width} AS INT))")
-    return parts.groupBy(*keys).agg(F.sum(shifted).alias("w"))
+
+def majority_pixel(df: DataFrame, words: str, n: int, width: int, out: str = "w") -> DataFrame:
+    """One field majority per pixel group, joined into one word.
+
+    The array holds the n words of each of the 32/width groups, group by group.
+    """
+    groups = 32 // width
+    return df.withColumn(out, _per_array(
+        words, n * groups, lambda matrix: _join_groups(plane_majority(_field_cells(matrix, n, width), n * groups // 2))))
 
 
-def majority_pixel(rows: DataFrame, keys: list[str], word: str, group: str, n: int, width: int) -> DataFrame:
-    """One field majority per pixel group `group`, joined into one word."""
-    parts = majority_fields(rows.withColumnRenamed(group, "g"), [*keys, "g"], word, width, n * (32 // width) // 2)
-    return _join_groups(parts, keys, width)
+def majority_pixel_rowwise(df: DataFrame, words: str, n: int, per_row: int, width: int, out: str = "w") -> DataFrame:
+    """The same inside each grid row, then a majority across the rows."""
+    per_line = per_row * (32 // width)
 
+    def both(matrix: np.ndarray) -> np.ndarray:
+        lines = _line_majorities(_field_cells(matrix, n, width), per_line, per_line // 2)
+        return _join_groups(plane_majority(lines, (n // per_row) // 2))
 
-def majority_pixel_rowwise(
-    rows: DataFrame, keys: list[str], word: str, group: str, pos: str, n: int, per_row: int, width: int
-) -> DataFrame:
-    placed = rows.withColumnRenamed(group, "g").withColumn("_row", F.floor(F.col(pos) / per_row).cast("int"))
-    per_line = majority_fields(placed, [*keys, "g", "_row"], word, width, per_row * (32 // width) // 2)
-    across = majority_exact(per_line, [*keys, "g"], "w", (n // per_row) // 2, most=n // per_row)
-    return _join_groups(across, keys, width)
+    return df.withColumn(out, _per_array(words, n * (32 // width), both))
 
 
 def at_least(words: list[Column], need: int) -> Column:

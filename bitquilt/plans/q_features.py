@@ -260,13 +260,13 @@ def _(spark, d):
 @query("majority_rowwise", _exact_sql("(" + _exact_sql("(SELECT member_id, sample_id, h, c // 2 AS r, w FROM c_match)", "member_id, sample_id, h, r", 1) + ")",
                                       "member_id, sample_id, h", 1))
 def _(spark, d):
-    return mj.majority_rowwise(_matches(spark, d), ["member_id", "sample_id", "h"], "w", "c", NC, 2, 1)
+    return mj.majority_rowwise(_arrays(spark, d), "match", NC, 2, 1).drop("match")
 
 
 @query("majority_rowwise_single", "SELECT * FROM c_hidden")
 def _(spark, d):
     """Rows that do not divide the words: one majority over all."""
-    return mj.majority_rowwise(_matches(spark, d), ["member_id", "sample_id", "h"], "w", "c", NC, NC - 1, mj.threshold(NC))
+    return mj.majority_rowwise(_arrays(spark, d), "match", NC, NC - 1, mj.threshold(NC)).drop("match")
 
 
 @query("majority_wide", """SELECT member_id, CAST(sum(CASE WHEN n > half THEN 1::BIGINT << b ELSE 0 END) AS BIGINT) AS w FROM (
@@ -302,22 +302,22 @@ def _shift_groups(src: str) -> str:
     return f"SELECT member_id, sample_id, h, CAST(sum(w << (8 * g)) AS BIGINT) AS w FROM ({src}) GROUP BY ALL"
 
 
-def _px_matches(spark, d):
-    w0 = _w0(spark, 4).withColumns({"g": F.floor(F.col("c") / NC).cast("int"), "c": F.col("c") % NC})
-    f = data.features(spark, d, data.TRIO).select("member_id", "sample_id", "words").repartition("sample_id")
-    return pj.match_words(explode_words(f).withColumnRenamed("h", "c"), w0, 4 * N_CELLS)
+def _px_arrays(spark, d):
+    """Matches of a hidden unit with the random words of its four groups, group by group."""
+    f = data.features(spark, d, data.TRIO).withColumn("words", F.flatten(F.array_repeat("words", 4)))
+    return pj.match_arrays(f, _w0(spark, 4), 4 * N_CELLS)
 
 
 @query("majority_pixel", _shift_groups(_fields_sql("c_pxmatch", "member_id, sample_id, h, g", NC * 4 // 2)))
 def _(spark, d):
-    return mj.majority_pixel(_px_matches(spark, d), ["member_id", "sample_id", "h"], "w", "g", NC, 8)
+    return mj.majority_pixel(_px_arrays(spark, d), "match", NC, 8).drop("match")
 
 
 @query("majority_pixel_rowwise", _shift_groups(_exact_sql(
     "(" + _fields_sql("(SELECT member_id, sample_id, h, g, c // 2 AS r, w FROM c_pxmatch)", "member_id, sample_id, h, g, r", 4) + ")",
     "member_id, sample_id, h, g", NC // 2 // 2)))
 def _(spark, d):
-    return mj.majority_pixel_rowwise(_px_matches(spark, d), ["member_id", "sample_id", "h"], "w", "g", "c", NC, 2, 8)
+    return mj.majority_pixel_rowwise(_px_arrays(spark, d), "match", NC, 2, 8).drop("match")
 
 
 def _need_sql(groups: list[tuple[str, int]], src: str, base: int, n: int) -> tuple[str, int]:

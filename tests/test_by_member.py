@@ -1,6 +1,7 @@
 """Models that do not fit a broadcast: same rows as with a broadcast, and no exploded bits in the exchanges."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -78,3 +79,45 @@ def test_majority_of_any_size(spark):
 @pytest.mark.parametrize("base,n", [(b, n) for b in (3, 4, 5, 7) for n in (1, 2, 8, 15, 16, 22, 50)])
 def test_words_of_a_tree_level(base, n):
     assert sum(mj.tree_level(n, base)) == n - (base == 7 and n > 7 and n % 7 == 1)
+
+
+@pytest.mark.parametrize("name", ["majority_rowwise", "majority_rowwise_single", "majority_pixel", "majority_pixel_rowwise"])
+def test_line_majorities_group_no_samples(spark, sf_dir, name):
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Aggregate\(keys?=\[[^\]]*sample_id", plan) and "posexplode" not in plan
+
+
+def on(values, width, half):
+    return sum(1 << b for b in range(width) if sum(v >> b & 1 for v in values) > half)
+
+
+def in_lines(values, size):
+    return [values[i:i + size] for i in range(0, len(values), size)]
+
+
+@pytest.mark.parametrize("n,per_row,width", [(16, 2, 8), (6, 3, 16), (5, 2, 8), (7, 7, 32), (1, 1, 8), (40, 5, 16)])
+def test_line_majorities_by_hand(spark, n, per_row, width):
+    r, groups = random.Random(n), 32 // width
+    arrays = [[r.getrandbits(32) for _ in range(n * groups)] for _ in range(9)] + [[0xFFFFFFFF] * (n * groups), [0] * (n * groups)]
+    df = spark.createDataFrame(list(enumerate(arrays)), "i long, m array<long>").repartition(3)
+    half = per_row * groups // 2
+
+    def rows(words, at):
+        lines = in_lines(words, per_row) if n > per_row and n % per_row == 0 else None
+        return on([on(x, 32, at) for x in lines], 32, at) if lines else on(words, 32, at)
+
+    def fields(words):
+        return [w >> width * k & (1 << width) - 1 for w in words for k in range(groups)]
+
+    def joined(one):
+        return lambda words: sum(one(words[g * n:(g + 1) * n]) << g * width for g in range(groups))
+
+    def across(words):
+        return on([on(fields(x), width, half) for x in in_lines(words, per_row)], width, n // per_row // 2)
+
+    flat = df.select("i", F.slice("m", 1, n).alias("m"))
+    runs = [(mj.majority_rowwise(flat, "m", n, per_row, at), lambda m, at=at: rows(m[:n], at)) for at in (-1, 0, 1, n)]
+    runs.append((mj.majority_pixel(df, "m", n, width), joined(lambda x: on(fields(x), width, n * groups // 2))))
+    runs.append((mj.majority_pixel_rowwise(df, "m", n, per_row, width), joined(across)))
+    for got, by_hand in runs:
+        assert {x["i"]: x["w"] for x in got.collect()} == {i: by_hand(m) for i, m in enumerate(arrays)}
