@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, join_side
 
 #: Vectors of a candidate block, and queries of a query block.
 BLOCK_ROWS = 2048
@@ -17,6 +18,12 @@ QUERY_ROWS = 256
 #: From this local cosine threshold on, single coordinates decide; below it, lengths do.
 COORDINATE_FROM = 0.3
 COORDINATES = 4
+#: Vectors that meet the queries of a block in one matrix product.
+STRIP_ROWS = 512
+#: Blocks of a group, on average.
+VECTOR_BLOCKS, QUERY_BLOCKS = 4, 32
+#: Of a row that tells a block's cell.
+LABEL_BYTES = 64
 
 
 def integer_vectors(rows: DataFrame, vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -38,72 +45,132 @@ def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     packed = ranged.withColumn("_block", F.floor(place / size)).groupBy("_range", "dims", "_block").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("norm")).alias("order"), "vec_id", "v"))).alias("rows"), F.max("norm").alias("longest"))
     return cut(packed.select(
-        "dims", F.concat_ws("-", "_range", "_block").alias("block"), F.transform("rows", lambda r: r["vec_id"]).alias("ids"),
+        "dims", F.concat_ws("-", "dims", "_range", "_block").alias("block"), F.transform("rows", lambda r: r["vec_id"]).alias("ids"),
         F.flatten(F.transform("rows", lambda r: r["v"])).alias("values"), "longest"), name)
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[int, int, int]]:
-    """(query, vector, product) of the k best of a block for each query, ties to the smaller id.
+class Blocks(NamedTuple):
+    """n blocks of a table, dealt to groups."""
 
-    floor: per query, a product that k vectors are known to reach; what stays below it is left out. Vectors stand by
-    falling length. The local threshold floor / (|q| * longest) says which test each query uses.
+    rows: DataFrame
+    n: int
+    groups: int
+
+
+def grouped(packed: DataFrame, block: str, size: int, name: str) -> Blocks:
+    """Deal the blocks to groups of `size` blocks on average."""
+    n = packed.count()
+    groups = max(1, -(-n // size))
+    return Blocks(packed.withColumn(name, F.pmod(F.xxhash64(block), F.lit(groups))), n, groups)
+
+
+def best_k(k: int, at: np.ndarray, ids: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The k largest products of each query (numbered by `at`), ties to the smaller id: by query, the largest first; and their ranks from 0."""
+    order = np.lexsort((ids, -products, at))
+    at = at[order]
+    rank = np.arange(len(at)) - np.searchsorted(at, at)
+    few = rank < k
+    return at[few], ids[order][few], products[order][few], rank[few]
+
+
+def by_coordinates(q: np.ndarray, top: np.ndarray, rest: float, vectors: np.ndarray, norms: np.ndarray, bound: float) -> np.ndarray:
+    """Rows that can reach the bound: the largest coordinates of q exactly, the rest by their lengths."""
+    part = vectors[:, top]
+    rest_v = np.sqrt(np.maximum(norms ** 2 - (part * part).sum(axis=1), 0.0))
+    return np.flatnonzero(part @ q[top] + rest * rest_v >= bound)
+
+
+def best_of(queries: np.ndarray, query_ids: np.ndarray, candidates: list[tuple[np.ndarray, np.ndarray]], k: int, floor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(query, vector, product) of the k best of all candidate blocks (ids, vectors) for each query, ties to the smaller id.
+
+    floor: per query, a product that k vectors are known to reach; what stays below it is left out, and it rises with
+    what the blocks hold. The vectors of a block stand by falling length. The local threshold floor / (|q| * longest) says
+    which test each query uses. Coordinates are only tested where the rest of q alone cannot reach the bound: else they
+    rule out no vector without a share in them. All other queries meet a strip of vectors in one matrix product.
     """
-    out: list[tuple[int, int, int]] = []
-    if not len(vectors) or not len(queries):
-        return out
-    norms = np.sqrt((vectors * vectors).sum(axis=1))
+    floor = floor.copy()
     lengths = np.sqrt((queries * queries).sum(axis=1))
-    for i, (q, length) in enumerate(zip(queries, lengths, strict=True)):
-        bound = floor[i]
-        rows = slice(None)
-        if bound > 0 and length > 0:
-            slack = 1e-6 * max(1.0, abs(bound))
-            local = bound / (length * norms[0]) if norms[0] > 0 else np.inf
-            if local > 1 + 1e-9:
-                continue
-            # length pruning: |q| * |v| must reach the bound
-            reach = int(np.searchsorted(-(norms * length), -(bound - slack), "right"))
-            rows = slice(0, reach)
-            if local >= COORDINATE_FROM and reach:
-                # coordinate pruning: the largest coordinates of q exactly, the rest by their lengths
-                top = np.argpartition(-np.abs(q), min(COORDINATES, len(q) - 1))[:COORDINATES]
-                part = vectors[:reach, top]
-                rest_q = max(length * length - float((q[top] ** 2).sum()), 0.0) ** 0.5
-                rest_v = np.sqrt(np.maximum(norms[:reach] ** 2 - (part * part).sum(axis=1), 0.0))
-                rows = np.flatnonzero(part @ q[top] + rest_q * rest_v >= bound - slack)
-        chosen = vectors[rows]
-        if not len(chosen):
+    top = np.argsort(-np.abs(queries), axis=1)[:, :COORDINATES]
+    rest = np.sqrt(np.maximum(lengths ** 2 - (np.take_along_axis(queries, top, axis=1) ** 2).sum(axis=1), 0.0))
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+
+    def add(at: np.ndarray, ids: np.ndarray, products: np.ndarray) -> None:
+        use = (products >= floor[at]) & (ids != query_ids[at])
+        found.append((at[use], ids[use], products[use]))
+
+    def keep_best() -> None:
+        at, ids, products, rank = best_k(k, *(np.concatenate(x) for x in zip(*found, strict=True)))
+        found[:] = [(at, ids, products)]
+        full = rank == k - 1
+        floor[at[full]] = np.maximum(floor[at[full]], products[full])
+
+    for ids, vectors in candidates:
+        if not len(ids) or not len(queries):
             continue
-        products = chosen @ q
-        own = ids[rows]
-        use = (own != query_ids[i]) & (products >= bound)
-        products, own = products[use], own[use]
-        if len(products) > 4 * k:
-            least = np.partition(products, -k)[-k]
-            near = products >= least
-            products, own = products[near], own[near]
-        order = np.lexsort((own, -products))[:k]
-        out += [(int(query_ids[i]), int(own[j]), int(products[j])) for j in order]
-    return out
+        norms = np.sqrt((vectors * vectors).sum(axis=1))
+        bound = floor - 1e-6 * np.maximum(1.0, np.abs(np.nan_to_num(floor, neginf=0.0)))
+        # length pruning: |q| * |v| must reach the bound
+        with np.errstate(divide="ignore"):
+            reach = np.searchsorted(-norms, -bound / lengths, "right")
+        local = np.divide(floor, lengths * norms[0], out=np.zeros(len(floor)), where=(floor > 0) & (lengths * norms[0] > 0))
+        focused = (reach > 0) & (local >= COORDINATE_FROM) & (rest < local * lengths)
+        for i in np.flatnonzero(focused):
+            rows = by_coordinates(queries[i], top[i], rest[i], vectors[:reach[i]], norms[:reach[i]], bound[i])
+            add(np.full(len(rows), i), ids[rows], vectors[rows] @ queries[i])
+        open_ = np.flatnonzero(~focused & (reach > 0))
+        # whole numbers and their sums are exact in 32-bit floats below 2^24
+        kind = np.float32 if norms[0] * lengths.max() < 1 << 24 else np.float64
+        asking = queries.astype(kind)
+        for start in range(0, reach[open_].max(initial=0), STRIP_ROWS):
+            at = open_[reach[open_] > start]
+            products = asking[at] @ vectors[start:start + STRIP_ROWS].astype(kind).T
+            q, v = np.divmod(np.flatnonzero(products >= floor[at].astype(kind)[:, None]), products.shape[1])
+            add(at[q], ids[start + v], products[q, v].astype(np.float64))
+            if sum(len(x[0]) for x in found) > 8 * k * len(queries):
+                keep_best()
+        keep_best()
+    at, ids, products = found[0]
+    return query_ids[at], ids, products
 
 
 PAIR = "query_id bigint, vec_id bigint, score bigint"
+CELL = ["dims", "q_group", "group"]
 
 
-def search_blocks(pairs: DataFrame, k: int) -> DataFrame:
-    """The best of each (query block, candidate block) row."""
+def cells(meetings: DataFrame, asked: Blocks, stored: Blocks) -> DataFrame:
+    """The blocks of each cell (a group of query blocks and a group of vector blocks, of which some meet).
+
+    So a block travels once per group of the other side, not once per block that it meets.
+    """
+    met = [meetings.select(*CELL, b).distinct() for b in ("block", "q_block")]
+    vectors = join_side(stored.rows.drop(*CELL), met[0], ["block"], stored.n * asked.groups, LABEL_BYTES)
+    queries = join_side(asked.rows.drop(*CELL), met[1], ["q_block"], asked.n * stored.groups, LABEL_BYTES)
+    return vectors.select(*CELL, F.lit(False).alias("asks"), "longest", "ids", "values", F.lit(None).cast("array<double>").alias("floors")).union(
+        queries.select(*CELL, F.lit(True), "q_longest", "q_ids", "q_values", "floors"))
+
+
+def search_cells(found: DataFrame, k: int) -> DataFrame:
+    """The best of each query block in each cell. A task keeps the vectors of one cell, the query blocks pass by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, candidates = None, []
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda c, r=r: batch.column(c)[r].values.to_numpy(zero_copy_only=False)
-                dims = max(int(batch.column("dims")[r].as_py()), 0)
-                queries, vectors = get("q_values").reshape(len(get("q_ids")), dims), get("values").reshape(len(get("ids")), dims)
-                rows = best_of(queries, get("q_ids"), vectors, get("ids"), k, get("floors"))
-                columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    return pairs.select("dims", "q_ids", "q_values", "floors", "ids", "values").mapInArrow(run, PAIR)
+                own = tuple(batch.column(c)[r].as_py() for c in CELL)
+                if own != cell:
+                    cell, candidates = own, []
+                ids = get("ids")
+                rows = get("values").reshape(len(ids), max(own[0], 0))
+                if not batch.column("asks")[r].as_py():
+                    candidates.append((ids, rows))
+                    continue
+                query_ids, vec_ids, products = best_of(rows, ids, candidates, k, get("floors"))
+                # a product beyond 64 bits is an error, not another number
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(vec_ids), pa.array(products).cast(pa.int64())], names=["query_id", "vec_id", "score"])
+
+    # the vectors of a cell come first, the longest of them at the top
+    return found.repartition(*CELL).sortWithinPartitions(*CELL, "asks", F.col("longest").desc()).drop("longest").mapInArrow(run, PAIR)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -117,25 +184,23 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     queries and vectors: (vec_id, v) with whole-numbered components. Ties go to the smaller vec_id; a query is no
     candidate of its own id; only vectors of the same dimension meet; fewer than k candidates give fewer rows. Repeated
     ids count once (their vectors must then be equal). The longest block of each dimension sets a floor per query; then
-    each pair of blocks that lengths alone don't rule out is searched. Queries meet all rows in blocks.
+    each pair of blocks that lengths alone don't rule out is searched, many pairs in a cell of two groups of blocks.
     """
     once = lambda rows: rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    stored = blocks(once(vectors), BLOCK_ROWS, "vectors")
-    asked = blocks(once(queries), QUERY_ROWS, "queries").select(
-        "dims", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.col("longest").alias("q_longest"))
-    first = stored.groupBy("dims").agg(F.max_by("block", F.struct("longest", "block")).alias("block"))
+    stored = grouped(blocks(once(vectors), BLOCK_ROWS, "vectors"), "block", VECTOR_BLOCKS, "group")
+    asked = grouped(blocks(once(queries), QUERY_ROWS, "queries").select(
+        "dims", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.col("longest").alias("q_longest")), "q_block", QUERY_BLOCKS, "q_group")
+    first = stored.rows.groupBy("dims").agg(F.max_by(F.struct("group", "block"), F.struct("longest", "block")).alias("first")).select("dims", "first.*")
     open_floor = F.transform("q_ids", lambda _: F.lit(float("-inf")))
-    start = search_blocks(asked.join(stored.join(first, ["dims", "block"], "left_semi"), "dims").withColumn("floors", open_floor), k)
-    reached = start.groupBy("query_id").agg(F.when(F.count("*") >= k, F.array_min(F.sort_array(F.collect_list("score")))).cast("double").alias("floor"))
-    floors = asked.select("q_block", F.posexplode("q_ids").alias("at", "query_id")).join(reached, "query_id", "left").groupBy("q_block").agg(
+    start = search_cells(cells(asked.rows.select("dims", "q_group", "q_block").join(first, "dims"), asked._replace(rows=asked.rows.withColumn("floors", open_floor)), stored), k)
+    reached = start.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
+    floors = asked.rows.select("q_block", F.posexplode("q_ids").alias("at", "query_id")).join(reached, "query_id", "left").groupBy("q_block").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")))), lambda x: x["floor"]).alias("floors"))
-    asked = cut(asked.join(floors, "q_block").withColumn("lowest", F.array_min("floors")), "asked")
+    asked = asked._replace(rows=cut(asked.rows.join(floors, "q_block").withColumn("lowest", F.array_min("floors")), "asked"))
     # which blocks meet is decided on their labels; the vectors follow by equality
-    labels = asked.select("dims", "q_block", "q_longest", "lowest").join(
-        stored.select("dims", "block", "longest"), "dims").where(F.col("q_longest") * F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("lowest"))
-    pairs = labels.select("q_block", "block").join(asked, "q_block").join(stored.drop("dims"), "block")
-    # a pair of blocks is the unit of work; deal them evenly
-    return ranked(search_blocks(pairs.repartition("q_block", "block"), k), k).select("query_id", "rank", "vec_id", "score")
+    meetings = asked.rows.select("dims", "q_group", "q_block", "q_longest", "lowest").join(
+        stored.rows.select("dims", "group", "block", "longest"), "dims").where(F.col("q_longest") * F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("lowest"))
+    return ranked(search_cells(cells(meetings, asked, stored), k), k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """
