@@ -5,30 +5,46 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import const_array
 from ..session import cut
 from .common import salted_lookup
+from .token_counts import byte_alphabet
 
 #: The template: "### role: text</turn>\n". A backslash stands before every \, # and < of a text, and : of a role.
 CLOSE = "</turn>\n"
-TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*)</turn>\n", re.DOTALL)
+TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.)*+)</turn>\n", re.DOTALL)
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 #: The role whose texts carry the loss.
 LEARNED = "assistant"
 #: Conversations handled at once inside a task.
 ROWS = 64
+#: Parts of a text that the byte-level pattern never joins with what follows: a Latin word, marks, one line end before a
+#: word, else all up to the next space before a character. It does not look back, so ids of a text are those of its parts.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PIECE = re.compile(rf"(?s: ?[{LATIN}]++(?=[ \n.,;:!?]|\Z)|[.,;:!?]++(?=[ \n{LATIN}]|\Z)|\n(?=[{LATIN}])|.(?:[^ ]++| (?!\S))*+)")
+#: Pieces whose ids a worker keeps, and their longest; others are asked of the library anew, which costs time only.
+KNOWN_PIECES, KNOWN_LETTERS = 500_000, 48
+#: Conversations that a task remembers; beyond it equal ones tell their turns again, which costs time only.
+SEEN = 500_000
 NODES = (
     "node string, leaf string, depth int, first boolean, run_at bigint, run_no bigint, at bigint, no bigint, tokens array<int>, loss_start int, loss_end int, above array<string>"
 )
 NODE_TYPES = [pa.string(), pa.string(), pa.int32(), pa.bool_(), *[pa.int64()] * 4, pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.list_(pa.string())]
 SPANS = "array<struct<start:bigint,end:bigint,turn:bigint,turns:bigint>>"
 _encoders: dict = {}
+_known: dict[str, dict[str, tuple[int, ...]]] = {}
+_ids: dict[int, int] = {}
+_pieces: dict[str, pa.Array] = {}
 
 
 def encoder(path: str):
@@ -42,6 +58,48 @@ def encoder(path: str):
     return _encoders[path]
 
 
+def encode(path: str, texts: list[str]) -> list[list[int]]:
+    """Token ids of each text. The library encodes the pieces that are not known."""
+    known, model = _known.setdefault(path, {}), encoder(path)
+    pieces = [PIECE.findall(x) for x in texts]
+    new = sorted(set().union(*pieces).difference(known), key=len)
+    room = min(max(0, KNOWN_PIECES - len(known)), bisect_right(new, KNOWN_LETTERS, key=len))
+    # one object for each id, so that a piece holds no copies
+    known.update(zip(new, (tuple(map(_ids.setdefault, x.ids, x.ids)) for x in model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+    found = [list(chain.from_iterable(map(known.__getitem__, own))) for own in pieces]
+    # the pieces that come first are mostly the frequent ones: they stay
+    for p in new[room:]:
+        del known[p]
+    return found
+
+
+def token_bytes(path: str) -> pa.Array:
+    """The bytes of each token, by id."""
+    if path not in _pieces:
+        byte = {c: b for b, c in byte_alphabet().items()}
+        by_id = {i: bytes(byte[c] for c in t) for t, i in encoder(path).get_vocab(with_added_tokens=True).items()}
+        _pieces[path] = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.large_binary())
+    return _pieces[path]
+
+
+def decode(path: str, tokens: pa.ListArray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The text of each row's tokens, and of those from `starts` to `ends` among them."""
+    offsets = tokens.offsets.to_numpy().astype(np.int64)
+    parts = token_bytes(path).take(tokens.values.slice(offsets[0], offsets[-1] - offsets[0]))
+    offsets -= offsets[0]
+    # every second list is what lies between
+    spans = np.append(np.stack([offsets[:-1] + starts, offsets[:-1] + ends], axis=1).ravel(), offsets[-1])
+    joined = lambda at: pc.binary_join(pa.LargeListArray.from_arrays(at, parts), pa.scalar(b"", pa.large_binary()))
+    return joined(offsets).cast(pa.large_string()), joined(spans)[::2].cast(pa.large_string())
+
+
+def turns_of(rows: pa.ListArray) -> list[list[tuple[str, str, bool]]]:
+    """(head, body, learned) of the turns of each row."""
+    flat, offsets = rows.flatten(), (rows.offsets.to_numpy() - rows.offsets[0].as_py()).tolist()
+    turns = list(zip(*(flat.field(c).to_pylist() for c in ("head", "body", "learned")), strict=True))
+    return [turns[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
 def escape(text: Column, marks: str = "#<") -> Column:
     return F.regexp_replace(text, rf"([\\{marks}])", r"\\$1")
 
@@ -51,6 +109,7 @@ def turn_paths(conversations: DataFrame) -> DataFrame:
 
     Turns stand by turn (null first), equal ones by role and text; a null role or text is empty. Rows of one conversation
     are one training sample and meet in one task; nothing else does. Rows of a null conv_id are one conversation.
+    Of equal conversations in a task the first has the turns, the others null, so that not all travel on.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", role.alias("role"), text.alias("text")))).alias("turns"))
@@ -59,25 +118,32 @@ def turn_paths(conversations: DataFrame) -> DataFrame:
     rows = turns.select("conv_id", formatted.alias("turns"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 keys = []
-                for said in part.column("turns").to_pylist():
+                for said in turns_of(part.column("turns")):
                     # one running hash: after each turn it names all turns so far
                     running, own = hashlib.blake2b(digest_size=16), []
-                    for t in said:
-                        running.update((t["head"] + t["body"] + CLOSE).encode("utf-8", "surrogatepass"))
+                    for head, body, _ in said:
+                        running.update((head + body + CLOSE).encode("utf-8", "surrogatepass"))
                         own.append(running.hexdigest())
                     keys.append(own)
-                yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("turns"), pa.array(keys, pa.list_(pa.string()))], names=["conv_id", "turns", "keys"])
+                told = []
+                for i, own in enumerate(keys):
+                    told.append(None if own[-1] in seen else i)
+                    seen.add(own[-1])
+                if len(seen) > SEEN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("turns").take(pa.array(told, pa.int64())), pa.array(keys, pa.list_(pa.string()))], names=["conv_id", "turns", "keys"])
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in rows.columns}
     return rows.mapInArrow(name, f"conv_id {kinds['conv_id']}, turns {kinds['turns']}, keys array<string>")
 
 
 def emit_nodes(paths: DataFrame, path: str) -> DataFrame:
-    """NODES of distinct conversations in the order of their keys: each turn that the one before does not share.
+    """NODES of conversations in the order of their keys: each turn that the one before does not share, so none of an equal one.
 
     That order is depth-first, so one pass over a sorted range merges it. What the first conversation of a range shares
     with the range before is not known here: all its turns are emitted, marked `first`. Two rows of edges (depth -1
@@ -86,14 +152,13 @@ def emit_nodes(paths: DataFrame, path: str) -> DataFrame:
     names = [x.split(" ")[0] for x in NODES.split(", ")]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(path)
-        close = model.encode(CLOSE, add_special_tokens=False).ids
+        close = encode(path, [CLOSE])[0]
         before, n_tokens, n_nodes = None, 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 rows, new = [], []
-                for keys, turns in zip(part.column("keys").to_pylist(), part.column("turns").to_pylist(), strict=True):
+                for keys, turns in zip(part.column("keys").to_pylist(), turns_of(part.column("turns")), strict=True):
                     shared, first = 0, before is None
                     if first:
                         rows.append((None, keys[-1], -1, True, 0, 0, 0, 0, None, None, None, keys))
@@ -103,16 +168,17 @@ def emit_nodes(paths: DataFrame, path: str) -> DataFrame:
                             shared += 1
                     new.append((keys, turns, shared, first))
                     before = keys
-                ids = iter(model.encode_batch([x for _, turns, shared, _ in new for t in turns[shared:] for x in (t["head"], t["body"])], add_special_tokens=False))
+                ids = iter(encode(path, [x for _, turns, shared, _ in new for head, body, _ in turns[shared:] for x in (head, body)]))
                 for keys, turns, shared, first in new:
                     run = (n_tokens, n_nodes)
                     for depth in range(shared, len(keys)):
-                        head, body = next(ids).ids, next(ids).ids
+                        head, body = next(ids), next(ids)
                         tokens, from_ = head + body + close, len(head)
                         above = keys[:shared] if depth == shared and shared else None
-                        rows.append((keys[depth], keys[-1], depth + 1, first, *run, n_tokens, n_nodes, tokens, from_, from_ + len(body) if turns[depth]["learned"] else from_, above))
+                        rows.append((keys[depth], keys[-1], depth + 1, first, *run, n_tokens, n_nodes, tokens, from_, from_ + len(body) if turns[depth][2] else from_, above))
                         n_tokens, n_nodes = n_tokens + len(tokens), n_nodes + 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), NODE_TYPES, strict=True)], names=names)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), NODE_TYPES, strict=True)], names=names)
         if before is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, 0, True, 0, 0, 0, 0, None, None, None, before), NODE_TYPES, strict=True)], names=names)
 
@@ -161,7 +227,7 @@ def prefix_tree(conversations: DataFrame, path: str) -> tuple[DataFrame, DataFra
     exist; equal ones share all nodes; extra columns are not read.
     """
     paths = cut(turn_paths(conversations).withColumn("leaf", F.element_at("keys", -1)), "paths")
-    stored = cut(emit_nodes(paths.select("leaf", "keys", "turns").dropDuplicates(["leaf"]), path), "tree")
+    stored = cut(emit_nodes(paths.where("turns IS NOT NULL").select("keys", "turns"), path), "tree")
     nodes, links = place(stored)
     spans = nodes.select(F.col("node").alias("ancestor"), "run", "run_turn", "turn", (F.col("start") + F.size("tokens")).alias("end"))
     # what a path takes of a run begins with the run
@@ -182,32 +248,28 @@ def read_turns(sequence: DataFrame, path: str) -> DataFrame:
     """Each row of the sequence read back from its tokens: turn, role, text, n_chars, loss_text."""
     schema = "turn bigint, role string, text string, n_chars bigint, loss_text string"
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(path)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = lambda x: ESCAPED.sub(r"\1", x) if "\\" in x else x
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                tokens = part.column("tokens").to_pylist()
-                spans = list(zip(part.column("loss_start").to_pylist(), part.column("loss_end").to_pylist(), strict=True))
-                whole = model.decode_batch(tokens, skip_special_tokens=False)
-                masked = model.decode_batch([t[a:b] for t, (a, b) in zip(tokens, spans, strict=True)], skip_special_tokens=False)
-                parsed = [TURN.fullmatch(x).groups() for x in whole]
-                plain = lambda x: ESCAPED.sub(r"\1", x)
+                whole, learned = decode(path, part.column("tokens"), part.column("loss_start").to_numpy(), part.column("loss_end").to_numpy())
+                parsed = [TURN.fullmatch(x).groups() for x in whole.to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("turn"), pa.array([plain(r) for r, _ in parsed], pa.string()), pa.array([plain(t) for _, t in parsed], pa.string()),
-                     pa.array([len(x) for x in whole], pa.int64()), pa.array([plain(x) for x in masked], pa.string())],
+                     pc.utf8_length(whole), pa.array([plain(x) for x in learned.to_pylist()], pa.string())],
                     names=["turn", "role", "text", "n_chars", "loss_text"])
 
-    return sequence.select("turn", "tokens", "loss_start", "loss_end").mapInArrow(decode, schema)
+    return sequence.select("turn", "tokens", "loss_start", "loss_end").mapInArrow(parse, schema)
 
 
 def conversation_digests(sequence: DataFrame, members: DataFrame, path: str) -> DataFrame:
     """Per conversation, read back through the attention intervals of its last turn; equal ones are read once."""
-    kept = cut(sequence, "sequence")
-    leaves = kept.join(members.select("start").distinct(), "start").select("start", "turn", "ancestors")
+    # the tokens are read where they are stored, the intervals apart from them: neither takes the other along
+    leaves = sequence.join(members.select("start").distinct(), "start").select("start", "turn", "ancestors")
     above = F.flatten(F.transform("ancestors", lambda s: F.sequence(s["turn"], s["turn"] + s["turns"] - 1)))
     seen = leaves.select("start", F.explode(F.concat(above, F.array("turn"))).alias("turn"))
-    read = salted_lookup(seen, read_turns(kept, path), "turn", "start")
+    read = salted_lookup(seen, read_turns(sequence, path), "turn", "start")
     rows = read.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "n_chars", "loss_text"))).alias("turns"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("turns", lambda t: t["loss_text"]), "")
